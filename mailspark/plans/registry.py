@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mail
+from . import mail, mbox
 
-QUERIES = {**mail.QUERIES}
-ORACLE_SQL = {**mail.ORACLE_SQL}
+QUERIES = {**mail.QUERIES, **mbox.QUERIES}
+ORACLE_SQL = {**mail.ORACLE_SQL, **mbox.ORACLE_SQL}

@@ -15,6 +15,10 @@ def x4(s: str) -> str:
     return rf"regexp_replace({s}, '\A[\p{{Z}}\x09-\x0D\x{{85}}]+|[\p{{Z}}\x09-\x0D\x{{85}}]+\z', '', 'g')"
 
 
+def trim_ws(s: str) -> str:
+    return rf"regexp_replace({s}, '\A[\t\p{{Zs}}]+|[\t\p{{Zs}}]+\z', '', 'g')"
+
+
 def f4(s: str) -> str:
     return rf"coalesce(regexp_matches({s}, '\A[\x09-\x0D\x20-\x7E]*\z'), true)"
 
