@@ -9,6 +9,12 @@
 2. count rows per range partition - one row per partition - turn the counts
    into offsets and broadcast them back.
 
+The range bounds come from sampling whose seed depends on the RDD, so two
+executions of the same exchange may cut the data differently.  The tagged rows
+are therefore materialised once with a reliable ``checkpoint()`` (to the
+cluster's ``spark.checkpoint.dir``); counts and rows are both read from it, so
+they always agree, and a lost executor never changes the numbering.
+
 The broadcast table has exactly ``num_partitions`` rows, a number chosen by the
 caller and checked here, so it never grows with the data.
 """
@@ -20,6 +26,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 # Bound on the offsets table that is broadcast (rows = range partitions).
 MAX_SEQUENCE_PARTITIONS = 1_000_000
 
@@ -27,6 +35,13 @@ _PART = "_seq_part"
 _MID = "_seq_mid"
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back
+    (reliable checkpoint: cuts lineage, survives executor loss)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _default_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -52,6 +67,7 @@ def add_sequence(
         F.spark_partition_id().alias(_PART),
         F.monotonically_increasing_id().alias(_MID),
     )
+    tagged = materialize(tagged)
     counts = tagged.groupBy(_PART).agg(F.count(F.lit(1)).alias("_seq_n"))
     # One row per range partition: a small, bounded window.
     offsets = counts.select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mail, mbox
+from . import mail, mbox, usage
 
-QUERIES = {**mail.QUERIES, **mbox.QUERIES}
-ORACLE_SQL = {**mail.ORACLE_SQL, **mbox.ORACLE_SQL}
+QUERIES = {**mail.QUERIES, **mbox.QUERIES, **usage.QUERIES}
+ORACLE_SQL = {**mail.ORACLE_SQL, **mbox.ORACLE_SQL, **usage.ORACLE_SQL}
