@@ -191,32 +191,29 @@ def _small_or_shuffle(df: DataFrame, n_rows: int) -> DataFrame:
     return F.broadcast(df) if n_rows <= MAX_BROADCAST_FILES else df
 
 
-def load_mbox(spark: SparkSession, paths, persist: bool = True) -> MboxLoad:
-    """Read MBOX files into numbered emails.
+def read_raw_records(reader, paths) -> DataFrame:
+    """Records with their scan position: (rec, file_path, block, rid).
 
-    With ``persist`` (default) the parsed records are written once to the
-    cluster's checkpoint folder, so later steps re-read columns from Parquet
-    instead of re-parsing, and a lost executor never forces a re-parse.
+    ``reader`` is ``spark.read`` or ``spark.readStream`` (then ``paths`` is a folder).
     """
-    files = resolve_paths(spark, paths)
-    if not files:
-        empty = _empty_emails(spark)
-        report = spark.createDataFrame([], "file_ordinal int, file_path string, n_messages long, n_lines long")
-        return MboxLoad(empty.withColumn("kept", F.lit(True)), empty, report, files)
-
-    distinct = sorted({f for _, f in files})
-    raw = spark.read.option("lineSep", SEPARATOR).text(distinct).select(
+    src = reader.option("lineSep", SEPARATOR).text(paths)
+    return src.select(
         F.col("value").alias("rec"),
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("rid"),
     )
+
+
+def records_from_raw(raw: DataFrame, ordinals: DataFrame, n_files: int, n_ordinals: int) -> DataFrame:
+    """Flag each file's first and last record, parse every record, and tag
+    it with its file ordinal(s).  ``raw`` must come straight from the scan."""
     # Key-only pre-pass: first and last record of every file (one row per file).
     split_bounds = raw.groupBy("file_path", "block").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"))
     file_bounds = split_bounds.groupBy("file_path").agg(
         F.min(F.struct("block", "lo")).alias("_first"), F.max(F.struct("block", "hi")).alias("_last")
     )
-    flagged = raw.join(_small_or_shuffle(file_bounds, len(distinct)), "file_path").select(
+    flagged = raw.join(_small_or_shuffle(file_bounds, n_files), "file_path").select(
         "rec",
         "file_path",
         "block",
@@ -225,9 +222,27 @@ def load_mbox(spark: SparkSession, paths, persist: bool = True) -> MboxLoad:
         ((F.col("block") == F.col("_last.block")) & (F.col("rid") == F.col("_last.hi"))).alias("is_last"),
     )
     parsed = parse_records(flagged, "rec", "is_first", "is_last").drop("rec")
-    ordinals = spark.createDataFrame(files, "file_ordinal int, file_path string")
     # Same file given twice -> its records twice, once per ordinal (S3).
-    records = parsed.join(_small_or_shuffle(ordinals, len(files)), "file_path")
+    return parsed.join(_small_or_shuffle(ordinals, n_ordinals), "file_path")
+
+
+def load_mbox(spark: SparkSession, paths, persist: bool = True) -> MboxLoad:
+    """Read MBOX files into numbered emails.
+
+    With ``persist`` (default) the parsed records are written once to the
+    cluster's checkpoint folder, so later steps re-read columns from Parquet
+    instead of re-parsing, and a lost executor never forces a re-parse.
+    """
+    files = resolve_paths(spark, paths)
+    if not files:
+        empty = _empty_emails(spark)
+        report = spark.createDataFrame([], "file_ordinal int, file_path string, n_messages long, n_lines long")
+        return MboxLoad(empty.withColumn("kept", F.lit(True)), empty, report, files)
+
+    distinct = sorted({f for _, f in files})
+    raw = read_raw_records(spark.read, distinct)
+    ordinals = spark.createDataFrame(files, "file_ordinal int, file_path string")
+    records = records_from_raw(raw, ordinals, len(distinct), len(files))
     if persist:
         path = scratch_path(spark, "mbox-records")
         records.write.parquet(path)
@@ -240,9 +255,9 @@ def load_mbox(spark: SparkSession, paths, persist: bool = True) -> MboxLoad:
     return MboxLoad(records, emails, report, files)
 
 
-def number_messages(kept: DataFrame) -> DataFrame:
-    """W1 for loaded mail: offset of the (file_ordinal, block) split + row
-    number inside the split by scan position."""
+def number_messages(kept: DataFrame, start: int = 0) -> DataFrame:
+    """W1 for loaded mail: ``start`` + offset of the (file_ordinal, block)
+    split + row number inside the split by scan position."""
     split_counts = kept.groupBy("file_ordinal", "block").agg(F.count(F.lit(1)).alias("_n"))
     # One row per input split: small, ordered, single-partition window is fine.
     offsets = split_counts.select(
@@ -256,7 +271,7 @@ def number_messages(kept: DataFrame) -> DataFrame:
     return out.select(
         "file_path",
         "file_ordinal",
-        (F.col("_off") + F.col("_local")).cast("long").alias("msg_seq"),
+        (F.lit(start) + F.col("_off") + F.col("_local")).cast("long").alias("msg_seq"),
         "from_addr",
         "subject",
         "date",

@@ -54,10 +54,14 @@ def email_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_log_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return llm_log_from_events(read_table(spark, sf_dir, "events"))
+
+
+def llm_log_from_events(ev: DataFrame) -> DataFrame:
     """Request log: backend by user, success unless the event is an error,
     tokens from ``props.k``, response time from ``value`` (missing on every
-    17th event, which makes such a success count as a failure in B4)."""
-    ev = read_table(spark, sf_dir, "events")
+    17th event, which makes such a success count as a failure in B4).
+    Works on batch and streaming DataFrames alike."""
     names = F.array(*[F.lit(b) for b in BACKENDS_BY_PRIORITY])
     return ev.select(
         F.col("event_id"),
