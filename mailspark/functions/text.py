@@ -51,14 +51,20 @@ def strip_non_ascii(col) -> Column:
     return F.regexp_replace(_c(col), NON_ASCII_RE, "")
 
 
+def _trim_re(cls: str) -> str:
+    # The trailing run may only start where a run starts (lookbehind) and is
+    # matched possessively, so a long blank run costs linear time, not quadratic.
+    return rf"\A{cls}++|(?<!{cls}){cls}++\z"
+
+
 def trim_ws_nl(col) -> Column:
     """Trim Unicode whitespace and newlines at both ends."""
-    return F.regexp_replace(_c(col), rf"\A{WS_NL_CLASS}+|{WS_NL_CLASS}+\z", "")
+    return F.regexp_replace(_c(col), _trim_re(WS_NL_CLASS), "")
 
 
 def trim_ws(col) -> Column:
     """Trim TAB and Unicode space separators at both ends (header values)."""
-    return F.regexp_replace(_c(col), rf"\A{WS_CLASS}+|{WS_CLASS}+\z", "")
+    return F.regexp_replace(_c(col), _trim_re(WS_CLASS), "")
 
 
 def remove_attachments(col) -> Column:

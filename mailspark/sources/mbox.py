@@ -60,44 +60,62 @@ def _drop_final_newline(rec: Column, is_last: Column) -> Column:
     return F.when(is_last & rec.endswith("\n"), cut).otherwise(rec)
 
 
-def _lines(rec: Column, is_last: Column) -> Column:
-    """Record -> list of lines."""
-    adjusted = _drop_final_newline(rec, is_last)
-    valid = F.is_valid_utf8(adjusted)
-    raw = F.split(F.make_valid_utf8(adjusted), "\n", -1)
-    # A line holding undecodable bytes is dropped (only when the record had any).
-    kept = F.when(valid, raw).otherwise(F.filter(raw, lambda l: ~l.contains(REPLACEMENT_CHAR)))
-    # P5 cut at the first NUL, then P3 strip one trailing CR.
-    return F.transform(kept, lambda l: F.regexp_replace(F.regexp_replace(l, r"(?s)\x00.*", ""), r"\r\z", ""))
+def _clean_lines_text(t: Column) -> Column:
+    """P3/P4/P5 on the whole record text with regexes (no line arrays, so the
+    parse stays in whole-stage codegen).
+
+    P4: when the record holds undecodable bytes, ``make_valid_utf8`` turns them
+    into U+FFFD and every line containing one is removed with its line break
+    (a bad last line takes the break before it).  P5 cuts each line at its
+    first NUL, P3 strips one CR before each line end.
+    """
+    mv = F.make_valid_utf8(t)
+    # Anchored at line starts and possessive, so each line is scanned once.
+    bad_line = r"[^\n\x{FFFD}]*+\x{FFFD}[^\n]*+"
+    dropped = F.regexp_replace(
+        F.regexp_replace(mv, r"(?<![^\n])" + bad_line + r"\n", ""), r"(?:\n|\A)" + bad_line + r"\z", ""
+    )
+    text = F.when(F.is_valid_utf8(t), t).otherwise(dropped)
+    return F.regexp_replace(F.regexp_replace(text, r"\x00[^\n]*", ""), r"\r(?=\n|\z)", "")
 
 
 def _n_lines(rec: Column, is_last: Column) -> Column:
     """Lines the record spans in the file, before any line is dropped."""
-    adjusted = _drop_final_newline(rec, is_last)
-    return F.size(F.split(adjusted, "\n", -1)).cast("long")
+    t = _drop_final_newline(rec, is_last)
+    return (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1).cast("long")
 
 
-def _header(hdr: Column, prefix: str) -> Column:
-    """Last header line with the prefix, value trimmed; NULL if none."""
-    last = F.try_element_at(F.filter(hdr, lambda l: l.startswith(prefix)), F.lit(-1))
-    return trim_ws(F.substring(last, len(prefix) + 1, 1 << 30))
+def _header(block: Column, prefix: str) -> Column:
+    """Value of the last header line starting with ``prefix`` (trimmed);
+    NULL when there is none.  ``block`` is the header lines, each preceded by LF."""
+    key = "\n" + prefix
+    last = F.regexp_extract(block, r"(?s).*\n" + prefix + r"([^\n]*)", 1)
+    return F.when(F.locate(key, block) > 0, trim_ws(last))
 
 
 def parse_records(records: DataFrame, rec_col: str, first_col: str, last_col: str) -> DataFrame:
     """P1-P11 on a DataFrame of records; adds from_addr, subject, date, body,
-    is_message (not a preamble), kept (P11) and n_lines (S11)."""
+    is_message (not a preamble), kept (P11) and n_lines (S11).
+
+    All string expressions (codegen), no per-line arrays: the separator line is
+    cut at the first LF; with ``s`` = LF + the remaining lines, the first empty
+    line is the first LF followed by LF or the end (P7); headers are before it,
+    the body lines after it.
+    """
     rec, first, last = F.col(rec_col), F.col(first_col), F.col(last_col)
-    df = records.withColumn("_lines", _lines(rec, last)).withColumn("n_lines", _n_lines(rec, last))
+    t = _clean_lines_text(_drop_final_newline(rec, last))
+    df = records.withColumn("_t", t).withColumn("n_lines", _n_lines(rec, last))
     is_message = ~(first & ~rec.startswith(SEPARATOR_PREFIX))  # P2
-    rest = F.slice("_lines", 2, F.greatest(F.size("_lines") - 1, F.lit(0)))  # drop the separator line
-    df = df.withColumn("_rest", rest).withColumn("_blank", F.array_position("_rest", "").cast("int"))  # P7
-    blank = F.col("_blank")
-    hdr = F.when(blank == 0, F.col("_rest")).otherwise(F.slice("_rest", 1, F.greatest(blank - 1, F.lit(0))))
-    body_lines = F.when(blank == 0, F.array().cast("array<string>")).otherwise(
-        F.slice("_rest", blank + 1, F.greatest(F.size("_rest") - blank, F.lit(0)))
-    )
-    unescaped = F.transform(body_lines, lambda l: F.regexp_replace(l, ESCAPED_FROM_RE, SEPARATOR_PREFIX))  # P9
-    body = F.when(F.size(unescaped) == 0, F.lit("")).otherwise(F.concat(F.array_join(unescaped, "\n"), F.lit("\n")))  # P8
+    nl = F.locate("\n", F.col("_t"))
+    s = F.when(nl > 0, F.concat(F.lit("\n"), F.substr(F.col("_t"), nl + 1))).otherwise(F.lit(""))  # drop separator line
+    df = df.withColumn("_s", s)
+    df = df.withColumn("_blank", F.regexp_instr(F.col("_s"), F.lit(r"\n(?=\n|\z)")))  # P7, 0 = none
+    blank, sc = F.col("_blank"), F.col("_s")
+    hdr = F.when(blank == 0, sc).otherwise(F.substr(sc, F.lit(1), blank - 1))
+    has_body = (blank > 0) & (blank < F.length(sc))
+    body_text = F.substr(sc, blank + 2)
+    unescaped = F.regexp_replace(body_text, r"(\A|\n)>From ", "$1From ")  # P9
+    body = F.when(has_body, F.concat(unescaped, F.lit("\n"))).otherwise(F.lit(""))  # P8
     df = df.withColumn("_hdr", hdr).withColumn("_body", remove_attachments(body))  # P10
     fields = [_header(F.col("_hdr"), p).alias(name) for name, p in HEADER_PREFIXES.items()]
     df = df.select("*", *fields)
