@@ -11,9 +11,10 @@
 
 The range bounds come from sampling whose seed depends on the RDD, so two
 executions of the same exchange may cut the data differently.  The tagged rows
-are therefore materialised once with a reliable ``checkpoint()`` (to the
-cluster's ``spark.checkpoint.dir``); counts and rows are both read from it, so
-they always agree, and a lost executor never changes the numbering.
+are therefore written once as a Parquet table under the cluster's
+``spark.checkpoint.dir`` and read back; counts (reading one column) and rows
+both come from it, so they always agree, the lineage is cut, and a lost
+executor never changes the numbering.
 
 The broadcast table has exactly ``num_partitions`` rows, a number chosen by the
 caller and checked here, so it never grows with the data.
@@ -26,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path
 
 # Bound on the offsets table that is broadcast (rows = range partitions).
 MAX_SEQUENCE_PARTITIONS = 1_000_000
@@ -35,11 +36,12 @@ _PART = "_seq_part"
 _MID = "_seq_mid"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it back
-    (reliable checkpoint: cuts lineage, survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read
+    it back: cuts lineage, survives executor loss, and later reads prune columns."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def _default_partitions(df: DataFrame) -> int:
@@ -67,7 +69,7 @@ def add_sequence(
         F.spark_partition_id().alias(_PART),
         F.monotonically_increasing_id().alias(_MID),
     )
-    tagged = materialize(tagged)
+    tagged = materialize(tagged, "sequence")
     counts = tagged.groupBy(_PART).agg(F.count(F.lit(1)).alias("_seq_n"))
     # One row per range partition: a small, bounded window.
     offsets = counts.select(
