@@ -79,23 +79,36 @@ def sentences(col) -> Column:
     return F.split(F.coalesce(_c(col), F.lit("")), SENTENCE_SPLIT_RE, -1)
 
 
+# Sentence pieces without arrays (all codegen, linear time).  A piece starts at
+# the text start or right after a delimiter (lookbehind); its trimmed part runs
+# from its first to its last non-blank character.  The leading \A keeps a failed
+# search from restarting at every position.
+_NOT_DELIM = r"[^.!?]"
+_CONTENT = r"[^.!?\p{Z}\x09-\x0D\x{85}]"  # neither delimiter nor blank
+_PIECE_START = r"(?<![^.!?])"
+# Trimmed piece longer than the limit: a content char, then at least `limit`
+# more characters of the piece, the last of them a content char.
+_LONG_TRIMMED = rf"{WS_NL_CLASS}*+({_CONTENT}{_NOT_DELIM}{{{MIN_SENTENCE_LEN},}}(?<!{WS_NL_CLASS}))"
+FIRST_LONG_PIECE_RE = rf"\A(?s:.*?){_PIECE_START}({_NOT_DELIM}{{{MIN_SENTENCE_LEN + 1},}})"
+FIRST_SENTENCE_RE = rf"\A(?s:.*?){_PIECE_START}{_LONG_TRIMMED}"
+LAST_SENTENCE_RE = rf"\A(?s:.*){_PIECE_START}{_LONG_TRIMMED}"
+
+
 def first_sentence_thread_form(col) -> Column:
     """X6 (per message of a thread): first piece whose *untrimmed* length is
     above the limit, then trimmed; NULL when the message has no such piece."""
-    pieces = F.filter(sentences(col), lambda p: F.length(p) > MIN_SENTENCE_LEN)
-    return trim_ws_nl(F.get(pieces, 0))
+    piece = F.regexp_extract(F.coalesce(_c(col), F.lit("")), FIRST_LONG_PIECE_RE, 1)
+    return trim_ws_nl(F.nullif(piece, F.lit("")))
 
 
 def first_sentence(col) -> Column:
     """First trimmed piece longer than the limit, else ''."""
-    pieces = F.filter(F.transform(sentences(col), trim_ws_nl), lambda p: F.length(p) > MIN_SENTENCE_LEN)
-    return F.coalesce(F.get(pieces, 0), F.lit(""))
+    return F.regexp_extract(F.coalesce(_c(col), F.lit("")), FIRST_SENTENCE_RE, 1)
 
 
 def last_sentence(col) -> Column:
     """Last trimmed piece longer than the limit, else ''."""
-    pieces = F.filter(F.transform(sentences(col), trim_ws_nl), lambda p: F.length(p) > MIN_SENTENCE_LEN)
-    return F.coalesce(F.try_element_at(pieces, F.lit(-1)), F.lit(""))
+    return F.regexp_extract(F.coalesce(_c(col), F.lit("")), LAST_SENTENCE_RE, 1)
 
 
 def contains_ci(col, keyword: str) -> Column:

@@ -78,3 +78,12 @@ def test_parse_mail_date(spark):
     vals = ["Mon, 01 Jan 2024 00:00:00 -0800", "2 Jan 2024 10:00:00 +0000 (UTC)", "2024-01-05", "garbage", None]
     out = eval_col(spark, vals, lambda c: F.date_format(parse_mail_date(c), "yyyy-MM-dd HH:mm"))
     assert out == ["2024-01-01 08:00", "2024-01-02 10:00", "2024-01-05 00:00", None, None]
+
+
+def test_sentence_length_boundary(spark):
+    # 8 characters is not enough, 9 is; blanks around a piece do not count
+    vals = ["12345678. 123456789. x", "  12345678  ! abc", "123456789", "a.  \t 12345678 \n.b"]
+    assert eval_col(spark, vals, X.first_sentence) == ["123456789", "", "123456789", ""]
+    assert eval_col(spark, vals, X.last_sentence) == ["123456789", "", "123456789", ""]
+    # thread form: untrimmed length > 8 decides, result trimmed
+    assert eval_col(spark, vals, X.first_sentence_thread_form) == ["123456789", "12345678", "123456789", "12345678"]
