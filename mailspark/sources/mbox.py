@@ -295,3 +295,12 @@ def number_messages(kept: DataFrame, start: int = 0) -> DataFrame:
         "date",
         "body",
     )
+
+
+def append_emails(session: DataFrame, loaded: DataFrame) -> DataFrame:
+    """Add a newly loaded batch of emails after the session's messages
+    (UNION ALL, duplicates kept); the new messages are numbered after the last
+    one.  Only one number (the session size) reaches the driver."""
+    n = session.count()
+    shifted = loaded.withColumn("msg_seq", F.col("msg_seq") + F.lit(n))
+    return session.unionByName(shifted)

@@ -177,3 +177,13 @@ def test_round_trip_over_splits(spark, tmp_dir, split_bytes):
     assert got == expected
     if split_bytes == 4096:
         assert n_parts > 3
+
+
+def test_append_load(spark, tmp_dir):
+    from mailspark.sources.mbox import append_emails
+
+    p = _write(tmp_dir, "a.mbox", TWO_MAIL)
+    first = load_mbox(spark, [p]).emails
+    both = append_emails(first, load_mbox(spark, [p]).emails)
+    rows = [(r["msg_seq"], r["from_addr"]) for r in both.orderBy("msg_seq").collect()]
+    assert rows == [(1, "alice@test.com"), (2, "bob@test.com"), (3, "alice@test.com"), (4, "bob@test.com")]
