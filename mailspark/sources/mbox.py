@@ -120,6 +120,12 @@ def parse_records(records: DataFrame, rec_col: str, first_col: str, last_col: st
     fields = [_header(F.col("_hdr"), p).alias(name) for name, p in HEADER_PREFIXES.items()]
     df = df.select("*", *fields)
     kept = is_message & is_clear_text("_body") & (F.col("from_addr").isNotNull() | F.col("subject").isNotNull())  # P11
+    # Optimizer barrier: without it a later ``filter("kept")`` is pushed below
+    # this projection and Catalyst substitutes every intermediate column into
+    # the condition (the record text would be cleaned dozens of times and the
+    # generated code outgrow the JIT limit).  An always-true nondeterministic
+    # term keeps filters on the computed columns.
+    kept = kept & (F.spark_partition_id() >= 0)
     return df.select(
         *[c for c in records.columns],
         "from_addr",
