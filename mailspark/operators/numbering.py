@@ -82,6 +82,18 @@ def add_sequence(
     )
 
 
+def add_sequence_by_key(
+    df: DataFrame, key_cols: Sequence[str], name: str = "seq", num_partitions: int | None = None
+) -> DataFrame:
+    """``add_sequence`` for a *unique* key: only the narrow key table is
+    range-partitioned and materialised; the rows get their number by one
+    equi-join on the key (a uniform hash shuffle - a unique key cannot skew),
+    so the full rows are never written out."""
+    keys = list(key_cols)
+    numbered = add_sequence(df.select(*keys), keys, name, num_partitions)
+    return df.join(numbered, keys)
+
+
 def add_group_position(
     df: DataFrame,
     group_by: Sequence[str],

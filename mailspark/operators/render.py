@@ -42,16 +42,26 @@ def render_messages(emails: DataFrame) -> DataFrame:
     )
 
 
-def render_thread_pieces(emails: DataFrame, order: str = STRING_ORDER) -> DataFrame:
+def render_thread_pieces(emails: DataFrame, order: str = STRING_ORDER, latest_only: bool = False) -> DataFrame:
     """One piece per message: ``----- Email #k -----`` + R1 + blank line.
 
-    A thread's file is its pieces concatenated in ``position`` order.
+    A thread's file is its pieces concatenated in ``position`` order.  With
+    ``latest_only`` threads whose file name is taken by a later thread (N5)
+    are dropped on the thread table (one row per thread) before the join, so
+    the messages are never shuffled for it.
     """
-    t = threads(emails, order).select("thread_key", "thread_num", F.col("subject").alias("_tsubj"))
-    pos = thread_positions(emails, order)
-    joined = pos.join(t, "thread_key")
+    t = threads(emails, order).select(
+        "thread_key", "thread_num", export_filename("subject", "thread_num").alias("file_name")
+    )
+    if latest_only:
+        top = t.groupBy(F.col("file_name").alias("_n")).agg(F.max("thread_num").alias("_v"))
+        t = t.join(top, (t["file_name"] == top["_n"]) & (t["thread_num"] == top["_v"]), "left_semi")
+    # Thread number and name go onto the narrow key table (skew on a hot thread
+    # costs little there); the bodies are joined once on the unique msg_seq.
+    keys = thread_positions(emails, order).select("msg_seq", "thread_key", "position").join(t, "thread_key")
+    joined = emails.join(keys.drop("thread_key"), "msg_seq")
     return joined.select(
-        export_filename("_tsubj", "thread_num").alias("file_name"),
+        "file_name",
         "thread_num",
         "position",
         "msg_seq",

@@ -110,16 +110,11 @@ def threads(emails: DataFrame, order: str = STRING_ORDER) -> DataFrame:
 
 
 def thread_positions(emails: DataFrame, order: str = STRING_ORDER) -> DataFrame:
-    """1-based number of each message inside its thread, in O1/O2 order."""
-    keyed = with_thread_key(emails)
-    return add_group_position(keyed, ["thread_key"], order_columns(order), "position")
+    """1-based number of each message inside its thread, in O1/O2 order.
 
-
-def thread_numbers_for_messages(emails: DataFrame, thread_table: DataFrame) -> DataFrame:
-    """Attach ``thread_num`` and the thread's file-name subject to each message.
-
-    The thread table has one row per thread; the join is a shuffle join on
-    ``thread_key`` (AQE splits a hot thread on the message side).
+    Works on the keys only (msg_seq, thread_key, date): the numbering
+    materialises this narrow table, never the message bodies.  Join the result
+    back on the unique ``msg_seq`` for full rows.
     """
-    t = thread_table.select("thread_key", "thread_num", F.col("subject").alias("thread_subject"))
-    return with_thread_key(emails).join(t, "thread_key")
+    keys = emails.select("msg_seq", thread_key("subject").alias("thread_key"), "date")
+    return add_group_position(keys, ["thread_key"], order_columns(order), "position")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import filenames as N
 from ..functions import text as X
 from ..operators import render, search, threads
-from ..operators.numbering import add_sequence
+from ..operators.numbering import add_sequence_by_key
 from ..sources.views import email_view, read_table
 from . import sqlparts as Q
 
@@ -122,21 +122,21 @@ FROM documents
 
 # --------------------------------------------------------------------- searches
 def search_sender_count(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search_count(email_view(spark, sf), "from", "  Assistant\t", "n_emails")
+    return search.search_count(email_view(spark, sf, numbered=False), "from", "  Assistant\t", "n_emails")
 
 
 SEARCH_SENDER_COUNT_SQL = f"WITH emails AS ({Q.EMAIL_VIEW}) SELECT count(*) FILTER (WHERE {Q.contains_ci('from_addr', 'assistant')}) AS n_emails FROM emails"
 
 
 def search_subject_count(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search_count(email_view(spark, sf), "subject", " topic 1 ", "n_emails")
+    return search.search_count(email_view(spark, sf, numbered=False), "subject", " topic 1 ", "n_emails")
 
 
 SEARCH_SUBJECT_COUNT_SQL = f"WITH emails AS ({Q.EMAIL_VIEW}) SELECT count(*) FILTER (WHERE {Q.contains_ci('subject', 'topic 1')}) AS n_emails FROM emails"
 
 
 def search_body_count(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search_count(email_view(spark, sf), "count", "The", "n_emails")
+    return search.search_count(email_view(spark, sf, numbered=False), "count", "The", "n_emails")
 
 
 SEARCH_BODY_COUNT_SQL = f"WITH emails AS ({Q.EMAIL_VIEW}) SELECT count(*) FILTER (WHERE {Q.contains_ci('body', 'the')}) AS n_emails FROM emails"
@@ -152,7 +152,7 @@ _MULTI = [
 
 
 def multi_keyword_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return search.multi_counts(email_view(spark, sf), _MULTI)
+    return search.multi_counts(email_view(spark, sf, numbered=False), _MULTI)
 
 
 MULTI_KEYWORD_COUNTS_SQL = f"""
@@ -171,7 +171,7 @@ def union_all_load(spark: SparkSession, sf: str) -> DataFrame:
     """The same archive loaded twice -> duplicates kept, numbering continues."""
     e = email_view(spark, sf)
     both = e.withColumn("load_no", F.lit(1)).unionByName(e.withColumn("load_no", F.lit(2)))
-    numbered = add_sequence(both, ["load_no", "msg_seq"], "session_seq")
+    numbered = add_sequence_by_key(both, ["load_no", "msg_seq"], "session_seq")
     return numbered.groupBy("load_no").agg(
         F.count(F.lit(1)).alias("n_emails"),
         F.min("session_seq").alias("min_seq"),
@@ -192,7 +192,7 @@ FROM numbered GROUP BY load_no
 
 # ---------------------------------------------------------------------- threads
 def thread_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    return threads.thread_sizes(email_view(spark, sf))
+    return threads.thread_sizes(email_view(spark, sf, numbered=False))
 
 
 THREAD_SIZES_SQL = f"""
@@ -218,7 +218,7 @@ THREAD_SENTENCES_SQL = f"WITH {Q.THREADS} SELECT thread_key, first_sentence, las
 
 
 def thread_count(spark: SparkSession, sf: str) -> DataFrame:
-    return threads.thread_count(email_view(spark, sf))
+    return threads.thread_count(email_view(spark, sf, numbered=False))
 
 
 THREAD_COUNT_SQL = f"WITH emails AS ({Q.EMAIL_VIEW}) SELECT count(DISTINCT coalesce(lower(subject), '')) AS n_threads FROM emails"

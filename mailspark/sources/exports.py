@@ -22,10 +22,8 @@ def export_messages(emails: DataFrame, out_dir: str) -> dict:
 
 
 def export_threads(emails: DataFrame, out_dir: str, order: str = STRING_ORDER) -> dict:
-    pieces = render_thread_pieces(emails, order)
-    return write_named_files(
-        pieces, out_dir, content_col="piece", order_cols=["position"], version_col="thread_num"
-    )
+    pieces = render_thread_pieces(emails, order, latest_only=True)
+    return write_named_files(pieces, out_dir, content_col="piece", order_cols=["position"])
 
 
 def export_summaries(emails: DataFrame, out_dir: str, order: str = STRING_ORDER) -> dict:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.numbering import add_sequence
+from ..operators.numbering import add_sequence_by_key
 from ..operators.usage import FALLBACK_PRIORITY
 
 # The ten back-ends, listed in fallback priority order.
@@ -47,10 +47,15 @@ def email_columns(conv: DataFrame) -> DataFrame:
     )
 
 
-def email_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Emails numbered 1.. in (conv_id, turn) order (two-phase W1)."""
+def email_view(spark: SparkSession, sf_dir: str, numbered: bool = True) -> DataFrame:
+    """Emails numbered 1.. in (conv_id, turn) order (two-phase W1).
+
+    Numbering needs a range shuffle and a materialised table, so queries that
+    never look at ``msg_seq`` (searches, thread sizes) ask for
+    ``numbered=False`` and stay a single scan.
+    """
     emails = email_columns(read_table(spark, sf_dir, "conversations"))
-    return add_sequence(emails, ["conv_id", "turn"], "msg_seq")
+    return add_sequence_by_key(emails, ["conv_id", "turn"], "msg_seq") if numbered else emails
 
 
 def llm_log_view(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,3 +110,16 @@ def test_ensure_directory_refuses_file(tmp_dir):
         f.write("x")
     with pytest.raises(NotADirectoryError):
         ensure_directory(p)
+
+
+def test_export_threads_name_collision_latest_wins(spark, tmp_dir):
+    rows = [
+        (1, "a", "Plan: a/b?", "2024-01-01", "first thread body\n"),
+        (2, "b", "Plan_ a_b_", "2024-01-02", "second thread body\n"),
+    ]
+    e = spark.createDataFrame(rows, "msg_seq long, from_addr string, subject string, date string, body string")
+    out = os.path.join(tmp_dir, "collide")
+    stats = export_threads(e, out)
+    assert os.listdir(out) == ["export Plan_ a_b_.txt"] and stats["files"] == 1
+    assert "second thread body" in _read(out, "export Plan_ a_b_.txt")
+    assert "first thread body" not in _read(out, "export Plan_ a_b_.txt")
