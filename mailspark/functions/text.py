@@ -30,6 +30,7 @@ MIN_SENTENCE_LEN = 8
 RTF_PART_RE = r"(?is)content-type: application/rtf.*?(\n--|\z)"
 MULTIPART_TAIL_RE = r"(?is)content-type: multipart/mixed.*\z"
 ATTACHMENT_TAIL_RE = r"(?is)content-disposition: attachment.*\z"
+MARKER_START = "content-"
 
 
 def _c(col) -> Column:
@@ -68,10 +69,17 @@ def trim_ws(col) -> Column:
 
 
 def remove_attachments(col) -> Column:
-    """Drop RTF parts, then a multipart/mixed tail, then an attachment tail."""
-    c = F.regexp_replace(_c(col), RTF_PART_RE, "$1")
+    """Drop RTF parts, then a multipart/mixed tail, then an attachment tail.
+
+    The three case-insensitive regexes run only on texts that contain the
+    common marker start (a plain substring test on the lower-cased text); any
+    ASCII-case variant of a marker lower-cases to it, so no match is missed.
+    """
+    src = _c(col)
+    c = F.regexp_replace(src, RTF_PART_RE, "$1")
     c = F.regexp_replace(c, MULTIPART_TAIL_RE, "")
-    return F.regexp_replace(c, ATTACHMENT_TAIL_RE, "")
+    c = F.regexp_replace(c, ATTACHMENT_TAIL_RE, "")
+    return F.when(F.lower(src).contains(MARKER_START), c).otherwise(src)
 
 
 def sentences(col) -> Column:

@@ -20,8 +20,26 @@ from ..operators.usage import FALLBACK_PRIORITY
 BACKENDS_BY_PRIORITY = FALLBACK_PRIORITY
 
 
+# A table at least this large that scans into fewer tasks than the cluster has
+# cores (few, huge row groups) is spread round-robin before the per-row text
+# work; with normal inputs (many splits) nothing changes.
+SPREAD_MIN_BYTES = 8 << 20
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
+    return spread_if_underpartitioned(df, path)
+
+
+def spread_if_underpartitioned(df: DataFrame, path: str) -> DataFrame:
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    jp = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = jp.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(jp).getLength()
+    return df.repartition(cores) if size >= SPREAD_MIN_BYTES else df
 
 
 def email_columns(conv: DataFrame) -> DataFrame:
