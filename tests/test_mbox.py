@@ -187,3 +187,22 @@ def test_append_load(spark, tmp_dir):
     both = append_emails(first, load_mbox(spark, [p]).emails)
     rows = [(r["msg_seq"], r["from_addr"]) for r in both.orderBy("msg_seq").collect()]
     assert rows == [(1, "alice@test.com"), (2, "bob@test.com"), (3, "alice@test.com"), (4, "bob@test.com")]
+
+
+def test_file_reader_equals_text_column_parser(spark, tmp_dir):
+    """The same archives parsed from files (split reader) and from a column agree."""
+    from conftest import SF001
+
+    from mailspark.plans.mbox import rendered_archives
+    from mailspark.sources.mbox import parse_mbox_text
+
+    arch = rendered_archives(spark, SF001).orderBy("conv_id", "turn").collect()
+    paths = []
+    for r in arch[:120]:
+        paths.append(_write(tmp_dir, f"a{r['conv_id']:05d}_{r['turn']:03d}.mbox", r["archive"]))
+    cols = ["from_addr", "subject", "date", "body"]
+    files = load_mbox(spark, paths).emails.orderBy("msg_seq").select(*cols).collect()
+    df = spark.createDataFrame([(r["conv_id"], r["turn"], r["archive"]) for r in arch[:120]], "conv_id long, turn long, archive string")
+    col = parse_mbox_text(df, "archive", ["conv_id", "turn"]).filter("kept").orderBy("conv_id", "turn", "msg_index").select(*cols).collect()
+    assert len(files) == len(col) > 50
+    assert [tuple(r) for r in files] == [tuple(r) for r in col]
