@@ -183,7 +183,7 @@ def fallback_order(state: DataFrame) -> DataFrame:
     prio = F.create_map(*[x for i, b in enumerate(FALLBACK_PRIORITY) for x in (F.lit(b), F.lit(i + 1))])
     avail = state.filter("available").withColumn("priority", prio[F.col("backend")])
     w = Window.partitionBy("snapshot").orderBy(F.col("is_active").desc(), F.col("priority"))
-    return avail.select("snapshot", "backend", "is_active", "priority", F.row_number().over(w).alias("fallback_rank"))
+    return avail.select("snapshot", "backend", "is_active", "priority", F.row_number().over(w).cast("long").alias("fallback_rank"))
 
 
 def config_availability(cfg: DataFrame) -> DataFrame:

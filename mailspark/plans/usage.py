@@ -168,7 +168,7 @@ def pick_model(spark: SparkSession, sf: str) -> DataFrame:
     )
     selected = F.when(uid % 3 == 0, F.lit("mistral:latest")).when(uid % 3 == 1, F.lit("llama3:8b")).otherwise(F.lit("gemma:2b"))
     df = log.select("event_id", models.alias("models"), selected.alias("selected_model"))
-    return df.select("event_id", "selected_model", F.size("models").alias("n_models"), U.pick_model().alias("picked_model"))
+    return df.select("event_id", "selected_model", F.size("models").cast("long").alias("n_models"), U.pick_model().alias("picked_model"))
 
 
 PICK_MODEL_SQL = f"""WITH {LOG_SQL},
