@@ -17,7 +17,6 @@ from ..operators.numbering import add_sequence_by_key
 from ..sources.views import email_view, read_table
 from . import sqlparts as Q
 
-NL = "\n"
 
 
 # --------------------------------------------------------------- text functions

@@ -53,7 +53,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = _LOCAL_DIRS.setdefault(id(spark), tempfile.mkdtemp(prefix="mailspark-ckpt-"))
+        if id(spark) not in _LOCAL_DIRS:
+            _LOCAL_DIRS[id(spark)] = tempfile.mkdtemp(prefix="mailspark-ckpt-")
+        configured = _LOCAL_DIRS[id(spark)]
     if sc is None:
         return configured
     sc.setCheckpointDir(configured)

@@ -1,7 +1,6 @@
 """Literal expectations for N1-N4."""
 
 from conftest import eval_col
-from pyspark.sql import functions as F
 
 from mailspark.functions import filenames as N
 

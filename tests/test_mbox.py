@@ -3,7 +3,6 @@
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from mailspark.functions.text import strip_non_ascii
 from mailspark.sources.mbox import load_mbox

@@ -3,7 +3,6 @@
 import os
 import time
 
-import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 

@@ -1,6 +1,5 @@
 """Threads (A3-A9, O1, W2, W3) and summaries (R3) on literal mail rows."""
 
-from pyspark.sql import functions as F
 
 from mailspark.operators import render, threads
 
@@ -81,3 +80,21 @@ def test_render_pieces_concatenate_in_order(spark):
     text = "".join(p["piece"] for p in pieces)
     assert pieces[0]["file_name"] == "export S.txt"
     assert text.startswith("----- Email #1 -----\nFrom: b\nSubject: S\nDate: 2024-01-01\n\none\n\n\n----- Email #2 -----")
+
+
+def test_search_extras(spark):
+    from mailspark.operators import search
+
+    e = _emails(spark, [
+        (1, "Alice@x.org", "Budget Q1", "Mon, 01 Jan 2024 10:00:00 +0000", "numbers attached"),
+        (2, "bob@y.com", "Re: budget", "2024-02-10", "see you"),
+        (3, None, None, "garbage date", None),
+    ])
+    assert search.search(e, "from", " ALICE ").count() == 1
+    assert search.search_count(e, "subject", "budget").first()[0] == 2
+    assert search.regex_search(e, "subject", r"^Re:").count() == 1
+    assert e.filter(search.date_between("2024-01-01", "2024-01-31")).count() == 1
+    assert e.filter(search.date_between("2024-02-01", None)).count() == 1
+    assert e.filter(search.any_of(search.match("from", "bob"), search.match("count", "numbers"))).count() == 2
+    assert e.filter(search.all_of(search.match("from", "bob"), search.match("count", "numbers"))).count() == 0
+    assert search.total(e).first()[0] == 3
