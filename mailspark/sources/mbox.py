@@ -275,13 +275,20 @@ def load_mbox(spark: SparkSession, paths, persist: bool = True) -> MboxLoad:
     report = records.groupBy("file_ordinal", "file_path").agg(
         F.count_if("kept").alias("n_messages"), F.sum("n_lines").alias("n_lines")
     )
-    emails = number_messages(records.filter("kept"))
+    # Splits per file argument <= files read + scan partitions (a file spans
+    # several splits only when it is bigger than one partition).
+    max_splits = len(files) * (1 + raw.rdd.getNumPartitions())
+    emails = number_messages(records.filter("kept"), max_splits=max_splits)
     return MboxLoad(records, emails, report, files)
 
 
-def number_messages(kept: DataFrame, start: int = 0) -> DataFrame:
+def number_messages(kept: DataFrame, start: int = 0, max_splits: int | None = None) -> DataFrame:
     """W1 for loaded mail: ``start`` + offset of the (file_ordinal, block)
-    split + row number inside the split by scan position."""
+    split + row number inside the split by scan position.
+
+    The offsets table has one row per input split; it is broadcast when
+    ``max_splits`` (a bound from the listing) is within the broadcast limit,
+    else joined by shuffle."""
     split_counts = kept.groupBy("file_ordinal", "block").agg(F.count(F.lit(1)).alias("_n"))
     # One row per input split: small, ordered, single-partition window is fine.
     offsets = split_counts.select(
@@ -291,7 +298,8 @@ def number_messages(kept: DataFrame, start: int = 0) -> DataFrame:
     )
     local = F.row_number().over(Window.partitionBy("file_ordinal", "block").orderBy("rid"))
     within = kept.withColumn("_local", local)
-    out = within.join(F.broadcast(offsets), ["file_ordinal", "block"])
+    small = max_splits is not None and max_splits <= MAX_BROADCAST_FILES
+    out = within.join(F.broadcast(offsets) if small else offsets, ["file_ordinal", "block"])
     return out.select(
         "file_path",
         "file_ordinal",

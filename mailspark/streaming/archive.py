@@ -48,7 +48,7 @@ def _process_batch(emails_dir: str):
         n_prev, f_prev = _previous(spark, emails_dir, batch_id)
         ordinals = spark.createDataFrame([(f_prev + i + 1, f) for i, f in enumerate(files)], "file_ordinal int, file_path string")
         records = records_from_raw(raw, ordinals, len(files), len(files))
-        emails = number_messages(records.filter("kept"), start=n_prev)
+        emails = number_messages(records.filter("kept"), start=n_prev, max_splits=len(files) * (1 + raw.rdd.getNumPartitions()))
         out = f"{emails_dir.rstrip('/')}/batch_id={batch_id}"
         emails.select(*[f.name for f in schema.EMAILS.fields]).write.mode("overwrite").parquet(out)
 
