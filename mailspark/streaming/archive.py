@@ -25,16 +25,20 @@ from ..sources.mbox import number_messages, records_from_raw
 EMAILS_STREAM_SCHEMA = "file_path string, file_ordinal int, msg_seq long, from_addr string, subject string, date string, body string, batch_id long"
 
 
+def _table_exists(spark: SparkSession, path: str) -> bool:
+    jp = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(jp.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jp))
+
+
 def _previous(spark: SparkSession, emails_dir: str, batch_id: int) -> tuple[int, int]:
-    """(messages, files) already loaded by earlier batches (0, 0 if none)."""
-    try:
-        prev = spark.read.schema(EMAILS_STREAM_SCHEMA).parquet(emails_dir).filter(F.col("batch_id") < batch_id)
-        row = prev.agg(F.count(F.lit(1)).alias("n"), F.max("file_ordinal").alias("f")).first()
-        return int(row["n"] or 0), int(row["f"] or 0)
-    except Exception as e:  # noqa: BLE001 - no table yet
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return 0, 0
-        raise
+    """(messages, files) already loaded by earlier batches (0, 0 if none).
+    Reads only the ``batch_id < n`` partitions: row counts from Parquet
+    footers and one small column."""
+    if not _table_exists(spark, emails_dir):
+        return 0, 0
+    prev = spark.read.schema(EMAILS_STREAM_SCHEMA).parquet(emails_dir).filter(F.col("batch_id") < batch_id)
+    row = prev.agg(F.count(F.lit(1)).alias("n"), F.max("file_ordinal").alias("f")).first()
+    return int(row["n"] or 0), int(row["f"] or 0)
 
 
 def _process_batch(emails_dir: str):
