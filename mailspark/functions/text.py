@@ -119,12 +119,19 @@ def last_sentence(col) -> Column:
     return F.regexp_extract(F.coalesce(_c(col), F.lit("")), LAST_SENTENCE_RE, 1)
 
 
-def contains_ci(col, keyword: str) -> Column:
+def contains_ci(col, keyword: str, unicode_equal: bool = False) -> Column:
     """F1-F3 match: keyword trimmed (F7), case-insensitive substring; a NULL
-    field never matches and an empty keyword matches nothing (F6)."""
+    field never matches and an empty keyword matches nothing (F6).
+
+    ``unicode_equal`` compares under the ``UNICODE_CI`` collation, so composed
+    and decomposed forms of a character match (slower: ICU); the default is the
+    binary comparison of lower-cased text.
+    """
     key = keyword.strip(_PY_WS_NL)
     if key == "":
         return F.lit(False)
+    if unicode_equal:
+        return F.coalesce(F.contains(F.collate(_c(col), "UNICODE_CI"), F.lit(key)), F.lit(False))
     return F.coalesce(F.lower(_c(col)).contains(key.lower()), F.lit(False))
 
 

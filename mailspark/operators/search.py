@@ -19,19 +19,19 @@ from ..functions.text import contains_ci, regex_match
 SEARCH_FIELDS = {"from": "from_addr", "subject": "subject", "count": "body"}
 
 
-def match(field: str, keyword: str) -> Column:
+def match(field: str, keyword: str, unicode_equal: bool = False) -> Column:
     """Predicate of one search command (``from``/``subject``/``count`` or a column)."""
-    return contains_ci(SEARCH_FIELDS.get(field, field), keyword)
+    return contains_ci(SEARCH_FIELDS.get(field, field), keyword, unicode_equal)
 
 
-def search(emails: DataFrame, field: str, keyword: str) -> DataFrame:
+def search(emails: DataFrame, field: str, keyword: str, unicode_equal: bool = False) -> DataFrame:
     """Matching messages; ``search(...).count()`` is the command's answer."""
-    return emails.filter(match(field, keyword))
+    return emails.filter(match(field, keyword, unicode_equal))
 
 
-def search_count(emails: DataFrame, field: str, keyword: str, name: str = "n") -> DataFrame:
+def search_count(emails: DataFrame, field: str, keyword: str, name: str = "n", unicode_equal: bool = False) -> DataFrame:
     """One-row count of messages matching (emails, not occurrences)."""
-    return emails.agg(F.count_if(match(field, keyword)).alias(name))
+    return emails.agg(F.count_if(match(field, keyword, unicode_equal)).alias(name))
 
 
 def multi_counts(emails: DataFrame, searches: Sequence[tuple[str, str, str]]) -> DataFrame:

@@ -87,3 +87,9 @@ def test_sentence_length_boundary(spark):
     assert eval_col(spark, vals, X.last_sentence) == ["123456789", "", "123456789", ""]
     # thread form: untrimmed length > 8 decides, result trimmed
     assert eval_col(spark, vals, X.first_sentence_thread_form) == ["123456789", "12345678", "123456789", "12345678"]
+
+
+def test_contains_unicode_equal(spark):
+    df = spark.createDataFrame([("Caf\u00e9 Ol\u00e9",), ("Cafe\u0301 ole\u0301",), ("CAFE",), (None,)], "f string")
+    assert df.filter(X.contains_ci("f", "caf\u00e9")).count() == 1  # binary: composed form only
+    assert df.filter(X.contains_ci("f", "caf\u00e9", unicode_equal=True)).count() == 2  # both forms
