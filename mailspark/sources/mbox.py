@@ -30,6 +30,7 @@ are single input splits, so no group can be larger than one split).
 from __future__ import annotations
 
 import logging
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -169,15 +170,17 @@ class MboxLoad:
     records: DataFrame  # every record with parse results (persisted)
     emails: DataFrame  # kept messages, numbered (schema.EMAILS)
     report: DataFrame  # S11: per file argument, messages kept and lines read
-    files: list[tuple[int, str]]  # (file_ordinal, qualified path) actually read
+    files: list[tuple[int, str, str]]  # (file_ordinal, qualified path, uri) actually read
 
 
-def resolve_paths(spark: SparkSession, paths) -> list[tuple[int, str]]:
+def resolve_paths(spark: SparkSession, paths) -> list[tuple[int, str, str]]:
     """Trim each argument, keep the ones that exist (warn otherwise).
 
     ``paths`` is a list or a comma-separated string.  Globs and directories
     expand to their files in name order.  The same file given twice is kept
-    twice (S3: loading an archive again appends duplicates).
+    twice (S3: loading an archive again appends duplicates).  Returns
+    (file_ordinal, path, uri): ``path`` is what the reader opens, ``uri`` is
+    the URI-encoded form that ``_metadata.file_path`` reports.
     """
     if isinstance(paths, str):
         paths = paths.split(",")
@@ -202,11 +205,24 @@ def resolve_paths(spark: SparkSession, paths) -> list[tuple[int, str]]:
                     files.append(it.next().getPath())
             else:
                 files.append(st.getPath())
-        for f in sorted((fs.makeQualified(x).toString() for x in files)):
-            out.append((len(out) + 1, f))
+        for q in sorted(files, key=lambda q: q.toString()):
+            out.append((len(out) + 1, q.toString(), _canonical_uri(q.toUri().toString())))
     return out
 
 
+# Listing and scan render an empty authority differently ("file:///x" vs
+# "file:/x"); both are otherwise the same percent-encoded java.net.URI text.
+_EMPTY_AUTHORITY_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*):///"
+
+
+def _canonical_uri(uri: str) -> str:
+    return re.sub(_EMPTY_AUTHORITY_RE, r"\1:/", uri)
+
+
+def _canonical_uri_col(col: Column) -> Column:
+    return F.regexp_replace(col, _EMPTY_AUTHORITY_RE, "$1:/")
+
+
 def _empty_emails(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], schema.EMAILS)
 
@@ -216,14 +232,14 @@ def _small_or_shuffle(df: DataFrame, n_rows: int) -> DataFrame:
 
 
 def read_raw_records(reader, paths) -> DataFrame:
-    """Records with their scan position: (rec, file_path, block, rid).
+    """Records with their scan position: (rec, file_uri, block, rid).
 
     ``reader`` is ``spark.read`` or ``spark.readStream`` (then ``paths`` is a folder).
     """
     src = reader.option("lineSep", SEPARATOR).text(paths)
     return src.select(
         F.col("value").alias("rec"),
-        F.col("_metadata.file_path").alias("file_path"),
+        _canonical_uri_col(F.col("_metadata.file_path")).alias("file_uri"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("rid"),
     )
@@ -231,15 +247,16 @@ def read_raw_records(reader, paths) -> DataFrame:
 
 def records_from_raw(raw: DataFrame, ordinals: DataFrame, n_files: int, n_ordinals: int) -> DataFrame:
     """Flag each file's first and last record, parse every record, and tag
-    it with its file ordinal(s).  ``raw`` must come straight from the scan."""
+    it with its file ordinal(s) and path.  ``raw`` must come straight from the
+    scan; ``ordinals`` maps ``file_uri`` to (file_ordinal, file_path)."""
     # Key-only pre-pass: first and last record of every file (one row per file).
-    split_bounds = raw.groupBy("file_path", "block").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"))
-    file_bounds = split_bounds.groupBy("file_path").agg(
+    split_bounds = raw.groupBy("file_uri", "block").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"))
+    file_bounds = split_bounds.groupBy("file_uri").agg(
         F.min(F.struct("block", "lo")).alias("_first"), F.max(F.struct("block", "hi")).alias("_last")
     )
-    flagged = raw.join(_small_or_shuffle(file_bounds, n_files), "file_path").select(
+    flagged = raw.join(_small_or_shuffle(file_bounds, n_files), "file_uri").select(
         "rec",
-        "file_path",
+        "file_uri",
         "block",
         "rid",
         ((F.col("block") == F.col("_first.block")) & (F.col("rid") == F.col("_first.lo"))).alias("is_first"),
@@ -247,7 +264,7 @@ def records_from_raw(raw: DataFrame, ordinals: DataFrame, n_files: int, n_ordina
     )
     parsed = parse_records(flagged, "rec", "is_first", "is_last").drop("rec")
     # Same file given twice -> its records twice, once per ordinal (S3).
-    return parsed.join(_small_or_shuffle(ordinals, n_ordinals), "file_path")
+    return parsed.join(_small_or_shuffle(ordinals, n_ordinals), "file_uri").drop("file_uri")
 
 
 def load_mbox(spark: SparkSession, paths, persist: bool = True) -> MboxLoad:
@@ -263,9 +280,9 @@ def load_mbox(spark: SparkSession, paths, persist: bool = True) -> MboxLoad:
         report = spark.createDataFrame([], "file_ordinal int, file_path string, n_messages long, n_lines long")
         return MboxLoad(empty.withColumn("kept", F.lit(True)), empty, report, files)
 
-    distinct = sorted({f for _, f in files})
+    distinct = sorted({f for _, f, _ in files})
     raw = read_raw_records(spark.read, distinct)
-    ordinals = spark.createDataFrame(files, "file_ordinal int, file_path string")
+    ordinals = spark.createDataFrame(files, "file_ordinal int, file_path string, file_uri string")
     records = records_from_raw(raw, ordinals, len(distinct), len(files))
     if persist:
         path = scratch_path(spark, "mbox-records")

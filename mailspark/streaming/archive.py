@@ -44,13 +44,15 @@ def _previous(spark: SparkSession, emails_dir: str, batch_id: int) -> tuple[int,
 def _process_batch(emails_dir: str):
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        raw = batch.select("rec", "file_path", "block", F.monotonically_increasing_id().alias("rid"))
+        raw = batch.select("rec", "file_uri", "block", F.monotonically_increasing_id().alias("rid"))
         # The files of one micro-batch: a bounded list the source already holds.
-        files = sorted(r[0] for r in raw.select("file_path").distinct().collect())
+        files = sorted(r[0] for r in raw.select("file_uri").distinct().collect())
         if not files:
             return
         n_prev, f_prev = _previous(spark, emails_dir, batch_id)
-        ordinals = spark.createDataFrame([(f_prev + i + 1, f) for i, f in enumerate(files)], "file_ordinal int, file_path string")
+        ordinals = spark.createDataFrame(
+            [(f_prev + i + 1, f, f) for i, f in enumerate(files)], "file_ordinal int, file_path string, file_uri string"
+        )
         records = records_from_raw(raw, ordinals, len(files), len(files))
         emails = number_messages(records.filter("kept"), start=n_prev, max_splits=len(files) * (1 + raw.rdd.getNumPartitions()))
         out = f"{emails_dir.rstrip('/')}/batch_id={batch_id}"
@@ -73,7 +75,7 @@ def start_archive_stream(
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     src = reader.option("lineSep", "\nFrom ").text(source_dir).select(
         F.col("value").alias("rec"),
-        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_path").alias("file_uri"),
         F.col("_metadata.file_block_start").alias("block"),
     )
     w = src.writeStream.foreachBatch(_process_batch(emails_dir)).option("checkpointLocation", checkpoint_dir)

@@ -205,3 +205,13 @@ def test_file_reader_equals_text_column_parser(spark, tmp_dir):
     col = parse_mbox_text(df, "archive", ["conv_id", "turn"]).filter("kept").orderBy("conv_id", "turn", "msg_index").select(*cols).collect()
     assert len(files) == len(col) > 50
     assert [tuple(r) for r in files] == [tuple(r) for r in col]
+
+
+def test_file_names_needing_uri_encoding(spark, tmp_dir):
+    """_metadata.file_path is URI-encoded; no file may be lost on the join."""
+    names = ["with space.mbox", "pct%41.mbox", "hash#x.mbox", "plus+sign.mbox", "ünï.mbox"]
+    paths = [_write(tmp_dir, n, f"From a\nFrom: x{i}@y\nSubject: s\n\nbody\n") for i, n in enumerate(names)]
+    load = load_mbox(spark, paths)
+    rows = load.emails.orderBy("msg_seq").collect()
+    assert [r["from_addr"] for r in rows] == [f"x{i}@y" for i in range(len(names))]
+    assert {r["file_path"].rsplit("/", 1)[-1] for r in rows} == set(names)
