@@ -37,9 +37,14 @@ _UNSAFE_NAME_RE = re.compile(r"[\x00-\x1f\x7f/]")
 
 
 def _fs(uri: str):
+    """(file system, path) for a folder given as a plain path or a URI."""
+    from urllib.parse import unquote, urlparse
+
     from pyarrow import fs as pafs
 
-    if "://" in uri:
+    if uri.startswith("file:"):
+        return pafs.LocalFileSystem(), os.path.abspath(unquote(urlparse(uri).path))
+    if re.match(r"^[A-Za-z][A-Za-z0-9+.\-]*://", uri):
         return pafs.FileSystem.from_uri(uri)
     return pafs.LocalFileSystem(), os.path.abspath(uri)
 

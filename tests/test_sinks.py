@@ -123,3 +123,11 @@ def test_export_threads_name_collision_latest_wins(spark, tmp_dir):
     assert os.listdir(out) == ["export Plan_ a_b_.txt"] and stats["files"] == 1
     assert "second thread body" in _read(out, "export Plan_ a_b_.txt")
     assert "first thread body" not in _read(out, "export Plan_ a_b_.txt")
+
+
+def test_output_folder_as_file_uri(spark, tmp_dir):
+    df = spark.createDataFrame([("m.txt", "hello")], "file_name string, content string")
+    for uri in (f"file:{tmp_dir}/u1", f"file://{tmp_dir}/u2"):
+        write_named_files(df, uri)
+    assert _read(os.path.join(tmp_dir, "u1"), "m.txt") == "hello"
+    assert _read(os.path.join(tmp_dir, "u2"), "m.txt") == "hello"
