@@ -83,7 +83,10 @@ def _clean_lines_text(t: Column) -> Column:
 def _n_lines(rec: Column, is_last: Column) -> Column:
     """Lines the record spans in the file, before any line is dropped."""
     t = _drop_final_newline(rec, is_last)
-    return (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    # Newlines = length lost by removing them (character counts are exact for
+    # valid UTF-8); a record with undecodable bytes counts its split pieces.
+    by_length = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1
+    return F.when(F.is_valid_utf8(t), by_length).otherwise(F.size(F.split(t, "\n", -1))).cast("long")
 
 
 def _header(block: Column, prefix: str) -> Column:

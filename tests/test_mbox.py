@@ -215,3 +215,9 @@ def test_file_names_needing_uri_encoding(spark, tmp_dir):
     rows = load.emails.orderBy("msg_seq").collect()
     assert [r["from_addr"] for r in rows] == [f"x{i}@y" for i in range(len(names))]
     assert {r["file_path"].rsplit("/", 1)[-1] for r in rows} == set(names)
+
+
+def test_line_count_with_bad_bytes(spark, tmp_dir):
+    content = b"From x\nFrom: a@b\nSubject: s\n\n\xe0\nnext\nlast\n"
+    load = load_mbox(spark, [_write(tmp_dir, "bad.mbox", content)])
+    assert load.report.first()["n_lines"] == 7
