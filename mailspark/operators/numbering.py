@@ -44,8 +44,37 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+# Target size of one range partition when the count is derived from the data.
+TARGET_PARTITION_BYTES = 128 << 20
+
+
+# Most partitions chosen automatically (explicit counts may go up to MAX_SEQUENCE_PARTITIONS).
+MAX_AUTO_PARTITIONS = 100_000
+
+
+def target_partitions(df: DataFrame, bytes_per_partition: int = TARGET_PARTITION_BYTES) -> int:
+    """Partitions for an explicit range exchange (which AQE neither splits nor
+    coalesces): at least ``spark.sql.shuffle.partitions``, more when the data
+    would otherwise exceed ``bytes_per_partition`` per partition.
+
+    The size is Catalyst's estimate (which scales scans by the projected
+    columns) bounded by the total size of the plan's inputs, because without
+    cost-based statistics a join is estimated as the product of its sides.
+    """
+    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    try:
+        plan = df._jdf.queryExecution().optimizedPlan()
+        estimate = int(str(plan.stats().sizeInBytes()))
+        leaves = plan.collectLeaves()
+        inputs = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    except Exception:  # noqa: BLE001 - no plan statistics (e.g. Spark Connect)
+        return base
+    size = min(estimate, inputs) if inputs > 0 else estimate
+    return int(min(MAX_AUTO_PARTITIONS, max(base, -(-size // bytes_per_partition))))
+
+
 def _default_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return target_partitions(df)
 
 
 def add_sequence(

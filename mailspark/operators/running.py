@@ -20,7 +20,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .numbering import add_sequence, materialize
+from .numbering import add_sequence, materialize, target_partitions
 
 _BUCKET = "_run_bucket"
 
@@ -34,7 +34,7 @@ def running_sums(
 ) -> DataFrame:
     """Add one running-total column per entry of ``sums`` (name -> expression),
     summed over each key's rows up to and including the current one."""
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    n = num_partitions or target_partitions(df)
     vals = {f"_run_v{i}": expr for i, expr in enumerate(sums.values())}
     base = df.select("*", *[e.alias(v) for v, e in vals.items()])
     # Bucket = range partition; materialised once so every use sees the same cut.

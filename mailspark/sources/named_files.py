@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.numbering import target_partitions
+
 PIECES_DIR = "_mailspark_pieces"
 _UNSAFE_NAME_RE = re.compile(r"[\x00-\x1f\x7f/]")
 
@@ -172,7 +174,7 @@ def write_named_files(
     spark = df.sparkSession
     if version_col is not None:
         df = latest_versions(df, name_col, version_col)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    n = num_partitions or target_partitions(df)
     keys = [F.col(name_col), *[F.col(c) if isinstance(c, str) else c for c in order_cols]]
     rows = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select(
         F.col(name_col).alias("file_name"), F.col(content_col).alias("content")
