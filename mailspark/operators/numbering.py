@@ -22,6 +22,8 @@ caller and checked here, so it never grows with the data.
 
 from __future__ import annotations
 
+import os
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,24 +54,39 @@ TARGET_PARTITION_BYTES = 128 << 20
 MAX_AUTO_PARTITIONS = 100_000
 
 
-def target_partitions(df: DataFrame, bytes_per_partition: int = TARGET_PARTITION_BYTES) -> int:
-    """Partitions for an explicit range exchange (which AQE neither splits nor
-    coalesces): at least ``spark.sql.shuffle.partitions``, more when the data
-    would otherwise exceed ``bytes_per_partition`` per partition.
+# Below this estimated size an ordered operator runs as one plain window
+# (a single sorted task is cheaper than the two-phase scheme's extra jobs).
+# (MAILSPARK_SMALL_INPUT_BYTES=0 forces the distributed path, e.g. to check it.)
+SMALL_INPUT_BYTES = int(os.environ.get("MAILSPARK_SMALL_INPUT_BYTES", 64 << 20))
 
-    The size is Catalyst's estimate (which scales scans by the projected
-    columns) bounded by the total size of the plan's inputs, because without
-    cost-based statistics a join is estimated as the product of its sides.
-    """
-    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of ``df`` bounded by the total size of the
+    plan's inputs (without cost-based statistics a join is estimated as the
+    product of its sides); None when no statistics are available."""
     try:
         plan = df._jdf.queryExecution().optimizedPlan()
         estimate = int(str(plan.stats().sizeInBytes()))
         leaves = plan.collectLeaves()
         inputs = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     except Exception:  # noqa: BLE001 - no plan statistics (e.g. Spark Connect)
+        return None
+    return min(estimate, inputs) if inputs > 0 else estimate
+
+
+def is_small(df: DataFrame) -> bool:
+    size = estimated_bytes(df)
+    return size is not None and size <= SMALL_INPUT_BYTES
+
+
+def target_partitions(df: DataFrame, bytes_per_partition: int = TARGET_PARTITION_BYTES) -> int:
+    """Partitions for an explicit range exchange (which AQE neither splits nor
+    coalesces): at least ``spark.sql.shuffle.partitions``, more when the data
+    would otherwise exceed ``bytes_per_partition`` per partition."""
+    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    size = estimated_bytes(df)
+    if size is None:
         return base
-    size = min(estimate, inputs) if inputs > 0 else estimate
     return int(min(MAX_AUTO_PARTITIONS, max(base, -(-size // bytes_per_partition))))
 
 
@@ -86,8 +103,11 @@ def add_sequence(
     """Append ``name`` = 1-based position of each row in ``order_by`` order.
 
     Ties in ``order_by`` get distinct, arbitrary numbers; pass a unique key for
-    a deterministic result.
+    a deterministic result.  An input estimated below ``SMALL_INPUT_BYTES``
+    (and no explicit ``num_partitions``) is numbered by one sorted window.
     """
+    if num_partitions is None and is_small(df):
+        return df.select(*df.columns, F.row_number().over(Window.orderBy(*order_by)).cast("long").alias(name))
     n = num_partitions or _default_partitions(df)
     if not 0 < n <= MAX_SEQUENCE_PARTITIONS:
         raise ValueError(f"num_partitions must be in 1..{MAX_SEQUENCE_PARTITIONS}, got {n}")
@@ -119,6 +139,8 @@ def add_sequence_by_key(
     equi-join on the key (a uniform hash shuffle - a unique key cannot skew),
     so the full rows are never written out."""
     keys = list(key_cols)
+    if num_partitions is None and is_small(df):
+        return add_sequence(df, keys, name)
     numbered = add_sequence(df.select(*keys), keys, name, num_partitions)
     return df.join(numbered, keys)
 

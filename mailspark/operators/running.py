@@ -20,7 +20,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .numbering import add_sequence, materialize, target_partitions
+from .numbering import add_sequence, is_small, materialize, target_partitions
 
 _BUCKET = "_run_bucket"
 
@@ -33,7 +33,11 @@ def running_sums(
     num_partitions: int | None = None,
 ) -> DataFrame:
     """Add one running-total column per entry of ``sums`` (name -> expression),
-    summed over each key's rows up to and including the current one."""
+    summed over each key's rows up to and including the current one.  A small
+    input (see ``numbering.is_small``) uses one plain window per key."""
+    if num_partitions is None and is_small(df):
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select(*df.columns, *[F.sum(e).over(w).alias(name) for name, e in sums.items()])
     n = num_partitions or target_partitions(df)
     vals = {f"_run_v{i}": expr for i, expr in enumerate(sums.values())}
     base = df.select("*", *[e.alias(v) for v, e in vals.items()])
@@ -58,7 +62,11 @@ def with_previous(
     num_partitions: int | None = None,
 ) -> DataFrame:
     """Add ``prev_name`` = value of ``col`` on the previous row of the same key
-    (NULL on a key's first row), for each ``prev_name -> col`` of ``cols``."""
+    (NULL on a key's first row), for each ``prev_name -> col`` of ``cols``.
+    A small input uses a plain ``lag`` window."""
+    if num_partitions is None and is_small(df):
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return df.select(*df.columns, *[F.lag(c).over(w).alias(p) for p, c in cols.items()])
     seq = "_prev_seq"
     numbered = add_sequence(df, [*keys, *order], seq, num_partitions)
     kk = {k: f"_prev_k_{k}" for k in keys}
