@@ -23,7 +23,7 @@ BACKENDS_BY_PRIORITY = FALLBACK_PRIORITY
 # A table at least this large that scans into fewer tasks than the cluster has
 # cores (few, huge row groups) is spread round-robin before the per-row text
 # work; with normal inputs (many splits) nothing changes.
-SPREAD_MIN_BYTES = 8 << 20
+SPREAD_MIN_BYTES = 1 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
