@@ -47,10 +47,9 @@ SEPARATOR = "\nFrom "
 SEPARATOR_PREFIX = "From "
 HEADER_PREFIXES = {"from_addr": "From:", "subject": "Subject:", "date": "Date:"}
 ESCAPED_FROM_RE = r"\A>From "
-REPLACEMENT_CHAR = "�"
 
-# A per-file table is broadcast only below this many files (exact count known
-# from the listing); above it the same join runs as a shuffle join.
+# A per-file or per-split table is broadcast only below this many rows (exact
+# count known from the listing); above it the same join runs as a shuffle join.
 MAX_BROADCAST_FILES = 200_000
 
 
@@ -173,17 +172,17 @@ class MboxLoad:
     records: DataFrame  # every record with parse results (persisted)
     emails: DataFrame  # kept messages, numbered (schema.EMAILS)
     report: DataFrame  # S11: per file argument, messages kept and lines read
-    files: list[tuple[int, str, str]]  # (file_ordinal, qualified path, uri) actually read
+    files: list[tuple[int, str, str, int]]  # (file_ordinal, path, uri, size) actually read
 
 
-def resolve_paths(spark: SparkSession, paths) -> list[tuple[int, str, str]]:
+def resolve_paths(spark: SparkSession, paths) -> list[tuple[int, str, str, int]]:
     """Trim each argument, keep the ones that exist (warn otherwise).
 
     ``paths`` is a list or a comma-separated string.  Globs and directories
     expand to their files in name order.  The same file given twice is kept
     twice (S3: loading an archive again appends duplicates).  Returns
-    (file_ordinal, path, uri): ``path`` is what the reader opens, ``uri`` is
-    the URI-encoded form that ``_metadata.file_path`` reports.
+    (file_ordinal, path, uri, size): ``path`` is what the reader opens,
+    ``uri`` the URI-encoded form that ``_metadata.file_path`` reports.
     """
     if isinstance(paths, str):
         paths = paths.split(",")
@@ -205,14 +204,37 @@ def resolve_paths(spark: SparkSession, paths) -> list[tuple[int, str, str]]:
             if st.isDirectory():
                 it = fs.listFiles(st.getPath(), True)
                 while it.hasNext():
-                    files.append(it.next().getPath())
+                    f = it.next()
+                    files.append((f.getPath(), f.getLen()))
             else:
-                files.append(st.getPath())
-        for q in sorted(files, key=lambda q: q.toString()):
-            out.append((len(out) + 1, q.toString(), _canonical_uri(q.toUri().toString())))
+                files.append((st.getPath(), st.getLen()))
+        for q, size in sorted(files, key=lambda f: f[0].toString()):
+            out.append((len(out) + 1, q.toString(), _canonical_uri(q.toUri().toString()), int(size)))
     return out
 
 
+def split_count(spark: SparkSession, sizes: list[int]) -> int:
+    """Number of input splits Spark cuts these files into (its own rule:
+    split size = min(maxPartitionBytes, max(openCostInBytes, total / minPartitions)))."""
+    conf = spark.conf
+    max_bytes = _bytes(conf.get("spark.sql.files.maxPartitionBytes", "128m"))
+    open_cost = _bytes(conf.get("spark.sql.files.openCostInBytes", "4m"))
+    min_parts = conf.get("spark.sql.files.minPartitionNum", None)
+    try:
+        parallelism = int(min_parts) if min_parts else spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001
+        parallelism = 1
+    total = sum(sizes) + open_cost * len(sizes)
+    split = max(1, min(max_bytes, max(open_cost, total // max(1, parallelism))))
+    return sum(max(1, -(-size // split)) for size in sizes)
+
+
+def _bytes(v: str) -> int:
+    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    v = v.strip().lower().rstrip("b") or "0"
+    return int(float(v[:-1]) * units[v[-1]]) if v[-1] in units else int(v)
+
+
 # Listing and scan render an empty authority differently ("file:///x" vs
 # "file:/x"); both are otherwise the same percent-encoded java.net.URI text.
 _EMPTY_AUTHORITY_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*):///"
@@ -283,9 +305,9 @@ def load_mbox(spark: SparkSession, paths, persist: bool = True) -> MboxLoad:
         report = spark.createDataFrame([], "file_ordinal int, file_path string, n_messages long, n_lines long")
         return MboxLoad(empty.withColumn("kept", F.lit(True)), empty, report, files)
 
-    distinct = sorted({f for _, f, _ in files})
+    distinct = sorted({f for _, f, _, _ in files})
     raw = read_raw_records(spark.read, distinct)
-    ordinals = spark.createDataFrame(files, "file_ordinal int, file_path string, file_uri string")
+    ordinals = spark.createDataFrame([f[:3] for f in files], "file_ordinal int, file_path string, file_uri string")
     records = records_from_raw(raw, ordinals, len(distinct), len(files))
     if persist:
         path = scratch_path(spark, "mbox-records")
@@ -295,10 +317,8 @@ def load_mbox(spark: SparkSession, paths, persist: bool = True) -> MboxLoad:
     report = records.groupBy("file_ordinal", "file_path").agg(
         F.count_if("kept").alias("n_messages"), F.sum("n_lines").alias("n_lines")
     )
-    # Splits per file argument <= files read + scan partitions (a file spans
-    # several splits only when it is bigger than one partition).
-    max_splits = len(files) * (1 + raw.rdd.getNumPartitions())
-    emails = number_messages(records.filter("kept"), max_splits=max_splits)
+    # One offsets row per (file argument, split): exact count from the listing.
+    emails = number_messages(records.filter("kept"), max_splits=split_count(spark, [f[3] for f in files]))
     return MboxLoad(records, emails, report, files)
 
 

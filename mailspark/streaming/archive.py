@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schema
 from ..operators.search import match
 from ..operators.threads import thread_key
-from ..sources.mbox import number_messages, records_from_raw
+from ..sources.mbox import number_messages, records_from_raw, split_count
 
 EMAILS_STREAM_SCHEMA = "file_path string, file_ordinal int, msg_seq long, from_addr string, subject string, date string, body string, batch_id long"
 
@@ -46,7 +46,8 @@ def _process_batch(emails_dir: str):
         spark = batch.sparkSession
         raw = batch.select("rec", "file_uri", "block", F.monotonically_increasing_id().alias("rid"))
         # The files of one micro-batch: a bounded list the source already holds.
-        files = sorted(r[0] for r in raw.select("file_uri").distinct().collect())
+        listed = sorted((r[0], r[1]) for r in batch.select("file_uri", "file_size").distinct().collect())
+        files = [f for f, _ in listed]
         if not files:
             return
         n_prev, f_prev = _previous(spark, emails_dir, batch_id)
@@ -54,7 +55,7 @@ def _process_batch(emails_dir: str):
             [(f_prev + i + 1, f, f) for i, f in enumerate(files)], "file_ordinal int, file_path string, file_uri string"
         )
         records = records_from_raw(raw, ordinals, len(files), len(files))
-        emails = number_messages(records.filter("kept"), start=n_prev, max_splits=len(files) * (1 + raw.rdd.getNumPartitions()))
+        emails = number_messages(records.filter("kept"), start=n_prev, max_splits=split_count(spark, [n for _, n in listed]))
         out = f"{emails_dir.rstrip('/')}/batch_id={batch_id}"
         emails.select(*[f.name for f in schema.EMAILS.fields]).write.mode("overwrite").parquet(out)
 
@@ -77,6 +78,7 @@ def start_archive_stream(
         F.col("value").alias("rec"),
         F.col("_metadata.file_path").alias("file_uri"),
         F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_size").alias("file_size"),
     )
     w = src.writeStream.foreachBatch(_process_batch(emails_dir)).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
