@@ -67,13 +67,14 @@ def start_archive_stream(
     source_dir: str,
     emails_dir: str,
     checkpoint_dir: str,
-    max_files_per_trigger: int | None = None,
+    max_files_per_trigger: int = 1000,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """ST1: load every new MBOX file of ``source_dir`` into ``emails_dir``."""
-    reader = spark.readStream
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    """ST1: load every new MBOX file of ``source_dir`` into ``emails_dir``.
+
+    ``max_files_per_trigger`` bounds a micro-batch, and with it the file list
+    the batch function reads on the driver."""
+    reader = spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger)
     src = reader.option("lineSep", "\nFrom ").text(source_dir).select(
         F.col("value").alias("rec"),
         F.col("_metadata.file_path").alias("file_uri"),
