@@ -5,7 +5,8 @@
   names and null / tied dates all occur, so every thread operator has work.
 * request log over ``events``: one row per event, back-end chosen by user.
 
-The same mapping is written as DuckDB SQL in :mod:`mailspark.plans.registry`.
+The same mappings are written as DuckDB SQL in :mod:`mailspark.plans.sqlparts`
+(email view) and :mod:`mailspark.plans.usage` (request log).
 """
 
 from __future__ import annotations
