@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions.text import is_clear_text, remove_attachments, trim_ws
+from ..operators.numbering import SMALL_INPUT_BYTES
 from ..session import scratch_path
 
 log = logging.getLogger(__name__)
@@ -292,12 +293,14 @@ def records_from_raw(raw: DataFrame, ordinals: DataFrame, n_files: int, n_ordina
     return parsed.join(_small_or_shuffle(ordinals, n_ordinals), "file_uri").drop("file_uri")
 
 
-def load_mbox(spark: SparkSession, paths, persist: bool = True) -> MboxLoad:
+def load_mbox(spark: SparkSession, paths, persist: bool | None = None) -> MboxLoad:
     """Read MBOX files into numbered emails.
 
-    With ``persist`` (default) the parsed records are written once to the
-    cluster's checkpoint folder, so later steps re-read columns from Parquet
-    instead of re-parsing, and a lost executor never forces a re-parse.
+    With ``persist`` the parsed records are written once to the cluster's
+    checkpoint folder, so later steps re-read columns from Parquet instead of
+    re-parsing, and a lost executor never forces a re-parse.  By default
+    archives above ``SMALL_INPUT_BYTES`` in total (exact, from the listing) are
+    persisted; smaller ones are cheaper to parse twice than to write.
     """
     files = resolve_paths(spark, paths)
     if not files:
@@ -309,6 +312,8 @@ def load_mbox(spark: SparkSession, paths, persist: bool = True) -> MboxLoad:
     raw = read_raw_records(spark.read, distinct)
     ordinals = spark.createDataFrame([f[:3] for f in files], "file_ordinal int, file_path string, file_uri string")
     records = records_from_raw(raw, ordinals, len(distinct), len(files))
+    if persist is None:
+        persist = sum(f[3] for f in files) > SMALL_INPUT_BYTES
     if persist:
         path = scratch_path(spark, "mbox-records")
         records.write.parquet(path)
