@@ -12,12 +12,16 @@ records need their position in the file:
 * the last record still carries the file's final newline, which the others lost
   to the separator.
 
-Positions come from ``(file, _metadata.file_block_start, monotonically_increasing_id())``
-recorded right at the scan; a key-only pre-pass (no text kept, partial
-aggregation, one row per split) finds each file's first and last record.
+The archives are read once: every record is parsed without its position
+(``parse_raw``), keeping the few facts the two rules need (starts with a
+separator, ends with LF, raw body).  Positions come from
+``(file, _metadata.file_block_start, monotonically_increasing_id())`` recorded
+right at the scan; after the parse (and the optional persist) an aggregate
+over those three columns - one row per file - finds each file's first and last
+record and ``finalize`` applies the rules, the body clean-up and the keep test.
 
-Parsing is a pure Catalyst projection over the record (split into lines, header
-picks, body join, clean-up, clear-text test); no Python touches a row.
+Parsing is a pure Catalyst projection over the record (header picks, body
+split, clean-up, clear-text test); no Python touches a row.
 
 Numbering (W1/P12)
 ------------------
@@ -55,12 +59,6 @@ MAX_BROADCAST_FILES = 200_000
 
 
 # ----------------------------------------------------------------- record parse
-def _drop_final_newline(rec: Column, is_last: Column) -> Column:
-    """The last record of a file keeps the file's final newline; drop it."""
-    cut = rec.substr(F.lit(1), F.length(rec) - 1)
-    return F.when(is_last & rec.endswith("\n"), cut).otherwise(rec)
-
-
 def _clean_lines_text(t: Column) -> Column:
     """P3/P4/P5 on the whole record text with regexes (no line arrays, so the
     parse stays in whole-stage codegen).
@@ -80,9 +78,8 @@ def _clean_lines_text(t: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\x00[^\n]*", ""), r"\r(?=\n|\z)", "")
 
 
-def _n_lines(rec: Column, is_last: Column) -> Column:
-    """Lines the record spans in the file, before any line is dropped."""
-    t = _drop_final_newline(rec, is_last)
+def _n_lines(t: Column) -> Column:
+    """Lines of the text (LF count + 1), before any line is dropped."""
     # Newlines = length lost by removing them (character counts are exact for
     # valid UTF-8); a record with undecodable bytes counts its split pieces.
     by_length = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1
@@ -97,19 +94,21 @@ def _header(block: Column, prefix: str) -> Column:
     return F.when(F.locate(key, block) > 0, trim_ws(last))
 
 
-def parse_records(records: DataFrame, rec_col: str, first_col: str, last_col: str) -> DataFrame:
-    """P1-P11 on a DataFrame of records; adds from_addr, subject, date, body,
-    is_message (not a preamble), kept (P11) and n_lines (S11).
+def parse_raw(records: DataFrame, rec_col: str) -> DataFrame:
+    """P1, P3-P9 on each record without knowing its place in the file.
+
+    Adds from_addr, subject, date, the body before clean-up (``_body_raw``,
+    parsed as if the record were not the file's last), ``_has_body``,
+    ``_starts_from`` (the record begins with a separator line), ``_ends_nl``
+    and ``_n_lines_raw``; :func:`finalize` applies the first/last-record rules.
 
     All string expressions (codegen), no per-line arrays: the separator line is
     cut at the first LF; with ``s`` = LF + the remaining lines, the first empty
     line is the first LF followed by LF or the end (P7); headers are before it,
     the body lines after it.
     """
-    rec, first, last = F.col(rec_col), F.col(first_col), F.col(last_col)
-    t = _clean_lines_text(_drop_final_newline(rec, last))
-    df = records.withColumn("_t", t).withColumn("n_lines", _n_lines(rec, last))
-    is_message = ~(first & ~rec.startswith(SEPARATOR_PREFIX))  # P2
+    rec = F.col(rec_col)
+    df = records.withColumn("_t", _clean_lines_text(rec))
     nl = F.locate("\n", F.col("_t"))
     s = F.when(nl > 0, F.concat(F.lit("\n"), F.substr(F.col("_t"), nl + 1))).otherwise(F.lit(""))  # drop separator line
     df = df.withColumn("_s", s)
@@ -117,29 +116,58 @@ def parse_records(records: DataFrame, rec_col: str, first_col: str, last_col: st
     blank, sc = F.col("_blank"), F.col("_s")
     hdr = F.when(blank == 0, sc).otherwise(F.substr(sc, F.lit(1), blank - 1))
     has_body = (blank > 0) & (blank < F.length(sc))
-    body_text = F.substr(sc, blank + 2)
-    unescaped = F.regexp_replace(body_text, r"(\A|\n)>From ", "$1From ")  # P9
+    unescaped = F.regexp_replace(F.substr(sc, blank + 2), r"(\A|\n)>From ", "$1From ")  # P9
     body = F.when(has_body, F.concat(unescaped, F.lit("\n"))).otherwise(F.lit(""))  # P8
-    df = df.withColumn("_hdr", hdr).withColumn("_body", remove_attachments(body))  # P10
+    df = df.withColumn("_hdr", hdr)
     fields = [_header(F.col("_hdr"), p).alias(name) for name, p in HEADER_PREFIXES.items()]
-    df = df.select("*", *fields)
-    kept = is_message & is_clear_text("_body") & (F.col("from_addr").isNotNull() | F.col("subject").isNotNull())  # P11
+    return df.select(
+        *records.columns,
+        *fields,
+        body.alias("_body_raw"),
+        has_body.alias("_has_body"),
+        rec.startswith(SEPARATOR_PREFIX).alias("_starts_from"),
+        rec.endswith("\n").alias("_ends_nl"),
+        _n_lines(rec).alias("_n_lines_raw"),
+    )
+
+
+def finalize(parsed: DataFrame, first: Column, last: Column) -> DataFrame:
+    """Apply the rules that depend on a record's place in its file, then P10
+    and P11.
+
+    * first record: a preamble unless it starts with a separator (P2);
+    * last record: it still holds the file's final newline, which the others
+      lost to the separator - so its body (when it has one) loses one trailing
+      LF and its line count one line.
+    """
+    fix = last & F.col("_ends_nl")
+    raw = F.col("_body_raw")
+    body_raw = F.when(fix & F.col("_has_body"), raw.substr(F.lit(1), F.length(raw) - 1)).otherwise(raw)
+    is_message = ~(first & ~F.col("_starts_from"))  # P2
+    df = parsed.select(
+        "*",
+        remove_attachments(body_raw).alias("body"),  # P10
+        is_message.alias("is_message"),
+        (F.col("_n_lines_raw") - F.when(fix, F.lit(1)).otherwise(F.lit(0))).cast("long").alias("n_lines"),
+    )
+    kept = F.col("is_message") & is_clear_text("body") & (F.col("from_addr").isNotNull() | F.col("subject").isNotNull())  # P11
     # Optimizer barrier: without it a later ``filter("kept")`` is pushed below
     # this projection and Catalyst substitutes every intermediate column into
     # the condition (the record text would be cleaned dozens of times and the
     # generated code outgrow the JIT limit).  An always-true nondeterministic
     # term keeps filters on the computed columns.
     kept = kept & (F.spark_partition_id() >= 0)
-    return df.select(
-        *[c for c in records.columns],
-        "from_addr",
-        "subject",
-        "date",
-        F.col("_body").alias("body"),
-        is_message.alias("is_message"),
-        kept.alias("kept"),
-        "n_lines",
-    )
+    internal = {"_body_raw", "_has_body", "_starts_from", "_ends_nl", "_n_lines_raw"}
+    return df.select(*[c for c in df.columns if c not in internal], kept.alias("kept"))
+
+
+def parse_records(records: DataFrame, rec_col: str, first_col: str, last_col: str) -> DataFrame:
+    """P1-P11 on records whose first/last flags are known: adds from_addr,
+    subject, date, body, is_message (not a preamble), n_lines (S11), kept."""
+    parsed = parse_raw(records, rec_col)
+    out = finalize(parsed, F.col(first_col), F.col(last_col))
+    keep = [c for c in records.columns] + ["from_addr", "subject", "date", "body", "is_message", "kept", "n_lines"]
+    return out.select(*keep)
 
 
 # ------------------------------------------------------------ text-column form
@@ -271,36 +299,36 @@ def read_raw_records(reader, paths) -> DataFrame:
     )
 
 
-def records_from_raw(raw: DataFrame, ordinals: DataFrame, n_files: int, n_ordinals: int) -> DataFrame:
-    """Flag each file's first and last record, parse every record, and tag
-    it with its file ordinal(s) and path.  ``raw`` must come straight from the
-    scan; ``ordinals`` maps ``file_uri`` to (file_ordinal, file_path)."""
-    # Key-only pre-pass: first and last record of every file (one row per file).
-    split_bounds = raw.groupBy("file_uri", "block").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"))
-    file_bounds = split_bounds.groupBy("file_uri").agg(
-        F.min(F.struct("block", "lo")).alias("_first"), F.max(F.struct("block", "hi")).alias("_last")
-    )
-    flagged = raw.join(_small_or_shuffle(file_bounds, n_files), "file_uri").select(
-        "rec",
-        "file_uri",
-        "block",
-        "rid",
-        ((F.col("block") == F.col("_first.block")) & (F.col("rid") == F.col("_first.lo"))).alias("is_first"),
-        ((F.col("block") == F.col("_last.block")) & (F.col("rid") == F.col("_last.hi"))).alias("is_last"),
-    )
-    parsed = parse_records(flagged, "rec", "is_first", "is_last").drop("rec")
-    # Same file given twice -> its records twice, once per ordinal (S3).
+def records_from_raw(raw: DataFrame, ordinals: DataFrame, n_ordinals: int) -> DataFrame:
+    """Parse every record (position-free) and tag it with its file ordinal(s)
+    and path.  ``raw`` must come straight from the scan; ``ordinals`` maps
+    ``file_uri`` to (file_ordinal, file_path).  Same file given twice -> its
+    records twice, once per ordinal (S3)."""
+    parsed = parse_raw(raw, "rec").drop("rec")
     return parsed.join(_small_or_shuffle(ordinals, n_ordinals), "file_uri").drop("file_uri")
 
 
+def finalize_files(parsed: DataFrame, n_ordinals: int) -> DataFrame:
+    """Find each file's first and last record from the scan positions - an
+    aggregate over three columns, one row per file - and finalize."""
+    pos = F.struct("block", "rid")
+    bounds = parsed.groupBy("file_ordinal").agg(F.min(pos).alias("_first"), F.max(pos).alias("_last"))
+    flagged = parsed.join(_small_or_shuffle(bounds, n_ordinals), "file_ordinal")
+    is_first = (F.col("block") == F.col("_first.block")) & (F.col("rid") == F.col("_first.rid"))
+    is_last = (F.col("block") == F.col("_last.block")) & (F.col("rid") == F.col("_last.rid"))
+    return finalize(flagged, is_first, is_last).drop("_first", "_last")
+
+
 def load_mbox(spark: SparkSession, paths, persist: bool | None = None) -> MboxLoad:
     """Read MBOX files into numbered emails.
 
-    With ``persist`` the parsed records are written once to the cluster's
-    checkpoint folder, so later steps re-read columns from Parquet instead of
-    re-parsing, and a lost executor never forces a re-parse.  By default
-    archives above ``SMALL_INPUT_BYTES`` in total (exact, from the listing) are
-    persisted; smaller ones are cheaper to parse twice than to write.
+    One read of the archives: every record is parsed without knowing its place
+    in the file; the first/last-record rules are applied afterwards from the
+    stored scan positions.  With ``persist`` the parsed records are written
+    once to the cluster's checkpoint folder, so the position pass and later
+    steps re-read columns from Parquet, and a lost executor never forces a
+    re-parse.  By default archives above ``SMALL_INPUT_BYTES`` in total (exact,
+    from the listing) are persisted; smaller ones are cheaper to parse twice.
     """
     files = resolve_paths(spark, paths)
     if not files:
@@ -311,13 +339,14 @@ def load_mbox(spark: SparkSession, paths, persist: bool | None = None) -> MboxLo
     distinct = sorted({f for _, f, _, _ in files})
     raw = read_raw_records(spark.read, distinct)
     ordinals = spark.createDataFrame([f[:3] for f in files], "file_ordinal int, file_path string, file_uri string")
-    records = records_from_raw(raw, ordinals, len(distinct), len(files))
+    parsed = records_from_raw(raw, ordinals, len(files))
     if persist is None:
         persist = sum(f[3] for f in files) > SMALL_INPUT_BYTES
     if persist:
         path = scratch_path(spark, "mbox-records")
-        records.write.parquet(path)
-        records = spark.read.parquet(path)
+        parsed.write.parquet(path)
+        parsed = spark.read.parquet(path)
+    records = finalize_files(parsed, len(files))
 
     report = records.groupBy("file_ordinal", "file_path").agg(
         F.count_if("kept").alias("n_messages"), F.sum("n_lines").alias("n_lines")

@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schema
 from ..operators.search import match
 from ..operators.threads import thread_key
-from ..sources.mbox import number_messages, records_from_raw, split_count
+from ..sources.mbox import finalize_files, number_messages, records_from_raw, split_count
 
 EMAILS_STREAM_SCHEMA = "file_path string, file_ordinal int, msg_seq long, from_addr string, subject string, date string, body string, batch_id long"
 
@@ -54,7 +54,7 @@ def _process_batch(emails_dir: str):
         ordinals = spark.createDataFrame(
             [(f_prev + i + 1, f, f) for i, f in enumerate(files)], "file_ordinal int, file_path string, file_uri string"
         )
-        records = records_from_raw(raw, ordinals, len(files), len(files))
+        records = finalize_files(records_from_raw(raw, ordinals, len(files)), len(files))
         emails = number_messages(records.filter("kept"), start=n_prev, max_splits=split_count(spark, [n for _, n in listed]))
         out = f"{emails_dir.rstrip('/')}/batch_id={batch_id}"
         emails.select(*[f.name for f in schema.EMAILS.fields]).write.mode("overwrite").parquet(out)
