@@ -105,3 +105,28 @@ def test_usage_streams_equal_batch(spark, tmp_dir):
     bsnaps = batch_log.select("backend", "ts", "event_id", F.col("success").alias("available"))
     want4 = sorted(tuple(r) for r in availability_changes(bsnaps).select("backend", "ts", "event_id", "available", "status").collect())
     assert got4 == want4 and len(got4) > 0
+
+
+def test_archive_stream_awkward_files_equal_batch(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "src2")
+    os.makedirs(src)
+    contents = [
+        "preamble\r\nFrom one@x Mon\r\nFrom: one@x \r\nSubject: first\r\n\r\n>From escaped\nNUL\x00cut\n\nFrom two@x\nFrom: two@x\n\nlast body no newline",
+        "From a\nFrom: a@b\nSubject: s\n\nbody one\n\nFrom b\nSubject: only subject\n\n",
+    ]
+    paths = []
+    for i, c in enumerate(contents):
+        p = os.path.join(src, f"f{i}.mbox")
+        with open(p, "wb") as fh:
+            fh.write(c.encode("utf-8"))
+        t = time.time() - 50 + i
+        os.utime(p, (t, t))
+        paths.append(p)
+    out, ck = os.path.join(tmp_dir, "emails2"), os.path.join(tmp_dir, "ck2")
+    q = start_archive_stream(spark, src, out, ck, max_files_per_trigger=1)
+    q.awaitTermination(300)
+    cols = ["msg_seq", "from_addr", "subject", "date", "body"]
+    got = sorted(tuple(r) for r in spark.read.parquet(out).select(*cols).collect())
+    want = sorted(tuple(r) for r in load_mbox(spark, paths).emails.select(*cols).collect())
+    assert got == want and len(got) == 4
+    assert [r[4] for r in got][1] == "last body no newline\n"
