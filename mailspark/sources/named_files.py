@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from ..operators.numbering import target_partitions
 
 PIECES_DIR = "_mailspark_pieces"
+META_BATCH_ROWS = 10_000  # piece-metadata rows per Arrow batch a writer task yields
 _UNSAFE_NAME_RE = re.compile(r"[\x00-\x1f\x7f/]")
 
 
@@ -94,12 +95,20 @@ def _piece_writer(out_uri: str, job: str):
                 meta["n_bytes"].append(state["bytes"])
                 state["stream"] = None
 
+        def flush():
+            out = pa.RecordBatch.from_pydict(meta, schema=_PIECE_SCHEMA)
+            for v in meta.values():
+                v.clear()
+            return out
+
         for batch in batches:
             names = batch.column(0).to_pylist()
             texts = batch.column(1).to_pylist()
             for name, text in zip(names, texts):
                 if name != state["name"] or state["stream"] is None:
                     close()
+                    if len(meta["piece"]) >= META_BATCH_ROWS:
+                        yield flush()  # one file per message: keep task memory flat
                     state.update(name=name, rows=0, bytes=0, idx=state["idx"] + 1)
                     state["stream"] = fs.open_output_stream(f"{base}/{state['idx']:08d}")
                 data = (text or "").encode("utf-8")
@@ -107,7 +116,7 @@ def _piece_writer(out_uri: str, job: str):
                 state["rows"] += 1
                 state["bytes"] += len(data)
         close()
-        yield pa.RecordBatch.from_pydict(meta, schema=_PIECE_SCHEMA)
+        yield flush()
 
     return write
 

@@ -131,3 +131,14 @@ def test_output_folder_as_file_uri(spark, tmp_dir):
         write_named_files(df, uri)
     assert _read(os.path.join(tmp_dir, "u1"), "m.txt") == "hello"
     assert _read(os.path.join(tmp_dir, "u2"), "m.txt") == "hello"
+
+
+def test_many_files_per_task(spark, tmp_dir, monkeypatch):
+    from mailspark.sources import named_files
+
+    monkeypatch.setattr(named_files, "META_BATCH_ROWS", 7)  # force several metadata batches per task
+    out = os.path.join(tmp_dir, "many")
+    df = spark.createDataFrame([(f"m{i:03d}.txt", f"c{i}") for i in range(60)], "file_name string, content string")
+    stats = write_named_files(df, out, num_partitions=2)
+    assert stats["files"] == 60 and len(os.listdir(out)) == 60
+    assert _read(out, "m042.txt") == "c42"
