@@ -221,3 +221,14 @@ def test_line_count_with_bad_bytes(spark, tmp_dir):
     content = b"From x\nFrom: a@b\nSubject: s\n\n\xe0\nnext\nlast\n"
     load = load_mbox(spark, [_write(tmp_dir, "bad.mbox", content)])
     assert load.report.first()["n_lines"] == 7
+
+
+def test_directory_and_glob_arguments(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "arch")
+    os.makedirs(os.path.join(d, "sub"))
+    _write(d, "b.mbox", "From b\nFrom: b@x\n\nbody b\n")
+    _write(os.path.join(d, "sub"), "a.mbox", "From a\nFrom: a@x\n\nbody a\n")
+    by_dir = [r["from_addr"] for r in load_mbox(spark, [d]).emails.orderBy("msg_seq").collect()]
+    by_glob = [r["from_addr"] for r in load_mbox(spark, [d + "/*.mbox", d + "/sub/*.mbox"]).emails.orderBy("msg_seq").collect()]
+    assert by_dir == ["b@x", "a@x"]  # files in path order: .../b.mbox < .../sub/a.mbox
+    assert by_glob == ["b@x", "a@x"]
