@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .mixing import mix
+from .packing import pack
 from .url_filter import host_and_path, keys_of_hosts, url_verdicts
 
 #: Fixed values of the URL query.
@@ -48,5 +50,25 @@ WITH u AS (
 SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed FROM j
 """
 
-QUERIES = {"op1_url_filter": op1_url_filter}
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "source", "size", "source_size", "target", "copies", "taken"
+    )
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op9_source_mixing": op9_source_mixing,
+    "op10_packing": op10_packing,
+}
 ORACLE_SQL = {"op1_url_filter": OP1_SQL}
