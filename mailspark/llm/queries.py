@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .common import table
 from .mixing import mix
 from .packing import pack
+from .quality_classifier import score_quality
+from .quality_rules import judge
 from .url_filter import host_and_path, keys_of_hosts, url_verdicts
 
 #: Fixed values of the URL query.
@@ -50,6 +52,53 @@ WITH u AS (
 SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed FROM j
 """
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+OP4_SQL = r"""
+WITH t AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents
+), wins AS (
+  SELECT doc_id, i, list_aggregate(w[i:i + 4], 'string_agg', ' ') AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM t WHERE len(w) >= 5)
+), twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM wins) WHERE c > 1
+), rep AS (
+  SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + k AS p FROM twice, range(5) r(k)) GROUP BY doc_id
+), c AS (
+  SELECT t.doc_id, lang, source, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines,
+         len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+  FROM t LEFT JOIN rep USING (doc_id)
+), r AS (
+  SELECT *, word_chars / greatest(n_words, 1) AS a, n_symbols / greatest(n_words, 1) AS b, n_dup_lines / greatest(n_lines, 1) AS d,
+         n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed
+  FROM c
+), o AS (
+  SELECT lang, source, list_sort(list(a)) AS a, list_sort(list(b)) AS b, list_sort(list(d)) AS d,
+         greatest(1, ceil(0.25 * count(*)))::BIGINT AS i, greatest(1, ceil(0.75 * count(*)))::BIGINT AS j
+  FROM r WHERE n_words > 0 GROUP BY lang, source
+), f AS (
+  SELECT lang, source, a[j] + greatest(3 * (a[j] - a[i]), 2.0::DOUBLE) AS a_max, a[i] - greatest(3 * (a[j] - a[i]), 2.0::DOUBLE) AS a_min,
+         b[j] + greatest(3 * (b[j] - b[i]), 0.1::DOUBLE) AS b_max, d[j] + greatest(3 * (d[j] - d[i]), 0.3::DOUBLE) AS d_max
+  FROM o
+)
+SELECT r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed,
+       NOT r.base_failed AND coalesce(r.a <= f.a_max AND r.a >= f.a_min AND r.b <= f.b_max AND r.d <= f.d_max, false) AS kept
+FROM r LEFT JOIN f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DISTINCT FROM f.source
+"""
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "source", "size", "source_size", "target", "copies", "taken"
@@ -68,7 +117,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op4_quality_rules": op4_quality_rules,
     "op9_source_mixing": op9_source_mixing,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL = {"op1_url_filter": OP1_SQL}
+ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op4_quality_rules": OP4_SQL}
