@@ -29,7 +29,7 @@ MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
 SKETCH_K = 4096
 SPREADS = 3.0
 #: ratio -> (least distance of a fence from its quartile, whether a lower fence holds too)
-RATIOS = {"mean_word": (2.0, True), "symbols_per_word": (0.1, False), "dup_line_share": (0.3, False)}
+RATIOS = {"mean_word": (2.0, True), "symbols_per_word": (0.1, False), "dup_line_share": (0.5, False)}
 
 
 def _without(c: Column, characters: str) -> Column:

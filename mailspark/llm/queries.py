@@ -90,7 +90,7 @@ WITH t AS (
   FROM r WHERE n_words > 0 GROUP BY lang, source
 ), f AS (
   SELECT lang, source, a[j] + greatest(3 * (a[j] - a[i]), 2.0::DOUBLE) AS a_max, a[i] - greatest(3 * (a[j] - a[i]), 2.0::DOUBLE) AS a_min,
-         b[j] + greatest(3 * (b[j] - b[i]), 0.1::DOUBLE) AS b_max, d[j] + greatest(3 * (d[j] - d[i]), 0.3::DOUBLE) AS d_max
+         b[j] + greatest(3 * (b[j] - b[i]), 0.1::DOUBLE) AS b_max, d[j] + greatest(3 * (d[j] - d[i]), 0.5::DOUBLE) AS d_max
   FROM o
 )
 SELECT r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed,
