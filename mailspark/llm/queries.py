@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .embedding_dedup import near_duplicates
 from .mixing import mix
 from .packing import pack
 from .quality_classifier import score_quality
@@ -99,6 +100,10 @@ FROM r LEFT JOIN f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DIS
 """
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "source", "size", "source_size", "target", "copies", "taken"
@@ -119,6 +124,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_classifier": op2_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_packing": op10_packing,
 }
