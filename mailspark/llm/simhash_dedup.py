@@ -191,11 +191,12 @@ def _verify(distance: int):
         ids, flat = np.unique(np.concatenate([fp[a], fp[b]]), return_inverse=True)
         root = forest(len(ids), flat[: len(a)], flat[len(a) :])
         own = np.flatnonzero(root != np.arange(len(ids)))
-        return pd.DataFrame({"a": ids[own], "b": ids[root[own]]})
+        return pd.DataFrame({"a": ids[own].view(np.int64), "b": ids[root[own]].view(np.int64)})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in whole_groups(frames, keys):
-            fp, at = f["fp"].to_numpy(np.int64), bounds(f, keys)
+            # bits are counted on unsigned numbers: of a signed one, numpy counts those of its absolute value
+            fp, at = f["fp"].to_numpy(np.int64).view(np.uint64), bounds(f, keys)
             sizes = np.diff(at)
             group = np.repeat(np.arange(len(sizes)), sizes)
             small = np.repeat(sizes <= SMALL, sizes)
