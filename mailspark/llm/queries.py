@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import embedding_dedup, simhash_dedup
 from .common import table
+from .lm_scoring import crc_mod, score_documents
 from .mixing import mix
 from .packing import pack
 from .quality_classifier import score_quality
@@ -108,6 +109,11 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = crc_mod(F.col("doc_id"), 10)
+    return score_documents(table(spark, sf_dir, "documents"), train=part != 0, held_out=part == 0)
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "source", "size", "source_size", "target", "copies", "taken"
@@ -130,6 +136,7 @@ QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op7_embedding_dedup": op7_embedding_dedup,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_source_mixing": op9_source_mixing,
     "op10_packing": op10_packing,
 }
