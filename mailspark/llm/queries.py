@@ -12,6 +12,7 @@ from .mixing import mix
 from .packing import pack
 from .quality_classifier import score_quality
 from .quality_rules import judge
+from .substring_dedup import remove_repeats
 from .url_filter import host_and_path, keys_of_hosts, url_verdicts
 
 #: Fixed values of the URL query.
@@ -105,6 +106,10 @@ FROM r LEFT JOIN f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DIS
 """
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -135,6 +140,7 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_source_mixing": op9_source_mixing,
