@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import embedding_dedup, simhash_dedup
 from .common import table
+from .line_dedup import line_classes
 from .lm_scoring import crc_mod, score_documents
 from .mixing import mix
 from .packing import pack
@@ -110,6 +111,36 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_classes(table(spark, sf_dir, "documents")).drop("th")
+
+
+# DuckDB's levenshtein counts bytes, as the operator does.
+OP6_SQL = r"""
+WITH RECURSIVE p AS (
+  SELECT doc_id, string_split(text, chr(10)) AS l FROM documents
+), l AS (
+  SELECT doc_id, (i - 1)::INTEGER AS line_no, trim(l[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS s
+  FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM p)
+), u AS (
+  SELECT s, strlen(s) AS n, row_number() OVER (ORDER BY s) AS id, min(struct_pack(doc_id := doc_id, line_no := line_no)) AS f
+  FROM l WHERE s <> '' GROUP BY s
+), e AS (
+  SELECT a.id AS x, b.id AS y FROM u a, u b, range(3) d(d)
+  WHERE a.n >= 20 AND b.n >= 20 AND b.n = a.n + d.d AND a.id <> b.id AND levenshtein(a.s, b.s) <= 2
+), g AS (
+  SELECT x, y FROM e UNION SELECT y, x FROM e
+), r AS (
+  SELECT x, y FROM g UNION SELECT r.x, g.y FROM r JOIN g ON r.y = g.x
+), c AS (
+  SELECT u.s, least(u.f, min(v.f)) AS f FROM u LEFT JOIN r ON r.x = u.id LEFT JOIN u v ON v.id = r.y GROUP BY u.s, u.f
+)
+SELECT doc_id, line_no, c.f.doc_id AS class_doc_id, c.f.line_no AS class_line_no,
+       doc_id = c.f.doc_id AND line_no = c.f.line_no AS kept
+FROM l JOIN c USING (s)
+"""
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -141,9 +172,10 @@ QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_line_dedup": op6_line_dedup,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_source_mixing": op9_source_mixing,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op4_quality_rules": OP4_SQL}
+ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op4_quality_rules": OP4_SQL, "op6_line_dedup": OP6_SQL}
