@@ -387,9 +387,10 @@ def drop_repeated_lines(docs: DataFrame, **settings) -> DataFrame:
         .agg(F.collect_list(F.when(~F.col("kept"), F.col("line_no"))).alias("gone"), F.max("kept").alias("some"))
         .select("th", F.col("doc_id").alias("_d"), "gone", "some")
     )
-    rows = docs.withColumn("_th", F.xxhash64("doc_id", "text"))
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_th", "doc_id").orderBy("_th"))).where("_nth = 1")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", F.xxhash64("doc_id", "text").alias("_th"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("_th", "doc_id").orderBy("_th"))).where("nth = 1")
     joined = rows.join(gone, (F.col("_th") == F.col("th")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").where("some is null or some")
     some_gone = F.size(F.coalesce("gone", F.array().cast("array<int>"))) > 0
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
-    return joined.withColumn("text", F.when(some_gone, left).otherwise(F.col("text"))).select(*docs.columns)
+    text = F.when(some_gone, left).otherwise(F.col("text"))
+    return joined.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

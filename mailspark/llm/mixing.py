@@ -191,15 +191,16 @@ def take(docs: DataFrame, **settings) -> DataFrame:
     keys = ["doc_id", "source", "size"]
     copies = mix(docs, **settings).select(*keys, "copies")
     # rows that agree in all three are told apart by a number, so that a join cannot multiply them
-    copies = copies.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("copies"))))
-    sized = docs.withColumn("_size", F.size(words(text_or_empty())).cast("long"))
-    sized = sized.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text"))))
-    c = copies.toDF("_d", "_s", "_z", "_copies", "_m")
+    copies = copies.withColumn("m", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("copies"))))
+    copies = copies.where("copies > 0").toDF("_d", "_s", "_z", "copies", "m")
+    size = F.size(words(text_or_empty())).cast("long")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", size.alias("size"), F.xxhash64("text").alias("th"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("th")))
     on = (
         F.col("doc_id").eqNullSafe(F.col("_d"))
         & F.col("source").eqNullSafe(F.col("_s"))
-        & (F.col("_size") == F.col("_z"))
-        & (F.col("_nth") == F.col("_m"))
+        & (F.col("size") == F.col("_z"))
+        & (F.col("nth") == F.col("m"))
     )
-    taken = sized.join(c.where("_copies > 0"), on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return taken.select(*docs.columns)
+    taken = rows.join(copies, on).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return taken.select("row.*")

@@ -255,3 +255,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
 
     scored = docs.select(*keep, "doc_id", held_out(F.col("doc_id")).alias("held_out"), score("text").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def drop_rejected(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
+    """The documents that are predicted to be of label 1, with the columns of ``docs``."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    return score_quality(rows, labels, keep=("row",), **settings).where("predicted = 1").select("row.*")

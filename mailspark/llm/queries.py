@@ -61,7 +61,9 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", "fingerprint", "component_id"
+    )
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,9 +127,11 @@ WITH RECURSIVE p AS (
 ), u AS (
   SELECT s, strlen(s) AS n, row_number() OVER (ORDER BY s) AS id, min(struct_pack(doc_id := doc_id, line_no := line_no)) AS f
   FROM l WHERE s <> '' GROUP BY s
-), e AS (
-  SELECT a.id AS x, b.id AS y FROM u a, u b, range(3) d(d)
-  WHERE a.n >= 20 AND b.n >= 20 AND b.n = a.n + d.d AND a.id <> b.id AND levenshtein(a.s, b.s) <= 2
+), m AS MATERIALIZED (
+  SELECT id, s, n, n + k AS k FROM u, range(3) r(k) WHERE n >= 20
+), e AS MATERIALIZED (
+  SELECT a.id AS x, b.id AS y FROM m a JOIN (SELECT * FROM m WHERE k = n) b ON a.k = b.n
+  WHERE CASE WHEN a.id <> b.id THEN levenshtein(a.s, b.s) <= 2 ELSE false END
 ), g AS (
   SELECT x, y FROM e UNION SELECT y, x FROM e
 ), r AS (

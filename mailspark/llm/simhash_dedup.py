@@ -76,9 +76,9 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches(frames):
             fp = [fingerprint(t if isinstance(t, str) else None, shingle) for t in f["text"]]
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "fp": fp})
+            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "th": f["th"], "fp": fp})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("th")).mapInPandas(run, "doc_id long, th long, fp long")
 
 
 def _bit_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -251,7 +251,10 @@ def links(spark: SparkSession, distinct: DataFrame, distance: int = DISTANCE, bl
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row of (doc_id, text)."""
+    """(doc_id, fingerprint, component_id, component, th) of every row of (doc_id, text).
+
+    component: the component's least fingerprint; th: hash of the row's id and text, for joining back.
+    """
     spark = docs.sparkSession
     marked = scratch(fingerprints(docs, shingle), "fingerprints")
     distinct = scratch(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
@@ -260,6 +263,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
         "component", F.coalesce("component", "fp")
     )
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = joined.select("fp", "component").join(least, "component").select("fp", "component_id")
-    out = marked.join(of_fp, "fp")
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of_fp = joined.select("fp", "component").join(least, "component")
+    return marked.join(of_fp, "fp").select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component", "th"
+    )
+
+
+def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
+    """One document of each component, the one with the least doc_id; the columns of ``docs``."""
+    from pyspark.sql import Window
+
+    chosen = (
+        near_duplicates(docs, **settings)
+        .groupBy("component")
+        .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("c"))
+        .select(F.col("c.doc_id").alias("_d"), F.col("c.th").alias("_t"))
+    )
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("doc_id", "text").alias("th"))
+    rows = rows.join(chosen, (F.col("th") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    # rows that agree in id and text are one
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("th", "doc_id").orderBy("th"))).where("nth = 1")
+    return rows.select("row.*")
