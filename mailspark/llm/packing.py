@@ -3,7 +3,7 @@
 The documents of a task, in the table's order, form one stream of tokens, which
 is cut into windows of ``length`` tokens at most.  A cut may stand at the end of
 a document (free), at the end of a sentence (a small penalty) or, where neither
-occurs for ``FORCED`` tokens, inside a sentence (a larger penalty).  The best
+occurs for an eighth of a window, inside a sentence (a larger penalty).  The best
 cuts minimise padding plus penalties: with f(j) the least cost of a stream cut at
 j, f(j) = penalty(j) + length - j + min over i in [j - length, j) of f(i) + i,
 and a monotone queue holds that minimum, so each place costs constant time.
@@ -35,7 +35,6 @@ from .common import batches
 LENGTH = 2048
 END_ID = 1
 STRETCH = 1 << 18
-FORCED = 256
 SENTENCE_PENALTY, INSIDE_PENALTY = 4.0, 48.0
 #: Distinct pieces whose ids a worker remembers; marks that may close a piece.
 CACHE = 1_000_000
@@ -161,12 +160,12 @@ def sentence_ends(path: str) -> np.ndarray:
     return out
 
 
-def cut_places(ends: np.ndarray, sentence: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+def cut_places(ends: np.ndarray, sentence: np.ndarray, total: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Places (ascending, the last is ``total``) and penalties of possible cuts; ends, sentence: places of those kinds."""
     known = np.unique(np.concatenate([ends, sentence, [total]]))
     gaps = np.diff(np.concatenate([[0], known]))
-    wide = np.flatnonzero(gaps > FORCED)
-    inside = [np.arange(known[k] - gaps[k] + FORCED, known[k], FORCED) for k in wide]
+    step = max(1, length // 8)
+    inside = [np.arange(known[k] - gaps[k] + step, known[k], step) for k in np.flatnonzero(gaps > step)]
     places = np.unique(np.concatenate([known, *inside])) if inside else known
     penalty = np.full(len(places), INSIDE_PENALTY)
     penalty[np.isin(places, sentence)] = SENTENCE_PENALTY
@@ -217,7 +216,7 @@ def _pieces(stretch: Stretch, sentence: np.ndarray, first: int, last: bool, leng
     flow = np.concatenate([d[3] for d in stretch.docs])
     # the end token closes a document; an end of sentence is a cut inside one
     inside = np.flatnonzero(sentence[np.minimum(flow, len(sentence) - 1)]) + 1
-    cuts = best_cuts(*cut_places(ends, inside, len(flow)), length)
+    cuts = best_cuts(*cut_places(ends, inside, len(flow), length), length)
     if not last and len(cuts) > 1:
         cuts = cuts[:-1]  # the last window could still take more
     bounds = np.array([0, *cuts])
