@@ -32,15 +32,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while (state := _state(e)) != before and state[0]:
         before = state
         both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
+        # the aggregates are written, too: next to one, adaptive execution could not split the other side of a join
+        least = scratch(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m")), "least")
         large = both.join(least, F.col("u") == F.col("c")).where("v > u")
         large = scratch(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least.withColumnRenamed("u", "c"), F.col("u") == F.col("c")).where("v <> m")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        drop_scratch(least)
+        least = scratch(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c"), "least")
+        joined = large.join(least, F.col("u") == F.col("c")).where("v <> m")
+        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("c", "m"))
         after = scratch(small.distinct(), "small-star")
-        drop_scratch(e)
-        drop_scratch(large)
+        for old in (e, large, least):
+            drop_scratch(old)
         e = after
     # every node is now the point of one star; its centre is the component's least node
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v")).distinct()

@@ -151,7 +151,8 @@ def near_duplicates(
     )
     narrow = signed.select(F.posexplode("sigs").alias("t", "bucket"))
     large = narrow.groupBy("t", "bucket").count().where(F.col("count") > block)
-    large = large.select("t", "bucket", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    # a table of its own, so that adaptive execution can split a large bucket's side of the join
+    large = scratch(large.select("t", "bucket", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "large-buckets")
     members = signed.select("*", F.posexplode("sigs").alias("t", "bucket")).join(large, ["t", "bucket"], "left")
     members = members.withColumn("part", F.coalesce(F.pmod(F.xxhash64("rep"), F.col("blocks")), F.lit(0)).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))

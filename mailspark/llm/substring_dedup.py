@@ -304,9 +304,11 @@ def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, variants: int
     """(d, th, at, size): stretches of bytes to remove; they may overlap."""
     keyed = _keyed(docs)
     runs = scratch(keyed.where(F.length("text") > 0).select("d", "th", "text").mapInPandas(_find_runs(length, gram), RUNS), "runs")
-    often = runs.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    # tables of their own, so that adaptive execution can split a frequent bucket's side of the joins
+    often = scratch(runs.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "met-buckets")
     met = scratch(runs.join(often, "bucket", "left_semi"), "met-runs")
     drop_scratch(runs)
+    drop_scratch(often)
     kinds = scratch(
         met.groupBy("bucket", "content").agg(
             F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "th", "start", "windows")).alias("one")
@@ -315,7 +317,7 @@ def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, variants: int
     )
     whole = met.join(kinds.where("n > 1").select("bucket", "content"), ["bucket", "content"], "left_semi")
     whole = whole.select("d", "th", F.col("start").alias("at"), (F.col("windows") + (length - 1)).cast("long").alias("size"))
-    several = kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    several = scratch(kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "sorted-buckets")
     wanted = (
         kinds.join(several, "bucket")
         .select("one.*", F.struct("bucket", "one.start", "one.windows", (F.col("n") > 1).alias("settled"), (F.col("kinds") > variants).alias("large")).alias("x"))
