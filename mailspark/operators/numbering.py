@@ -16,20 +16,19 @@ are therefore written once as a Parquet table under the cluster's
 both come from it, so they always agree, the lineage is cut, and a lost
 executor never changes the numbering.
 
-The broadcast table has exactly ``num_partitions`` rows, a number chosen by the
-caller and checked here, so it never grows with the data.
+The table of offsets has one row per range partition, a number that the session
+(``spark.sql.shuffle.partitions``) or the caller sets; it never grows with the data.
+There is one algorithm for all sizes.
 """
 
 from __future__ import annotations
 
-import os
-
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import remember_scratch, scratch_path
 
 # Bound on the offsets table that is broadcast (rows = range partitions).
 MAX_SEQUENCE_PARTITIONS = 1_000_000
@@ -42,56 +41,27 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and read
     it back: cuts lineage, survives executor loss, and later reads prune columns."""
     path = scratch_path(df.sparkSession, name)
+    remember_scratch(df.sparkSession, path)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-# Target size of one range partition when the count is derived from the data.
-TARGET_PARTITION_BYTES = 128 << 20
-
-
-# Most partitions chosen automatically (explicit counts may go up to MAX_SEQUENCE_PARTITIONS).
-MAX_AUTO_PARTITIONS = 100_000
-
-
-# Below this estimated size an ordered operator runs as one plain window
-# (a single sorted task is cheaper than the two-phase scheme's extra jobs).
-# (MAILSPARK_SMALL_INPUT_BYTES=0 forces the distributed path, e.g. to check it.)
-SMALL_INPUT_BYTES = int(os.environ.get("MAILSPARK_SMALL_INPUT_BYTES", 64 << 20))
-
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of ``df`` bounded by the total size of the
-    plan's inputs (without cost-based statistics a join is estimated as the
-    product of its sides); None when no statistics are available."""
-    try:
-        plan = df._jdf.queryExecution().optimizedPlan()
-        estimate = int(str(plan.stats().sizeInBytes()))
-        leaves = plan.collectLeaves()
-        inputs = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except Exception:  # noqa: BLE001 - no plan statistics (e.g. Spark Connect)
-        return None
-    return min(estimate, inputs) if inputs > 0 else estimate
 
+def ranged(df: DataFrame, order_by: Sequence[Column | str], num_partitions: int | None = None) -> DataFrame:
+    """``df`` in contiguous, sorted key ranges, written once, with the range's number
+    (``_PART``) and the row's place (``_MID``, consecutive inside a range).
 
-def is_small(df: DataFrame) -> bool:
-    size = estimated_bytes(df)
-    return size is not None and size <= SMALL_INPUT_BYTES
-
-
-def target_partitions(df: DataFrame, bytes_per_partition: int = TARGET_PARTITION_BYTES) -> int:
-    """Partitions for an explicit range exchange (which AQE neither splits nor
-    coalesces): at least ``spark.sql.shuffle.partitions``, more when the data
-    would otherwise exceed ``bytes_per_partition`` per partition."""
-    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    size = estimated_bytes(df)
-    if size is None:
-        return base
-    return int(min(MAX_AUTO_PARTITIONS, max(base, -(-size // bytes_per_partition))))
-
-
-def _default_partitions(df: DataFrame) -> int:
-    return target_partitions(df)
+    Without ``num_partitions`` the number of ranges is ``spark.sql.shuffle.partitions``,
+    which adaptive execution lowers for small data.
+    """
+    if num_partitions is not None and not 0 < num_partitions <= MAX_SEQUENCE_PARTITIONS:
+        raise ValueError(f"num_partitions must be in 1..{MAX_SEQUENCE_PARTITIONS}, got {num_partitions}")
+    cut = df.repartitionByRange(num_partitions, *order_by) if num_partitions else df.repartitionByRange(*order_by)
+    tagged = cut.sortWithinPartitions(*order_by).select(
+        "*", F.spark_partition_id().alias(_PART), F.monotonically_increasing_id().alias(_MID)
+    )
+    return materialize(tagged, "sequence")
 
 
 def add_sequence(
@@ -103,22 +73,10 @@ def add_sequence(
     """Append ``name`` = 1-based position of each row in ``order_by`` order.
 
     Ties in ``order_by`` get distinct, arbitrary numbers; pass a unique key for
-    a deterministic result.  An input estimated below ``SMALL_INPUT_BYTES``
-    (and no explicit ``num_partitions``) is numbered by one sorted window.
+    a deterministic result.
     """
-    if num_partitions is None and is_small(df):
-        return df.select(*df.columns, F.row_number().over(Window.orderBy(*order_by)).cast("long").alias(name))
-    n = num_partitions or _default_partitions(df)
-    if not 0 < n <= MAX_SEQUENCE_PARTITIONS:
-        raise ValueError(f"num_partitions must be in 1..{MAX_SEQUENCE_PARTITIONS}, got {n}")
     cols = list(df.columns)
-    ordered = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
-    tagged = ordered.select(
-        "*",
-        F.spark_partition_id().alias(_PART),
-        F.monotonically_increasing_id().alias(_MID),
-    )
-    tagged = materialize(tagged, "sequence")
+    tagged = ranged(df, order_by, num_partitions)
     counts = tagged.groupBy(_PART).agg(F.count(F.lit(1)).alias("_seq_n"))
     # One row per range partition: a small, bounded window.
     offsets = counts.select(
@@ -139,8 +97,6 @@ def add_sequence_by_key(
     equi-join on the key (a uniform hash shuffle - a unique key cannot skew),
     so the full rows are never written out."""
     keys = list(key_cols)
-    if num_partitions is None and is_small(df):
-        return add_sequence(df, keys, name)
     numbered = add_sequence(df.select(*keys), keys, name, num_partitions)
     return df.join(numbered, keys)
 
@@ -151,22 +107,29 @@ def add_group_position(
     order_by: Sequence[Column | str],
     name: str = "position",
     num_partitions: int | None = None,
+    per_group: DataFrame | None = None,
 ) -> DataFrame:
     """1-based position inside each group, in ``order_by`` order.
 
-    Computed as global sequence minus the group's first sequence, so a group
-    holding a large share of all rows is still spread over many range
-    partitions (no ``Window.partitionBy(group)`` that would put it in one task).
-    The group-start table is a partial aggregate joined back on the group key;
-    AQE's skew-join split handles a hot group on the big side of that join.
+    Rows are cut into ranges of (group, order), so a group that holds a large share
+    of all rows lies in many ranges.  One row per (range, group) carries how many rows
+    of the group lie in earlier ranges; a row's position is that number plus its place
+    in its range.  Nothing is joined or windowed on the group alone but these rows,
+    of which a group has one per range.  ``per_group`` (the group columns, not null, and
+    others) adds its other columns on the way; rows of groups it lacks are left out.
     """
-    seq_name = "_grp_seq"
-    numbered = add_sequence(df, [*group_by, *order_by], seq_name, num_partitions)
+    tagged = ranged(df, [*group_by, *order_by], num_partitions)
+    blocks = tagged.groupBy(_PART, *group_by).agg(F.min(_MID).alias("_lo"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*group_by).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     keys = [f"_grp_k{i}" for i in range(len(group_by))]
-    starts = numbered.groupBy(*[F.col(g).alias(k) for g, k in zip(group_by, keys)]).agg(
-        F.min(seq_name).alias("_grp_start")
-    )
-    cond = [numbered[g].eqNullSafe(starts[k]) for g, k in zip(group_by, keys)]
-    return numbered.join(starts, cond).select(
-        *[numbered[c] for c in df.columns], (F.col(seq_name) - F.col("_grp_start") + F.lit(1)).alias(name)
+    blocks = blocks.select(
+        F.col(_PART).alias("_grp_part"),
+        *[F.col(g).alias(k) for g, k in zip(group_by, keys)],
+        (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_lo") + 1).alias("_shift"),
     )
+    extra: list[str] = []
+    if per_group is not None:
+        extra = [c for c in per_group.columns if c not in group_by]
+        blocks = blocks.join(per_group.toDF(*[keys[list(group_by).index(c)] if c in group_by else c for c in per_group.columns]), keys)
+    cond = [tagged[_PART] == blocks["_grp_part"], *[tagged[g].eqNullSafe(blocks[k]) for g, k in zip(group_by, keys)]]
+    return tagged.join(blocks, cond).select(*[tagged[c] for c in df.columns], *[blocks[c] for c in extra], (F.col(_MID) + F.col("_shift")).alias(name))

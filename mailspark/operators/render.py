@@ -56,10 +56,10 @@ def render_thread_pieces(emails: DataFrame, order: str = STRING_ORDER, latest_on
     if latest_only:
         top = t.groupBy(F.col("file_name").alias("_n")).agg(F.max("thread_num").alias("_v"))
         t = t.join(top, (t["file_name"] == top["_n"]) & (t["thread_num"] == top["_v"]), "left_semi")
-    # Thread number and name go onto the narrow key table (skew on a hot thread
-    # costs little there); the bodies are joined once on the unique msg_seq.
-    keys = thread_positions(emails, order).select("msg_seq", "thread_key", "position").join(t, "thread_key")
-    joined = emails.join(keys.drop("thread_key"), "msg_seq")
+    # Thread number and name come with the position, one row per (range, thread), so no
+    # join has a hot thread as its key; the bodies are joined once on the unique msg_seq.
+    keys = thread_positions(emails, order, per_thread=t).drop("thread_key", "date")
+    joined = emails.join(keys, "msg_seq")
     return joined.select(
         "file_name",
         "thread_num",

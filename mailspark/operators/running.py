@@ -8,9 +8,8 @@ helpers run the same computations over range partitions instead:
   on (key, order), so a hot key is cut into many buckets (the range partition
   number); each bucket runs its own small window, and the totals of earlier
   buckets of the same key (one row per (key, bucket)) are added back.
-* :func:`with_previous` - ``lag`` per key as an equi-join of each row with the
-  row whose global sequence number is one less, if it has the same key.  The
-  join key (key, seq) is unique, so it cannot skew.
+* :func:`with_previous` - ``lag`` per key inside each range; the first row of a key in
+  a range takes the key's last row of an earlier range (one row per (key, range)).
 """
 
 from __future__ import annotations
@@ -20,9 +19,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .numbering import add_sequence, is_small, materialize, target_partitions
-
-_BUCKET = "_run_bucket"
+from .numbering import _MID, _PART, ranged
 
 
 def running_sums(
@@ -33,25 +30,27 @@ def running_sums(
     num_partitions: int | None = None,
 ) -> DataFrame:
     """Add one running-total column per entry of ``sums`` (name -> expression),
-    summed over each key's rows up to and including the current one.  A small
-    input (see ``numbering.is_small``) uses one plain window per key."""
-    if num_partitions is None and is_small(df):
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.select(*df.columns, *[F.sum(e).over(w).alias(name) for name, e in sums.items()])
-    n = num_partitions or target_partitions(df)
+    summed over each key's rows up to and including the current one."""
     vals = {f"_run_v{i}": expr for i, expr in enumerate(sums.values())}
-    base = df.select("*", *[e.alias(v) for v, e in vals.items()])
-    # Bucket = range partition; materialised once so every use sees the same cut.
-    ranged = materialize(base.repartitionByRange(n, *keys, *order).select("*", F.spark_partition_id().alias(_BUCKET)))
-    local_w = Window.partitionBy(*keys, _BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged.select("*", *[F.sum(v).over(local_w).alias(f"{v}_loc") for v in vals])
-    totals = ranged.groupBy(*keys, _BUCKET).agg(*[F.sum(v).alias(f"{v}_tot") for v in vals])
-    # One row per (key, bucket): the sum over the key's earlier buckets.
-    prior_w = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    prior = totals.select(*keys, _BUCKET, *[F.coalesce(F.sum(f"{v}_tot").over(prior_w), F.lit(0)).alias(f"{v}_pre") for v in vals])
-    joined = local.join(prior, [*keys, _BUCKET])
+    # The ranges are written once, so every use sees the same cut.
+    cut = ranged(df.select("*", *[e.alias(v) for v, e in vals.items()]), [*keys, *order], num_partitions)
+    inside = Window.partitionBy(_PART, *keys).orderBy(_MID).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = cut.select("*", *[F.sum(v).over(inside).alias(f"{v}_loc") for v in vals])
+    totals = cut.groupBy(_PART, *keys).agg(*[F.sum(v).alias(f"{v}_tot") for v in vals])
+    # One row per (key, range): the sum over the key's earlier ranges.
+    earlier = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    prior = totals.select(
+        F.col(_PART).alias("_p"),
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        *[F.coalesce(F.sum(f"{v}_tot").over(earlier), F.lit(0)).alias(f"{v}_pre") for v in vals],
+    )
+    joined = local.join(prior, _same_range(local, prior, keys))
     out_cols = [(F.col(f"{v}_pre") + F.col(f"{v}_loc")).alias(name) for v, name in zip(vals, sums.keys())]
-    return joined.select(*df.columns, *out_cols)
+    return joined.select(*[local[c] for c in df.columns], *out_cols)
+
+
+def _same_range(rows: DataFrame, blocks: DataFrame, keys: Sequence[str]) -> list[Column]:
+    return [rows[_PART] == blocks["_p"], *[rows[k].eqNullSafe(blocks[f"_k_{k}"]) for k in keys]]
 
 
 def with_previous(
@@ -62,19 +61,17 @@ def with_previous(
     num_partitions: int | None = None,
 ) -> DataFrame:
     """Add ``prev_name`` = value of ``col`` on the previous row of the same key
-    (NULL on a key's first row), for each ``prev_name -> col`` of ``cols``.
-    A small input uses a plain ``lag`` window."""
-    if num_partitions is None and is_small(df):
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.select(*df.columns, *[F.lag(c).over(w).alias(p) for p, c in cols.items()])
-    seq = "_prev_seq"
-    numbered = add_sequence(df, [*keys, *order], seq, num_partitions)
-    kk = {k: f"_prev_k_{k}" for k in keys}
-    shifted = numbered.select(
-        *[F.col(k).alias(a) for k, a in kk.items()],
-        (F.col(seq) + 1).alias("_prev_next"),
-        *[F.col(c).alias(p) for p, c in cols.items()],
+    (NULL on a key's first row), for each ``prev_name -> col`` of ``cols``."""
+    cut = ranged(df, [*keys, *order], num_partitions)
+    inside = Window.partitionBy(_PART, *keys).orderBy(_MID)
+    values = F.struct(*[F.col(c).alias(p) for p, c in cols.items()])
+    local = cut.select("*", F.lag(values).over(inside).alias("_before"), F.row_number().over(inside).alias("_nth"))
+    last = cut.groupBy(_PART, *keys).agg(F.max_by(values, F.col(_MID)).alias("_last"))
+    carried = last.select(
+        F.col(_PART).alias("_p"),
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        F.lag("_last").over(Window.partitionBy(*keys).orderBy(_PART)).alias("_carried"),
     )
-    cond = [numbered[seq] == shifted["_prev_next"]] + [numbered[k].eqNullSafe(shifted[a]) for k, a in kk.items()]
-    joined = numbered.join(shifted, cond, "left")
-    return joined.select(*[numbered[c] for c in df.columns], *[shifted[p] for p in cols])
+    joined = local.join(carried, _same_range(local, carried, keys))
+    before = F.when(F.col("_nth") == 1, F.col("_carried")).otherwise(F.col("_before"))
+    return joined.select(*[local[c] for c in df.columns], *[before[p].alias(p) for p in cols])

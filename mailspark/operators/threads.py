@@ -106,15 +106,22 @@ def thread_aggregates(emails: DataFrame, order: str = STRING_ORDER) -> DataFrame
 
 def threads(emails: DataFrame, order: str = STRING_ORDER) -> DataFrame:
     """Thread table with W3 numbers (order of each thread's first message)."""
-    return add_sequence(thread_aggregates(emails, order), ["first_seq"], "thread_num")
+    return thread_aggregates(emails, order).join(thread_numbers(emails), "thread_key")
 
 
-def thread_positions(emails: DataFrame, order: str = STRING_ORDER) -> DataFrame:
+def thread_numbers(emails: DataFrame) -> DataFrame:
+    """(thread_key, thread_num); only keys and numbers are sorted and written."""
+    first = emails.groupBy(thread_key("subject").alias("thread_key")).agg(F.min("msg_seq").alias("first_seq"))
+    return add_sequence(first, ["first_seq"], "thread_num").select("thread_key", "thread_num")
+
+
+def thread_positions(emails: DataFrame, order: str = STRING_ORDER, per_thread: DataFrame | None = None) -> DataFrame:
     """1-based number of each message inside its thread, in O1/O2 order.
 
     Works on the keys only (msg_seq, thread_key, date): the numbering
     materialises this narrow table, never the message bodies.  Join the result
-    back on the unique ``msg_seq`` for full rows.
+    back on the unique ``msg_seq`` for full rows.  ``per_thread`` (thread_key and
+    others) adds its columns; messages of other threads are left out.
     """
     keys = emails.select("msg_seq", thread_key("subject").alias("thread_key"), "date")
-    return add_group_position(keys, ["thread_key"], order_columns(order), "position")
+    return add_group_position(keys, ["thread_key"], order_columns(order), "position", per_group=per_thread)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -53,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if sc is None or not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if id(spark) not in _LOCAL_DIRS:
             _LOCAL_DIRS[id(spark)] = tempfile.mkdtemp(prefix="mailspark-ckpt-")
         configured = _LOCAL_DIRS[id(spark)]
@@ -66,3 +70,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/mailspark-{name}-{uuid.uuid4().hex}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table or file."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+_SCRATCH: dict[str, SparkSession] = {}
+
+
+def remember_scratch(spark: SparkSession, path: str) -> None:
+    """Delete ``path`` when the driver process ends: returned DataFrames may read it until then."""
+    _SCRATCH[path] = spark
+
+
+@atexit.register
+def _drop_remembered() -> None:
+    for path, spark in list(_SCRATCH.items()):
+        with contextlib.suppress(Exception):  # a stopped session cannot reach the store any more
+            drop_path(spark, path)

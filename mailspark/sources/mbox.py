@@ -13,12 +13,11 @@ records need their position in the file:
   to the separator.
 
 The archives are read once: every record is parsed without its position
-(``parse_raw``), keeping the few facts the two rules need (starts with a
-separator, ends with LF, raw body).  Positions come from
-``(file, _metadata.file_block_start, monotonically_increasing_id())`` recorded
-right at the scan; after the parse (and the optional persist) an aggregate
-over those three columns - one row per file - finds each file's first and last
-record and ``finalize`` applies the rules, the body clean-up and the keep test.
+(``parse_raw``) and written to the shared checkpoint folder with the facts the two
+rules need and its scan position ``(file, _metadata.file_block_start,
+monotonically_increasing_id())``.  An aggregate with one row per file then finds
+each file's first and last record, and ``finalize`` applies the rules, the body
+clean-up and the keep test.
 
 Parsing is a pure Catalyst projection over the record (header picks, body
 split, clean-up, clear-text test); no Python touches a row.
@@ -26,9 +25,9 @@ split, clean-up, clear-text test); no Python touches a row.
 Numbering (W1/P12)
 ------------------
 ``msg_seq`` is the message's 1-based place in the session: file argument order,
-then file order.  It is computed as a per-split offset (one row per input split,
-a bounded table) plus the row number inside the split (a window whose groups
-are single input splits, so no group can be larger than one split).
+then file order.  Kept messages are written once in scan order with a running
+number per task; one row per (file, split) turns those into places.  No body is
+shuffled or sorted.
 """
 
 from __future__ import annotations
@@ -42,8 +41,8 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions.text import is_clear_text, remove_attachments, trim_ws
-from ..operators.numbering import SMALL_INPUT_BYTES
-from ..session import scratch_path
+from ..operators.numbering import materialize
+from ..session import drop_path, scratch_path
 
 log = logging.getLogger(__name__)
 
@@ -53,9 +52,11 @@ SEPARATOR_PREFIX = "From "
 HEADER_PREFIXES = {"from_addr": "From:", "subject": "Subject:", "date": "Date:"}
 ESCAPED_FROM_RE = r"\A>From "
 
-# A per-file or per-split table is broadcast only below this many rows (exact
-# count known from the listing); above it the same join runs as a shuffle join.
-MAX_BROADCAST_FILES = 200_000
+# Files of one load: the driver lists them, and one row for each is broadcast.
+# More raise; load them in several calls (numbers go on with append_emails) or as a stream.
+MAX_FILES = 1_000_000
+# Offsets (one row per split and file argument) are broadcast up to this exact count, else joined.
+MAX_BROADCAST_SPLITS = 1_000_000
 
 
 # ----------------------------------------------------------------- record parse
@@ -63,19 +64,20 @@ def _clean_lines_text(t: Column) -> Column:
     """P3/P4/P5 on the whole record text with regexes (no line arrays, so the
     parse stays in whole-stage codegen).
 
-    P4: when the record holds undecodable bytes, ``make_valid_utf8`` turns them
-    into U+FFFD and every line containing one is removed with its line break
-    (a bad last line takes the break before it).  P5 cuts each line at its
-    first NUL, P3 strips one CR before each line end.
+    P5 cuts each line at its first NUL; what follows it is never decoded.  P4:
+    when the record holds undecodable bytes, ``make_valid_utf8`` turns them into
+    U+FFFD and every line that still contains one is removed with its line break
+    (a bad last line takes the break before it).  P3 strips one CR before each
+    line end.
     """
-    mv = F.make_valid_utf8(t)
+    mv = F.regexp_replace(F.make_valid_utf8(t), r"\x00[^\n]*", "")
     # Anchored at line starts and possessive, so each line is scanned once.
     bad_line = r"[^\n\x{FFFD}]*+\x{FFFD}[^\n]*+"
     dropped = F.regexp_replace(
         F.regexp_replace(mv, r"(?<![^\n])" + bad_line + r"\n", ""), r"(?:\n|\A)" + bad_line + r"\z", ""
     )
-    text = F.when(F.is_valid_utf8(t), t).otherwise(dropped)
-    return F.regexp_replace(F.regexp_replace(text, r"\x00[^\n]*", ""), r"\r(?=\n|\z)", "")
+    text = F.when(F.is_valid_utf8(t), F.regexp_replace(t, r"\x00[^\n]*", "")).otherwise(dropped)
+    return F.regexp_replace(text, r"\r(?=\n|\z)", "")
 
 
 def _n_lines(t: Column) -> Column:
@@ -194,74 +196,99 @@ def parse_mbox_text(df: DataFrame, text_col: str, id_cols: list[str]) -> DataFra
 
 
 # ------------------------------------------------------------------- file form
+@dataclass(frozen=True)
+class MboxFile:
+    """One file of a load."""
+
+    ordinal: int  # 1-based place among the arguments' files
+    path: str  # as given or listed
+    reads: str  # what the reader opens (a copy, for names that Spark skips)
+    uri: str  # ``reads`` as ``_metadata.file_path`` reports it
+    size: int
+
+
 @dataclass
 class MboxLoad:
     """Result of :func:`load_mbox`."""
 
-    records: DataFrame  # every record with parse results (persisted)
     emails: DataFrame  # kept messages, numbered (schema.EMAILS)
     report: DataFrame  # S11: per file argument, messages kept and lines read
-    files: list[tuple[int, str, str, int]]  # (file_ordinal, path, uri, size) actually read
+    files: list[MboxFile]
+    _scratch: tuple[str, ...] = ()
 
+    def close(self) -> None:
+        """Delete the written messages; ``emails`` cannot be read any more."""
+        for path in self._scratch:
+            drop_path(self.emails.sparkSession, path)
 
-def resolve_paths(spark: SparkSession, paths) -> list[tuple[int, str, str, int]]:
+
+def resolve_paths(spark: SparkSession, paths) -> list[MboxFile]:
     """Trim each argument, keep the ones that exist (warn otherwise).
 
-    ``paths`` is a list or a comma-separated string.  Globs and directories
-    expand to their files in name order.  The same file given twice is kept
-    twice (S3: loading an archive again appends duplicates).  Returns
-    (file_ordinal, path, uri, size): ``path`` is what the reader opens,
-    ``uri`` the URI-encoded form that ``_metadata.file_path`` reports.
+    ``paths`` is a list or a comma-separated string.  An argument is first taken
+    literally, whatever characters its name holds; only if nothing has that name is
+    it a glob.  Directories expand to their files in name order, hidden ones (names
+    that start with ``.`` or ``_``) left out with a warning.  A hidden file that is
+    named itself is read from a copy, since Spark's readers skip such names.  The same
+    file given twice is kept twice (S3: loading an archive again appends duplicates).
     """
     if isinstance(paths, str):
         paths = paths.split(",")
-    jvm = spark._jvm
     conf = spark._jsc.hadoopConfiguration()
-    out: list[tuple[int, str]] = []
+    out: list[MboxFile] = []
+    copies: dict[str, str] = {}
     for raw in paths:
         p = raw.strip(" \t\r\n")
         if not p:
             continue
-        hp = jvm.org.apache.hadoop.fs.Path(p)
-        fs = hp.getFileSystem(conf)
-        statuses = fs.globStatus(hp)
-        if not statuses:
+        found = _listed(spark, conf, p)
+        if not found:
             log.warning("File not found: %s", p)
-            continue
-        files = []
-        for st in statuses:
-            if st.isDirectory():
-                it = fs.listFiles(st.getPath(), True)
-                while it.hasNext():
-                    f = it.next()
-                    files.append((f.getPath(), f.getLen()))
-            else:
-                files.append((st.getPath(), st.getLen()))
-        for q, size in sorted(files, key=lambda f: f[0].toString()):
-            out.append((len(out) + 1, q.toString(), _canonical_uri(q.toUri().toString()), int(size)))
+        for path, size, named in found:
+            reads = path
+            if path.getName().startswith((".", "_")):
+                if not named:
+                    log.warning("Hidden file left out: %s", path.toString())
+                    continue
+                if path.toString() not in copies:
+                    copies[path.toString()] = _visible_copy(spark, conf, path)
+                reads = spark._jvm.org.apache.hadoop.fs.Path(copies[path.toString()])
+            out.append(MboxFile(len(out) + 1, path.toString(), reads.toString(), _canonical_uri(reads.toUri().toString()), size))
+            if len(out) > MAX_FILES:
+                raise ValueError(f"more than {MAX_FILES} files in one load")
     return out
 
 
-def split_count(spark: SparkSession, sizes: list[int]) -> int:
-    """Number of input splits Spark cuts these files into (its own rule:
-    split size = min(maxPartitionBytes, max(openCostInBytes, total / minPartitions)))."""
-    conf = spark.conf
-    max_bytes = _bytes(conf.get("spark.sql.files.maxPartitionBytes", "128m"))
-    open_cost = _bytes(conf.get("spark.sql.files.openCostInBytes", "4m"))
-    min_parts = conf.get("spark.sql.files.minPartitionNum", None)
-    try:
-        parallelism = int(min_parts) if min_parts else spark.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001
-        parallelism = 1
-    total = sum(sizes) + open_cost * len(sizes)
-    split = max(1, min(max_bytes, max(open_cost, total // max(1, parallelism))))
-    return sum(max(1, -(-size // split)) for size in sizes)
+def _listed(spark: SparkSession, conf, p: str) -> list[tuple]:
+    """(Hadoop path, size, named by the argument itself) of the files of one argument."""
+    hp = spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = hp.getFileSystem(conf)
+    literal = fs.exists(hp)
+    statuses = [fs.getFileStatus(hp)] if literal else list(fs.globStatus(hp) or [])
+    files = []
+    for st in statuses:
+        if st.isDirectory():
+            it = fs.listFiles(st.getPath(), True)
+            while it.hasNext():
+                f = it.next()
+                files.append((f.getPath(), int(f.getLen()), False))
+        else:
+            files.append((st.getPath(), int(st.getLen()), literal))
+    return sorted(files, key=lambda f: f[0].toString())
+
+
+def _visible_copy(spark: SparkSession, conf, path) -> str:
+    jvm = spark._jvm
+    copy = jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "visible-mbox"))
+    copied = jvm.org.apache.hadoop.fs.FileUtil.copy(path.getFileSystem(conf), path, copy.getFileSystem(conf), copy, False, conf)
+    if not copied:
+        raise OSError(f"cannot copy {path.toString()}")
+    return copy.getFileSystem(conf).getFileStatus(copy).getPath().toString()
 
 
-def _bytes(v: str) -> int:
-    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    v = v.strip().lower().rstrip("b") or "0"
-    return int(float(v[:-1]) * units[v[-1]]) if v[-1] in units else int(v)
+def escape_glob(path: str) -> str:
+    """The path as a pattern that matches itself only."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
 
 
 # Listing and scan render an empty authority differently ("file:///x" vs
@@ -277,14 +304,6 @@ def _canonical_uri_col(col: Column) -> Column:
     return F.regexp_replace(col, _EMPTY_AUTHORITY_RE, "$1:/")
 
 
-def _empty_emails(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], schema.EMAILS)
-
-
-def _small_or_shuffle(df: DataFrame, n_rows: int) -> DataFrame:
-    return F.broadcast(df) if n_rows <= MAX_BROADCAST_FILES else df
-
-
 def read_raw_records(reader, paths) -> DataFrame:
     """Records with their scan position: (rec, file_uri, block, rid).
 
@@ -299,96 +318,66 @@ def read_raw_records(reader, paths) -> DataFrame:
     )
 
 
-def records_from_raw(raw: DataFrame, ordinals: DataFrame, n_ordinals: int) -> DataFrame:
-    """Parse every record (position-free) and tag it with its file ordinal(s)
-    and path.  ``raw`` must come straight from the scan; ``ordinals`` maps
-    ``file_uri`` to (file_ordinal, file_path).  Same file given twice -> its
-    records twice, once per ordinal (S3)."""
-    parsed = parse_raw(raw, "rec").drop("rec")
-    return parsed.join(_small_or_shuffle(ordinals, n_ordinals), "file_uri").drop("file_uri")
-
-
-def finalize_files(parsed: DataFrame, n_ordinals: int) -> DataFrame:
-    """Find each file's first and last record from the scan positions - an
-    aggregate over three columns, one row per file - and finalize."""
+def load_records(raw: DataFrame, files: list[MboxFile], start: int = 0) -> MboxLoad:
+    """Parse, finalize and number the records of ``files`` (``raw`` straight from the scan)."""
+    spark = raw.sparkSession
+    parsed = materialize(parse_raw(raw, "rec").drop("rec"), "mbox-records")
     pos = F.struct("block", "rid")
-    bounds = parsed.groupBy("file_ordinal").agg(F.min(pos).alias("_first"), F.max(pos).alias("_last"))
-    flagged = parsed.join(_small_or_shuffle(bounds, n_ordinals), "file_ordinal")
-    is_first = (F.col("block") == F.col("_first.block")) & (F.col("rid") == F.col("_first.rid"))
-    is_last = (F.col("block") == F.col("_last.block")) & (F.col("rid") == F.col("_last.rid"))
-    return finalize(flagged, is_first, is_last).drop("_first", "_last")
+    bounds = parsed.groupBy("file_uri").agg(F.min(pos).alias("_first"), F.max(pos).alias("_last"))
+    # one row per file of the list that the driver holds (MAX_FILES at most): the join moves no record
+    flagged = parsed.join(F.broadcast(bounds), "file_uri")
+    records = finalize(flagged, F.struct("block", "rid") == F.col("_first"), F.struct("block", "rid") == F.col("_last"))
+    kept = records.filter("kept").select("file_uri", "block", "rid", "from_addr", "subject", "date", "body")
+    kept = materialize(kept.withColumn("_mid", F.monotonically_increasing_id()), "mbox-kept")
+    part = F.shiftright("_mid", 33)
+    segments = kept.groupBy("file_uri", "block", part.alias("_part")).agg(
+        F.min("rid").alias("_rid"), F.min("_mid").alias("_lo"), F.count(F.lit(1)).alias("_n")
+    )
+    lines = {r["file_uri"]: r["n"] for r in records.groupBy("file_uri").agg(F.sum("n_lines").alias("n")).collect()}
+    messages = {r["file_uri"]: r["n"] for r in segments.groupBy("file_uri").agg(F.sum("_n").alias("n")).collect()}
+    unread = {f.uri for f in files if f.size} ^ set(lines)
+    if unread:
+        raise OSError(f"files listed and files read differ: {sorted(unread)[:5]}")
+    drop_path(spark, parsed._scratch_path)
+    report = spark.createDataFrame(
+        [(f.ordinal, f.path, messages.get(f.uri, 0), lines.get(f.uri, 0)) for f in files],
+        "file_ordinal int, file_path string, n_messages long, n_lines long",
+    )
+    ordinals = spark.createDataFrame([(f.ordinal, f.path, f.uri) for f in files], "file_ordinal int, file_path string, file_uri string")
+    of_argument = segments.join(F.broadcast(ordinals), "file_uri")
+    # one row per split and file argument: a small, ordered window
+    earlier = Window.orderBy("file_ordinal", "block", "_rid").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.lit(start) + F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_lo") + 1
+    offsets = materialize(
+        of_argument.select("file_uri", "block", "_part", "file_ordinal", "file_path", shift.alias("_shift")), "mbox-offsets"
+    )
+    small = F.broadcast if offsets.count() <= MAX_BROADCAST_SPLITS else (lambda df: df)
+    numbered = kept.withColumn("_part", part).join(small(offsets), ["file_uri", "block", "_part"])
+    emails = numbered.select(
+        "file_path", "file_ordinal", (F.col("_shift") + F.col("_mid")).cast("long").alias("msg_seq"), "from_addr", "subject", "date", "body"
+    )
+    return MboxLoad(emails, report, files, (kept._scratch_path, offsets._scratch_path))
 
 
-def load_mbox(spark: SparkSession, paths, persist: bool | None = None) -> MboxLoad:
+def load_mbox(spark: SparkSession, paths) -> MboxLoad:
     """Read MBOX files into numbered emails.
 
-    One read of the archives: every record is parsed without knowing its place
-    in the file; the first/last-record rules are applied afterwards from the
-    stored scan positions.  With ``persist`` the parsed records are written
-    once to the cluster's checkpoint folder, so the position pass and later
-    steps re-read columns from Parquet, and a lost executor never forces a
-    re-parse.  By default archives above ``SMALL_INPUT_BYTES`` in total (exact,
-    from the listing) are persisted; smaller ones are cheaper to parse twice.
+    The archives are read once; parsed and kept messages are written to the cluster's
+    checkpoint folder (``close`` deletes them), so a lost executor never forces a
+    re-parse.  Every listed file that is not empty must have been read, or this raises.
     """
     files = resolve_paths(spark, paths)
     if not files:
-        empty = _empty_emails(spark)
         report = spark.createDataFrame([], "file_ordinal int, file_path string, n_messages long, n_lines long")
-        return MboxLoad(empty.withColumn("kept", F.lit(True)), empty, report, files)
-
-    distinct = sorted({f for _, f, _, _ in files})
-    raw = read_raw_records(spark.read, distinct)
-    ordinals = spark.createDataFrame([f[:3] for f in files], "file_ordinal int, file_path string, file_uri string")
-    parsed = records_from_raw(raw, ordinals, len(files))
-    if persist is None:
-        persist = sum(f[3] for f in files) > SMALL_INPUT_BYTES
-    if persist:
-        path = scratch_path(spark, "mbox-records")
-        parsed.write.parquet(path)
-        parsed = spark.read.parquet(path)
-    records = finalize_files(parsed, len(files))
-
-    report = records.groupBy("file_ordinal", "file_path").agg(
-        F.count_if("kept").alias("n_messages"), F.sum("n_lines").alias("n_lines")
-    )
-    # One offsets row per (file argument, split): exact count from the listing.
-    emails = number_messages(records.filter("kept"), max_splits=split_count(spark, [f[3] for f in files]))
-    return MboxLoad(records, emails, report, files)
-
-
-def number_messages(kept: DataFrame, start: int = 0, max_splits: int | None = None) -> DataFrame:
-    """W1 for loaded mail: ``start`` + offset of the (file_ordinal, block)
-    split + row number inside the split by scan position.
-
-    The offsets table has one row per input split; it is broadcast when
-    ``max_splits`` (a bound from the listing) is within the broadcast limit,
-    else joined by shuffle."""
-    split_counts = kept.groupBy("file_ordinal", "block").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per input split: small, ordered, single-partition window is fine.
-    offsets = split_counts.select(
-        "file_ordinal",
-        "block",
-        (F.sum("_n").over(Window.orderBy("file_ordinal", "block")) - F.col("_n")).alias("_off"),
-    )
-    local = F.row_number().over(Window.partitionBy("file_ordinal", "block").orderBy("rid"))
-    within = kept.withColumn("_local", local)
-    small = max_splits is not None and max_splits <= MAX_BROADCAST_FILES
-    out = within.join(F.broadcast(offsets) if small else offsets, ["file_ordinal", "block"])
-    return out.select(
-        "file_path",
-        "file_ordinal",
-        (F.lit(start) + F.col("_off") + F.col("_local")).cast("long").alias("msg_seq"),
-        "from_addr",
-        "subject",
-        "date",
-        "body",
-    )
+        return MboxLoad(spark.createDataFrame([], schema.EMAILS), report, files)
+    raw = read_raw_records(spark.read, sorted({escape_glob(f.reads) for f in files}))
+    return load_records(raw, files)
 
 
 def append_emails(session: DataFrame, loaded: DataFrame) -> DataFrame:
     """Add a newly loaded batch of emails after the session's messages
-    (UNION ALL, duplicates kept); the new messages are numbered after the last
-    one.  Only one number (the session size) reaches the driver."""
-    n = session.count()
-    shifted = loaded.withColumn("msg_seq", F.col("msg_seq") + F.lit(n))
+    (UNION ALL, duplicates kept); the new messages are numbered after the highest
+    number in the session.  Only that number reaches the driver."""
+    last = session.agg(F.max("msg_seq").alias("n")).first()["n"] or 0
+    shifted = loaded.withColumn("msg_seq", F.col("msg_seq") + F.lit(last))
     return session.unionByName(shifted)

@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schema
 from ..operators.search import match
 from ..operators.threads import thread_key
-from ..sources.mbox import finalize_files, number_messages, records_from_raw, split_count
+from ..sources.mbox import MboxFile, _canonical_uri, _canonical_uri_col, load_records
 
 EMAILS_STREAM_SCHEMA = "file_path string, file_ordinal int, msg_seq long, from_addr string, subject string, date string, body string, batch_id long"
 
@@ -30,34 +30,43 @@ def _table_exists(spark: SparkSession, path: str) -> bool:
     return bool(jp.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jp))
 
 
+MANIFEST_SCHEMA = "file_ordinal int, file_path string, n_messages long, n_lines long"
+
+
+def manifest_dir(emails_dir: str) -> str:
+    """One small table per batch: its files with their messages and lines (S11).  Readers of the emails skip it."""
+    return f"{emails_dir.rstrip('/')}/_files"
+
+
 def _previous(spark: SparkSession, emails_dir: str, batch_id: int) -> tuple[int, int]:
-    """(messages, files) already loaded by earlier batches (0, 0 if none).
-    Reads only the ``batch_id < n`` partitions: row counts from Parquet
-    footers and one small column."""
-    if not _table_exists(spark, emails_dir):
+    """(messages, files) loaded by earlier batches, from the manifest alone."""
+    folder = manifest_dir(emails_dir)
+    if not _table_exists(spark, folder):
         return 0, 0
-    prev = spark.read.schema(EMAILS_STREAM_SCHEMA).parquet(emails_dir).filter(F.col("batch_id") < batch_id)
-    row = prev.agg(F.count(F.lit(1)).alias("n"), F.max("file_ordinal").alias("f")).first()
+    prev = spark.read.schema(f"{MANIFEST_SCHEMA}, batch_id long").parquet(folder).filter(F.col("batch_id") < batch_id)
+    row = prev.agg(F.sum("n_messages").alias("n"), F.max("file_ordinal").alias("f")).first()
     return int(row["n"] or 0), int(row["f"] or 0)
 
 
 def _process_batch(emails_dir: str):
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        raw = batch.select("rec", "file_uri", "block", F.monotonically_increasing_id().alias("rid"))
-        # The files of one micro-batch: a bounded list the source already holds.
+        jvm = spark._jvm
+        # The files of one micro-batch: bounded by maxFilesPerTrigger.
         listed = sorted((r[0], r[1]) for r in batch.select("file_uri", "file_size").distinct().collect())
-        files = [f for f, _ in listed]
-        if not files:
+        if not listed:
             return
         n_prev, f_prev = _previous(spark, emails_dir, batch_id)
-        ordinals = spark.createDataFrame(
-            [(f_prev + i + 1, f, f) for i, f in enumerate(files)], "file_ordinal int, file_path string, file_uri string"
-        )
-        records = finalize_files(records_from_raw(raw, ordinals, len(files)), len(files))
-        emails = number_messages(records.filter("kept"), start=n_prev, max_splits=split_count(spark, [n for _, n in listed]))
+        files = []
+        for i, (uri, size) in enumerate(listed):
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri)).toString()  # as batch loads name it
+            files.append(MboxFile(f_prev + i + 1, path, path, _canonical_uri(uri), size))
+        raw = batch.select("rec", "file_uri", "block", F.monotonically_increasing_id().alias("rid"))
+        load = load_records(raw, files, start=n_prev)
         out = f"{emails_dir.rstrip('/')}/batch_id={batch_id}"
-        emails.select(*[f.name for f in schema.EMAILS.fields]).write.mode("overwrite").parquet(out)
+        load.emails.select(*[f.name for f in schema.EMAILS.fields]).write.mode("overwrite").parquet(out)
+        load.report.coalesce(1).write.mode("overwrite").parquet(f"{manifest_dir(emails_dir)}/batch_id={batch_id}")
+        load.close()
 
     return run
 
@@ -77,7 +86,7 @@ def start_archive_stream(
     reader = spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger)
     src = reader.option("lineSep", "\nFrom ").text(source_dir).select(
         F.col("value").alias("rec"),
-        F.col("_metadata.file_path").alias("file_uri"),
+        _canonical_uri_col(F.col("_metadata.file_path")).alias("file_uri"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("_metadata.file_size").alias("file_size"),
     )
