@@ -54,6 +54,9 @@ def render_thread_pieces(emails: DataFrame, order: str = STRING_ORDER, latest_on
         "thread_key", "thread_num", export_filename("subject", "thread_num").alias("file_name")
     )
     if latest_only:
+        from ..sources.named_files import safe_name
+
+        t = t.withColumn("file_name", safe_name(F.col("file_name")))
         top = t.groupBy(F.col("file_name").alias("_n")).agg(F.max("thread_num").alias("_v"))
         t = t.join(top, (t["file_name"] == top["_n"]) & (t["thread_num"] == top["_v"]), "left_semi")
     # Thread number and name come with the position, one row per (range, thread), so no

@@ -9,9 +9,16 @@ stages and no data through the driver:
    (a thread holding a third of all mail) is cut across many tasks; each task
    streams every run of equal names into a *piece* file (``mapInArrow``, Arrow
    batches, no per-row pickling) and emits one metadata row per piece;
-2. piece rows are grouped by file name (one small group per output file) and
-   ``applyInPandas`` concatenates the pieces in order into a temporary file
-   that is renamed over the final name (atomic replace, S10).
+2. names with one piece (nearly all) are published by a rename, many in a task;
+   only names whose rows lie in several tasks are concatenated, into a temporary
+   file that is renamed over the final name.
+
+Publishing can be repeated: pieces that are concatenated stay until the whole job
+is done, and a piece that is gone counts as published if the final file has its
+size.  So a retried or speculative task does no harm.  On a file system a rename
+replaces an older file at once (S10); an object store copies.
+
+Plain paths are resolved on Spark's default file system, as Spark's own writers do.
 
 Files not produced by the job are never touched (no directory overwrite).
 When several documents map to one name, the one with the highest ``version``
@@ -29,14 +36,16 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.numbering import target_partitions
+from ..operators.numbering import materialize
+from ..session import drop_path
 
 PIECES_DIR = "_mailspark_pieces"
 META_BATCH_ROWS = 10_000  # piece-metadata rows per Arrow batch a writer task yields
-_UNSAFE_NAME_RE = re.compile(r"[\x00-\x1f\x7f/]")
+# The two characters that no file name can hold.
+UNSAFE_NAME_RE = r"[\x00/]"
 
 
 def _fs(uri: str):
@@ -52,10 +61,16 @@ def _fs(uri: str):
     return pafs.LocalFileSystem(), os.path.abspath(uri)
 
 
-def safe_name(name: str) -> str:
-    """File names keep every character the name functions produce, except
-    control characters and '/', which a file system cannot take."""
-    return _UNSAFE_NAME_RE.sub("_", name)
+def safe_name(name: Column) -> Column:
+    """File names keep every character the name functions produce but NUL and '/'.
+    Applied before winners are chosen (N5), so two names never become one afterwards."""
+    return F.regexp_replace(name, UNSAFE_NAME_RE, "_")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A folder as a URI on Spark's default file system, if the path names no other."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri().toString()
 
 
 def ensure_directory(uri: str) -> str:
@@ -134,28 +149,51 @@ _PIECE_SCHEMA = pa.schema(
 _PIECE_DDL = "file_name string, piece string, part int, idx long, n_rows long, n_bytes long"
 
 
+def _publish(fs, piece: str, final: str, n_bytes: int) -> None:
+    """Rename a piece to its final name; an earlier attempt may have done so."""
+    from pyarrow import fs as pafs
+
+    if fs.get_file_info(piece).type == pafs.FileType.File:
+        try:
+            fs.move(piece, final)
+            return
+        except OSError:  # another attempt may have moved it meanwhile
+            if fs.get_file_info(piece).type == pafs.FileType.File:
+                raise
+    info = fs.get_file_info(final)
+    if info.type != pafs.FileType.File or info.size != n_bytes:
+        raise FileNotFoundError(f"{piece} is gone and {final} does not hold it")
+
+
+def _publish_single(out_uri: str):
+    """Pieces that are whole files: renamed, many in a task."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, root = _fs(out_uri)
+        for f in frames:
+            for name, piece, size in zip(f["file_name"], f["piece"], f["n_bytes"]):
+                _publish(fs, piece, f"{root}/{name}", int(size))
+            yield f[["file_name", "n_pieces", "n_rows", "n_bytes"]]
+
+    return run
+
+
 def _merger(out_uri: str):
+    """One file from several pieces; the pieces stay until the job is done."""
+
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         fs, root = _fs(out_uri)
         pdf = pdf.sort_values(["part", "idx"])
         name = pdf["file_name"].iloc[0]
-        final = f"{root}/{safe_name(name)}"
-        pieces = list(pdf["piece"])
-        if len(pieces) == 1:
-            fs.move(pieces[0], final)  # rename: atomic replace of an older file
-        else:
-            tmp = f"{root}/.{uuid.uuid4().hex}.tmp"
-            with fs.open_output_stream(tmp) as out:
-                for p in pieces:
-                    with fs.open_input_stream(p) as src:
-                        while True:
-                            chunk = src.read(1 << 22)
-                            if not chunk:
-                                break
-                            out.write(chunk)
-            fs.move(tmp, final)
+        tmp = f"{root}/.{uuid.uuid4().hex}.tmp"
+        with fs.open_output_stream(tmp) as out:
+            for p in pdf["piece"]:
+                with fs.open_input_stream(p) as src:
+                    while chunk := src.read(1 << 22):
+                        out.write(chunk)
+        fs.move(tmp, f"{root}/{name}")
         return pd.DataFrame(
-            {"file_name": [name], "n_pieces": [len(pieces)], "n_rows": [int(pdf["n_rows"].sum())], "n_bytes": [int(pdf["n_bytes"].sum())]}
+            {"file_name": [name], "n_pieces": [len(pdf)], "n_rows": [int(pdf["n_rows"].sum())], "n_bytes": [int(pdf["n_bytes"].sum())]}
         )
 
     return merge
@@ -179,20 +217,25 @@ def write_named_files(
 ) -> dict:
     """Write one file per distinct ``name_col``; its content is the rows'
     ``content_col`` concatenated in ``order_cols`` order.  Returns counts."""
-    ensure_directory(out_dir)
     spark = df.sparkSession
+    out_dir = qualified(spark, out_dir)
+    ensure_directory(out_dir)
+    df = df.withColumn(name_col, safe_name(F.col(name_col)))
     if version_col is not None:
         df = latest_versions(df, name_col, version_col)
-    n = num_partitions or target_partitions(df)
     keys = [F.col(name_col), *[F.col(c) if isinstance(c, str) else c for c in order_cols]]
-    rows = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select(
-        F.col(name_col).alias("file_name"), F.col(content_col).alias("content")
-    )
+    ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
+    rows = ranged.sortWithinPartitions(*keys).select(F.col(name_col).alias("file_name"), F.col(content_col).alias("content"))
     job = uuid.uuid4().hex
-    pieces = rows.mapInArrow(_piece_writer(out_dir, job), _PIECE_DDL)
-    merged = pieces.groupBy("file_name").applyInPandas(
-        _merger(out_dir), "file_name string, n_pieces long, n_rows long, n_bytes long"
+    # written once: a second run would write other pieces
+    pieces = materialize(rows.mapInArrow(_piece_writer(out_dir, job), _PIECE_DDL), "pieces")
+    names = pieces.groupBy("file_name").agg(
+        F.count(F.lit(1)).alias("n_pieces"), F.first("piece").alias("piece"), F.sum("n_rows").alias("n_rows"), F.sum("n_bytes").alias("n_bytes")
     )
+    done = "file_name string, n_pieces long, n_rows long, n_bytes long"
+    single = names.where("n_pieces = 1").mapInPandas(_publish_single(out_dir), done)
+    several = pieces.join(names.where("n_pieces > 1").select("file_name"), "file_name", "left_semi")
+    merged = single.unionByName(several.groupBy("file_name").applyInPandas(_merger(out_dir), done))
     stats = merged.agg(
         F.count(F.lit(1)).alias("files"),
         F.coalesce(F.sum("n_rows"), F.lit(0)).alias("rows"),
@@ -200,7 +243,8 @@ def write_named_files(
         F.coalesce(F.sum("n_pieces"), F.lit(0)).alias("pieces"),
     ).first()
     fs, root = _fs(out_dir)
-    fs.delete_dir_contents(f"{root}/{PIECES_DIR}/{job}", missing_dir_ok=True)
+    drop_path(spark, pieces._scratch_path)
+    fs.create_dir(f"{root}/{PIECES_DIR}/{job}", recursive=True)  # none if there were no rows
     fs.delete_dir(f"{root}/{PIECES_DIR}/{job}")
     _remove_if_empty(fs, f"{root}/{PIECES_DIR}")  # other jobs may still use it
     return stats.asDict()

@@ -10,34 +10,17 @@ from mailspark.sources.views import email_columns, read_table
 
 from conftest import SF01
 
-TWO_MAIL = (
-    "From sender@test.com Mon Jan 01 00:00:00 2024\n"
-    "From: alice@test.com\n"
-    "Subject: Hello World\n"
-    "Date: Mon, 01 Jan 2024 00:00:00 -0800\n"
-    "\n"
-    "This is the first email body.\n"
-    "\n"
-    "From sender2@test.com Tue Jan 02 00:00:00 2024\n"
-    "From: bob@test.com\n"
-    "Subject: Re: Hello World\n"
-    "Date: Tue, 02 Jan 2024 10:00:00 -0800\n"
-    "\n"
-    "This is the second email body.\n"
-)
 
-RTF = (
-    "From sender@test.com Mon Jan 01 00:00:00 2024\n"
-    "From: alice@test.com\n"
-    "Subject: RTF Email\n"
-    "Date: Mon, 01 Jan 2024 00:00:00 -0800\n"
-    "\n"
-    "Normal text here.\n"
-    "Content-Type: application/rtf\n"
-    "{\\rtf1 some rtf content}\n"
-    "\n--boundary\n"
-    "After boundary text.\n"
+
+def message(sender, body, subject=None, date=None):
+    headers = [f"From {sender} envelope", f"From: {sender}", *([f"Subject: {subject}"] if subject else []), *([f"Date: {date}"] if date else [])]
+    return "\n".join([*headers, "", body, ""])
+
+
+GARDEN = message("ivo@garden.example", "The beans are up.\n", "Seed list", "2030-03-01") + message(
+    "june@garden.example", "Mine drowned.", "Re: Seed list", "2030-03-04"
 )
+WITH_RTF = message("kit@garden.example", "Plan attached.\nContent-Type: application/rtf\n{\\rtf1 beds}\n\n--part\nSee you there.", "Plan")
 
 
 def _write(d, name, content):
@@ -52,21 +35,17 @@ def _rows(load):
     return [r.asDict() for r in load.emails.orderBy("msg_seq").collect()]
 
 
-def test_two_mail(spark, tmp_dir):
-    rows = _rows(load_mbox(spark, [_write(tmp_dir, "a.mbox", TWO_MAIL)]))
-    assert len(rows) == 2
-    assert rows[0]["from_addr"] == "alice@test.com"
-    assert rows[0]["subject"] == "Hello World"
-    assert rows[0]["date"] == "Mon, 01 Jan 2024 00:00:00 -0800"
-    assert rows[0]["body"] == "This is the first email body.\n\n"
-    assert rows[1]["body"] == "This is the second email body.\n"
-    assert [r["msg_seq"] for r in rows] == [1, 2]
+def test_two_messages(spark, tmp_dir):
+    rows = _rows(load_mbox(spark, [_write(tmp_dir, "a.mbox", GARDEN)]))
+    assert [(r["msg_seq"], r["from_addr"], r["subject"], r["date"], r["body"]) for r in rows] == [
+        (1, "ivo@garden.example", "Seed list", "2030-03-01", "The beans are up.\n\n"),
+        (2, "june@garden.example", "Re: Seed list", "2030-03-04", "Mine drowned.\n"),
+    ]
 
 
 def test_rtf_stripped(spark, tmp_dir):
-    rows = _rows(load_mbox(spark, [_write(tmp_dir, "r.mbox", RTF)]))
-    assert "Normal text" in rows[0]["body"] and "rtf1" not in rows[0]["body"]
-    assert rows[0]["body"] == "Normal text here.\n\n--boundary\nAfter boundary text.\n"
+    rows = _rows(load_mbox(spark, [_write(tmp_dir, "r.mbox", WITH_RTF)]))
+    assert rows[0]["body"] == "Plan attached.\n\n--part\nSee you there.\n"
 
 
 def test_empty_and_missing(spark, tmp_dir):
@@ -77,27 +56,27 @@ def test_empty_and_missing(spark, tmp_dir):
 
 
 def test_malformed_and_binary_dropped(spark, tmp_dir):
-    bad = _write(tmp_dir, "m.mbox", "From bad\nNotAHeader: value\n\nBody here\n")
-    binary = _write(tmp_dir, "b.mbox", "From sender\nFrom: test@test.com\nSubject: Binary\n\n\x01\x02\x03\x04\x05\n")
+    bad = _write(tmp_dir, "m.mbox", "From nowhere\nColour: green\n\nno sender, no subject\n")
+    binary = _write(tmp_dir, "b.mbox", "From q\nFrom: q@r.example\nSubject: Bytes\n\n\x06\x07\x0e\n")
     assert load_mbox(spark, [bad, binary]).emails.count() == 0
 
 
 def test_no_body_and_sender_only(spark, tmp_dir):
-    nb = _write(tmp_dir, "nb.mbox", "From x\nFrom: a@b.c\nSubject: No Body Email\n\n")
+    nb = _write(tmp_dir, "nb.mbox", "From x\nFrom: a@b.c\nSubject: Only headers\n\n")
     so = _write(tmp_dir, "so.mbox", "From x\nFrom: a@b.c\n\nonly body\n")
     rows = _rows(load_mbox(spark, [nb, so]))
-    assert rows[0]["subject"] == "No Body Email" and rows[0]["body"] == ""
+    assert rows[0]["subject"] == "Only headers" and rows[0]["body"] == ""
     assert rows[1]["subject"] is None and rows[1]["date"] is None and rows[1]["body"] == "only body\n"
 
 
 def test_hundred_messages_whitespace_kept(spark, tmp_dir):
     content = "".join(
-        f"From s{i}@x Mon Jan 01 00:00:00 2024\nFrom: s{i}@x\nSubject: Email Number {i}\n\n   indented {i}\n" for i in range(100)
+        f"From s{i}@x Mon Jan 01 00:00:00 2024\nFrom: s{i}@x\nSubject: Parcel {i}\n\n   indented {i}\n" for i in range(100)
     )
     load = load_mbox(spark, [_write(tmp_dir, "h.mbox", content)])
     rows = _rows(load)
     assert len(rows) == 100
-    assert rows[7]["subject"] == "Email Number 7" and rows[7]["body"] == "   indented 7\n"
+    assert rows[7]["subject"] == "Parcel 7" and rows[7]["body"] == "   indented 7\n"
 
 
 def test_format_edge_cases(spark, tmp_dir):
@@ -133,7 +112,7 @@ def test_invalid_utf8_line_dropped(spark, tmp_dir):
 
 
 def test_same_file_twice_and_report(spark, tmp_dir):
-    p = _write(tmp_dir, "a.mbox", TWO_MAIL)
+    p = _write(tmp_dir, "a.mbox", GARDEN)
     load = load_mbox(spark, f" {p} ,{p}")
     rows = _rows(load)
     assert [r["msg_seq"] for r in rows] == [1, 2, 3, 4]
@@ -181,11 +160,11 @@ def test_round_trip_over_splits(spark, tmp_dir, split_bytes):
 def test_append_load(spark, tmp_dir):
     from mailspark.sources.mbox import append_emails
 
-    p = _write(tmp_dir, "a.mbox", TWO_MAIL)
+    p = _write(tmp_dir, "a.mbox", GARDEN)
     first = load_mbox(spark, [p]).emails
     both = append_emails(first, load_mbox(spark, [p]).emails)
     rows = [(r["msg_seq"], r["from_addr"]) for r in both.orderBy("msg_seq").collect()]
-    assert rows == [(1, "alice@test.com"), (2, "bob@test.com"), (3, "alice@test.com"), (4, "bob@test.com")]
+    assert rows == [(i, f"{n}@garden.example") for i, n in enumerate(["ivo", "june"] * 2, 1)]
 
 
 def test_file_reader_equals_text_column_parser(spark, tmp_dir):
@@ -232,3 +211,46 @@ def test_directory_and_glob_arguments(spark, tmp_dir):
     by_glob = [r["from_addr"] for r in load_mbox(spark, [d + "/*.mbox", d + "/sub/*.mbox"]).emails.orderBy("msg_seq").collect()]
     assert by_dir == ["b@x", "a@x"]  # files in path order: .../b.mbox < .../sub/a.mbox
     assert by_glob == ["b@x", "a@x"]
+
+
+def test_names_are_taken_literally(spark, tmp_dir):
+    names = ["[Gmail].mbox", "a[1].mbox", "a1.mbox", "_x.mbox", ".x.mbox", "b*.mbox", "{c}.mbox", "d e%20f.mbox"]
+    paths = [_write(tmp_dir, n, message(f"s{i}@x.example", f"in {n}", n)) for i, n in enumerate(names)]
+    load = load_mbox(spark, [*paths, paths[1]])
+    assert [(r["msg_seq"], r["file_ordinal"], r["subject"], r["body"]) for r in _rows(load)] == [
+        (i, i, n, f"in {n}\n") for i, n in enumerate([*names, names[1]], 1)
+    ]
+    assert [f.path.rsplit("/", 1)[1] for f in load.files] == [*names, names[1]]
+    assert len(_rows(load_mbox(spark, [f"{tmp_dir}/?1.mbox"]))) == 1  # a pattern where no file has that name
+
+
+def test_every_file_has_a_report_line(spark, tmp_dir):
+    paths = [_write(tmp_dir, "e.mbox", ""), _write(tmp_dir, "g.mbox", GARDEN), _write(tmp_dir, "n.mbox", "no mail\n")]
+    rows = load_mbox(spark, paths).report.orderBy("file_ordinal").collect()
+    assert [(r["file_ordinal"], r["n_messages"], r["n_lines"]) for r in rows] == [(1, 0, 0), (2, 2, 13), (3, 0, 1)]
+
+
+def test_nul_hides_undecodable_bytes(spark, tmp_dir):
+    content = b"From x\nFrom: a@b\nSubject: s\n\nkeep this\x00\xff\xfe tail\nbad \xff\x00x\nlast\n"
+    assert _rows(load_mbox(spark, [_write(tmp_dir, "n.mbox", content)]))[0]["body"] == "keep this\nlast\n"
+
+
+def test_appending_to_a_filtered_session(spark, tmp_dir):
+    from mailspark.sources.mbox import append_emails
+
+    p = _write(tmp_dir, "a.mbox", GARDEN)
+    session = load_mbox(spark, [p]).emails.where("msg_seq = 2")
+    assert sorted(r["msg_seq"] for r in append_emails(session, load_mbox(spark, [p]).emails).collect()) == [2, 3, 4]
+
+
+def test_load_leaves_nothing_behind(spark, tmp_dir):
+    import glob
+
+    from mailspark.session import ensure_checkpoint_dir
+
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{folder}/mailspark-mbox*"))
+    load = load_mbox(spark, [_write(tmp_dir, "a.mbox", GARDEN)])
+    assert load.emails.count() == 2
+    load.close()
+    assert set(glob.glob(f"{folder}/mailspark-mbox*")) == before
