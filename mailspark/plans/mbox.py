@@ -36,6 +36,8 @@ def rendered_archives(spark: SparkSession, sf: str) -> DataFrame:
     body = (
         F.when(turn % 5 == 2, F.concat(F.col("body"), _s("\nFrom the desk of "), F.col("from_addr"), _s("\nSubject: injected\n\ntail line")))
         .when(turn % 5 == 3, F.concat(F.col("body"), _s("\n>From here\n>>From there")))
+        .when(cid % 6 == 5, F.concat(F.col("body"), _s("\nContent-Type: application/rtf\n{rich}\n--part\nafter the part")))
+        .when(cid % 6 == 4, F.concat(F.col("body"), _s("\nContent-Disposition: attachment; x\nAAAA")))
         .otherwise(F.col("body"))
     )
     final_nl = F.when(turn % 6 == 5, _s("")).otherwise(_s("\n"))
@@ -59,6 +61,8 @@ archives AS (
          || CASE WHEN turn % 5 = 2 THEN body || chr(10) || 'From the desk of ' || from_addr || chr(10) || 'Subject: injected'
                                       || chr(10) || chr(10) || 'tail line'
                  WHEN turn % 5 = 3 THEN body || chr(10) || '>From here' || chr(10) || '>>From there'
+                 WHEN conv_id % 6 = 5 THEN body || chr(10) || 'Content-Type: application/rtf' || chr(10) || '{{rich}}' || chr(10) || '--part' || chr(10) || 'after the part'
+                 WHEN conv_id % 6 = 4 THEN body || chr(10) || 'Content-Disposition: attachment; x' || chr(10) || 'AAAA'
                  ELSE body END
          || CASE WHEN turn % 6 = 5 THEN '' ELSE chr(10) END END AS archive
   FROM (SELECT *, CASE WHEN turn % 3 = 0 THEN chr(13) || chr(10) ELSE chr(10) END AS eol FROM emails)),
