@@ -45,6 +45,7 @@ FALLBACK_PRIORITY = (
     "AWS AI Services",
 )
 
+# Fixed value: the model when a list holds none.
 DEFAULT_MODEL = "mistral:latest"
 
 ORDER = ("ts", "event_id")
@@ -65,15 +66,30 @@ def cost_usd(backend="backend", tokens="tokens") -> Column:
     return (_c(tokens) * price_per_million(backend)).cast("double") / F.lit(1_000_000.0)
 
 
+_DECIMAL = "decimal(38,10)"
+
+
 def exact_sum(col) -> Column:
     """Sum in DECIMAL(38,10): exact, so the result is the same whatever the
     order in which partial sums are merged."""
-    return F.sum(_c(col).cast("decimal(38,10)"))
+    return F.sum(_decimal(_c(col)))
+
+
+def _decimal(c: Column) -> Column:
+    return c.try_cast(_DECIMAL)
+
+
+def _survives(c: Column) -> Column:
+    """Whether a number is the same as a decimal; infinities, NaN, very large and very small ones are not."""
+    return F.coalesce(_decimal(c).cast("double") == c, F.lit(False))
 
 
 def exact_avg(col) -> Column:
-    """Mean from an exact sum and one double division (NULL when no values)."""
-    return F.try_divide(exact_sum(col).cast("double"), F.count(_c(col)))
+    """Mean (NULL when no values): from the exact decimal sum if every value is the same as
+    a decimal, else the plain mean of the doubles."""
+    c = _c(col)
+    exact = F.try_divide(exact_sum(c).cast("double"), F.count(c))
+    return F.when(F.count_if(c.isNotNull() & ~_survives(c)) == 0, exact).otherwise(F.avg(c))
 
 
 def usage_records(log: DataFrame) -> DataFrame:
@@ -109,7 +125,9 @@ def usage_running(log: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
             "running_tokens": F.col("tokens"),
             "running_requests": F.lit(1).cast("long"),
             "_units": F.col("tokens") * price_per_million(),
-            "_rt_sum": F.coalesce(F.col("response_time").cast("decimal(38,10)"), F.lit(0).cast("decimal(38,10)")),
+            "_rt_sum": F.coalesce(_decimal(F.col("response_time")), F.lit(0).cast(_DECIMAL)),
+            "_rt_plain": F.coalesce(F.col("response_time"), F.lit(0.0)),
+            "_rt_odd": (F.col("response_time").isNotNull() & ~_survives(F.col("response_time"))).cast("long"),
             "_rt_n": F.when(F.col("response_time").isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("long"),
         },
     )
@@ -120,7 +138,9 @@ def usage_running(log: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
         "running_tokens",
         "running_requests",
         (F.col("_units").cast("double") / F.lit(1_000_000.0)).alias("running_cost"),
-        F.try_divide(F.col("_rt_sum").cast("double"), F.col("_rt_n")).alias("running_avg_response_time"),
+        F.try_divide(
+            F.when(F.col("_rt_odd") == 0, F.col("_rt_sum").cast("double")).otherwise(F.col("_rt_plain")), F.col("_rt_n")
+        ).alias("running_avg_response_time"),
     )
 
 
@@ -203,25 +223,35 @@ def config_availability(cfg: DataFrame) -> DataFrame:
 
 
 def pick_model(models="models", selected="selected_model") -> Column:
-    """Keep the selected model if listed (or if the list is empty), else the first."""
+    """Keep the selected model if listed (or if there is no list, or an empty one), else the first."""
     m, s = _c(models), _c(selected)
-    return F.when((F.size(m) == 0) | F.array_contains(m, s), s).otherwise(F.coalesce(F.get(m, 0), F.lit(DEFAULT_MODEL)))
+    return F.when(m.isNull() | (F.size(m) == 0) | F.array_contains(m, s), s).otherwise(F.coalesce(F.get(m, 0), F.lit(DEFAULT_MODEL)))
+
+
+def _string_at(json: Column, path: str) -> Column:
+    """The JSON string at a path; NULL for anything else that stands there."""
+    there = F.try_variant_get(json, path, "variant")
+    return F.when(F.schema_of_variant(there) == "STRING", F.try_variant_get(json, path, "string"))
 
 
 def answer_text(shape="shape", raw="raw_response") -> Column:
     """Answer from a logged raw response of one of four shapes:
-    ``generate`` (``.response``), ``chat`` (``.choices[0].message.content``,
-    '' when absent), ``jsonl`` (last non-empty line whose JSON has ``content``),
-    ``webui`` (``.message.content``).  NULL = no answer (the call failed)."""
+    ``generate`` (``.response``), ``chat`` (``.choices[0].message.content``: '' for
+    an empty list; every choice must have one), ``jsonl`` (last line whose JSON has
+    ``content``), ``webui`` (``.message.content``).  Only JSON strings are answers;
+    NULL = no answer (the call failed)."""
     r = _c(raw)
-    lines = F.filter(F.split(r, "\n", -1), lambda l: l != "")
-    contents = F.filter(F.transform(lines, lambda l: F.get_json_object(l, "$.content")), lambda c: c.isNotNull())
+    json = F.try_parse_json(r)
+    choices = F.try_variant_get(json, "$.choices", "array<variant>")
+    answers = F.transform(choices, lambda c: _string_at(c, "$.message.content"))
+    chat = F.when(F.size(choices) == 0, F.lit("")).when(F.forall(answers, lambda a: a.isNotNull()), F.get(answers, 0))
+    contents = F.transform(F.split(r, "\n", -1), lambda l: _string_at(F.try_parse_json(l), "$.content"))
     s = _c(shape)
     return (
-        F.when(s == "generate", F.get_json_object(r, "$.response"))
-        .when(s == "chat", F.coalesce(F.get_json_object(r, "$.choices[0].message.content"), F.lit("")))
-        .when(s == "jsonl", F.try_element_at(contents, F.lit(-1)))
-        .when(s == "webui", F.get_json_object(r, "$.message.content"))
+        F.when(s == "generate", _string_at(json, "$.response"))
+        .when(s == "chat", chat)
+        .when(s == "jsonl", F.try_element_at(F.filter(contents, lambda c: c.isNotNull()), F.lit(-1)))
+        .when(s == "webui", _string_at(json, "$.message.content"))
     )
 
 

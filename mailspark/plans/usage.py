@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 from ..operators import usage as U
 from ..sources.views import BACKENDS_BY_PRIORITY, llm_log_view
 
-_BACKENDS_SQL = "[" + ", ".join(f"'{b}'" for b in BACKENDS_BY_PRIORITY) + "]"
-_PRICE_SQL = "CASE backend " + " ".join(f"WHEN '{b}' THEN {p}" for b, p in U.PRICE_PER_MILLION.items()) + " ELSE 0 END"
-_PRIO_SQL = "CASE backend " + " ".join(f"WHEN '{b}' THEN {i + 1}" for i, b in enumerate(U.FALLBACK_PRIORITY)) + " END"
+# Written out, so that the SQL does not follow the engine's own constants.
+_BACKENDS_SQL = """['Ollama', 'OpenAI', 'TinyChat', 'TinyLLM', 'OpenWebUI', 'Google Cloud AI', 'Microsoft Azure',
+   'IBM Watson', 'MLX Toolkit', 'AWS AI Services']"""
+_PRICE_SQL = """CASE backend WHEN 'OpenAI' THEN 10 WHEN 'Google Cloud AI' THEN 7 WHEN 'Microsoft Azure' THEN 10
+   WHEN 'AWS AI Services' THEN 8 WHEN 'IBM Watson' THEN 12 ELSE 0 END"""
+_PRIO_SQL = """CASE backend WHEN 'Ollama' THEN 1 WHEN 'OpenAI' THEN 2 WHEN 'TinyChat' THEN 3 WHEN 'TinyLLM' THEN 4 WHEN 'OpenWebUI' THEN 5
+   WHEN 'Google Cloud AI' THEN 6 WHEN 'Microsoft Azure' THEN 7 WHEN 'IBM Watson' THEN 8 WHEN 'MLX Toolkit' THEN 9 WHEN 'AWS AI Services' THEN 10 END"""
 
 LOG_SQL = f"""
 log AS (
@@ -164,21 +168,22 @@ def pick_model(spark: SparkSession, sf: str) -> DataFrame:
         F.when(k % 5 == 0, arr())
         .when(k % 5 == 1, arr("llama3:8b", "mistral:latest"))
         .when(k % 5 == 2, arr("qwen2:7b"))
+        .when(k % 5 == 3, F.lit(None).cast("array<string>"))
         .otherwise(arr("phi3:mini", "llama3:8b", "gemma:2b"))
     )
     selected = F.when(uid % 3 == 0, F.lit("mistral:latest")).when(uid % 3 == 1, F.lit("llama3:8b")).otherwise(F.lit("gemma:2b"))
     df = log.select("event_id", models.alias("models"), selected.alias("selected_model"))
-    return df.select("event_id", "selected_model", F.size("models").cast("long").alias("n_models"), U.pick_model().alias("picked_model"))
+    return df.select("event_id", "selected_model", F.coalesce(F.array_size("models"), F.lit(0)).cast("long").alias("n_models"), U.pick_model().alias("picked_model"))
 
 
 PICK_MODEL_SQL = f"""WITH {LOG_SQL},
 m AS (SELECT event_id,
   CASE WHEN tokens % 5 = 0 THEN []::VARCHAR[] WHEN tokens % 5 = 1 THEN ['llama3:8b', 'mistral:latest']
-       WHEN tokens % 5 = 2 THEN ['qwen2:7b'] ELSE ['phi3:mini', 'llama3:8b', 'gemma:2b'] END AS models,
+       WHEN tokens % 5 = 2 THEN ['qwen2:7b'] WHEN tokens % 5 = 3 THEN NULL ELSE ['phi3:mini', 'llama3:8b', 'gemma:2b'] END AS models,
   CASE user_id % 3 WHEN 0 THEN 'mistral:latest' WHEN 1 THEN 'llama3:8b' ELSE 'gemma:2b' END AS selected_model
   FROM log)
-SELECT event_id, selected_model, len(models) AS n_models,
-       CASE WHEN len(models) = 0 OR list_contains(models, selected_model) THEN selected_model ELSE models[1] END AS picked_model
+SELECT event_id, selected_model, coalesce(len(models), 0) AS n_models,
+       CASE WHEN models IS NULL OR len(models) = 0 OR list_contains(models, selected_model) THEN selected_model ELSE models[1] END AS picked_model
 FROM m"""
 
 
@@ -187,7 +192,12 @@ def _raw_responses(log: DataFrame) -> DataFrame:
     shape = F.when(eid % 4 == 0, "generate").when(eid % 4 == 1, "chat").when(eid % 4 == 2, "jsonl").otherwise("webui")
     kk = _k()
     raw = (
-        F.when(eid % 4 == 0, F.concat(F.lit('{"response": "'), F.col("event_type"), F.lit(" answer "), k, F.lit('", "done": true}')))
+        F.when((eid % 4 == 0) & (kk % 7 == 0), F.lit('{"response": 5}'))
+        .when((eid % 4 == 1) & (kk % 6 == 0), F.lit('{"error": "busy"}'))
+        .when((eid % 4 == 1) & (kk % 6 == 1), F.lit('{"choices": [{"message": {"content": "x"}}, {"message": {}}]}'))
+        .when((eid % 4 == 2) & (kk % 6 == 2), F.lit('{"content": "words"}\n{"content": 7}'))
+        .when((eid % 4 == 3) & (kk % 5 == 0), F.lit('{"message": {"content": {"a": 1}}}'))
+        .when(eid % 4 == 0, F.concat(F.lit('{"response": "'), F.col("event_type"), F.lit(" answer "), k, F.lit('", "done": true}')))
         .when(
             eid % 4 == 1,
             F.when(kk % 3 == 0, F.lit('{"choices": []}')).otherwise(
@@ -215,7 +225,12 @@ def answer_text(spark: SparkSession, sf: str) -> DataFrame:
 ANSWER_TEXT_SQL = f"""WITH {LOG_SQL},
 r AS (SELECT event_id,
   CASE event_id % 4 WHEN 0 THEN 'generate' WHEN 1 THEN 'chat' WHEN 2 THEN 'jsonl' ELSE 'webui' END AS shape,
-  CASE event_id % 4
+  CASE WHEN event_id % 4 = 0 AND tokens % 7 = 0 THEN '{{"response": 5}}'
+       WHEN event_id % 4 = 1 AND tokens % 6 = 0 THEN '{{"error": "busy"}}'
+       WHEN event_id % 4 = 1 AND tokens % 6 = 1 THEN '{{"choices": [{{"message": {{"content": "x"}}}}, {{"message": {{}}}}]}}'
+       WHEN event_id % 4 = 2 AND tokens % 6 = 2 THEN '{{"content": "words"}}' || chr(10) || '{{"content": 7}}'
+       WHEN event_id % 4 = 3 AND tokens % 5 = 0 THEN '{{"message": {{"content": {{"a": 1}}}}}}'
+  ELSE CASE event_id % 4
     WHEN 0 THEN '{{"response": "' || event_type || ' answer ' || tokens || '", "done": true}}'
     WHEN 1 THEN CASE WHEN tokens % 3 = 0 THEN '{{"choices": []}}'
                 ELSE '{{"choices": [{{"message": {{"role": "assistant", "content": "chat ' || tokens || '"}}}}]}}' END
@@ -223,15 +238,19 @@ r AS (SELECT event_id,
                 WHEN 1 THEN '{{"x": 1}}' || chr(10) || '{{"content": "z' || tokens || '"}}' || chr(10) || chr(10) || '{{"y": 2}}'
                 ELSE '{{"done": true}}' END
     ELSE CASE WHEN tokens % 2 = 0 THEN '{{"msg": 1}}' ELSE '{{"message": {{"content": "webui ' || tokens || '"}}}}' END
-  END AS raw
+  END END AS raw
   FROM log)
 SELECT event_id, shape,
   CASE shape
-    WHEN 'generate' THEN json_extract_string(raw, '$.response')
-    WHEN 'chat' THEN coalesce(json_extract_string(raw, '$.choices[0].message.content'), '')
+    WHEN 'generate' THEN CASE WHEN json_type(raw, '$.response') = 'VARCHAR' THEN json_extract_string(raw, '$.response') END
+    WHEN 'chat' THEN CASE WHEN json_type(raw, '$.choices') <> 'ARRAY' OR json_type(raw, '$.choices') IS NULL THEN NULL
+                          WHEN json_array_length(raw, '$.choices') = 0 THEN ''
+                          WHEN len(list_filter(json_extract_string(raw, '$.choices[*].message.content'), lambda c: c IS NOT NULL))
+                               = json_array_length(raw, '$.choices') THEN json_extract_string(raw, '$.choices[0].message.content') END
     WHEN 'jsonl' THEN list_filter(list_transform(list_filter(string_split(raw, chr(10)), lambda l: l <> ''),
-                        lambda l: CASE WHEN json_valid(l) THEN json_extract_string(l, '$.content') END), lambda c: c IS NOT NULL)[-1]
-    ELSE json_extract_string(raw, '$.message.content') END AS answer
+                        lambda l: CASE WHEN json_valid(l) THEN CASE WHEN json_type(l, '$.content') = 'VARCHAR' THEN json_extract_string(l, '$.content') END END),
+                        lambda c: c IS NOT NULL)[-1]
+    ELSE CASE WHEN json_type(raw, '$.message.content') = 'VARCHAR' THEN json_extract_string(raw, '$.message.content') END END AS answer
 FROM r"""
 
 
