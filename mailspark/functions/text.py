@@ -132,7 +132,7 @@ def contains_ci(col, keyword: str, unicode_equal: bool = False) -> Column:
         return F.lit(False)
     if unicode_equal:
         return F.coalesce(F.contains(F.collate(_c(col), "UNICODE_CI"), F.lit(key)), F.lit(False))
-    return F.coalesce(F.lower(_c(col)).contains(key.lower()), F.lit(False))
+    return F.coalesce(F.lower(_c(col)).contains(F.lower(F.lit(key))), F.lit(False))
 
 
 def regex_match(col, pattern: str) -> Column:

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from ..session import remember_scratch, scratch_path
 from ..sources.exports import export_messages, export_summaries, export_threads
 from ..sources.mbox import MboxLoad, load_mbox
-from ..sources.views import email_view
+from ..sources.views import email_view, llm_log_from_events
 from ..streaming.archive import emails_stream, running_search_counts, running_thread_sizes, start_archive_stream
+from ..streaming.usage import read_changes, running_usage_stats, start_availability_stream
 from . import sqlparts as Q
 from .mail import RENDER_MESSAGES_SQL, RENDER_THREADS_SQL, THREAD_SUMMARIES_SQL
 from .mbox import ARCHIVES_SQL, rendered_archives
+from .usage import AVAILABILITY_CHANGES_SQL, LOG_SQL
 
 #: Conversations of one archive file.
 PER_FILE = 16
@@ -184,6 +186,34 @@ STREAM_SEARCH_COUNTS_SQL = f"""WITH {_STREAMED_SQL}
 SELECT count(*) FILTER (WHERE {Q.contains_ci('subject', 'topic 1')}) AS n_topic, count(*) FILTER (WHERE {Q.contains_ci('body', 'the')}) AS n_the FROM parsed WHERE kept"""
 
 
+def _event_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The events table as a stream of request logs."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    return llm_log_from_events(spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]"))
+
+
+def stream_usage_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """ST3: running usage statistics."""
+    return _ended(running_usage_stats(_event_log(spark, sf)), spark, "stream-usage")
+
+
+STREAM_USAGE_STATS_SQL = f"""WITH {LOG_SQL}
+SELECT backend, count(*) AS total_attempts, count(*) FILTER (WHERE success AND response_time IS NOT NULL) AS successful_attempts,
+       CAST(sum(tokens) FILTER (WHERE success) AS BIGINT) AS total_tokens, count(*) FILTER (WHERE success) AS total_requests,
+       CAST(sum(tokens * price) FILTER (WHERE success) AS DOUBLE) / 1000000.0 AS total_cost,
+       CAST(sum(CAST(response_time AS DECIMAL(38,10))) FILTER (WHERE success) AS DOUBLE) / count(response_time) FILTER (WHERE success) AS average_latency,
+       max(ts) FILTER (WHERE success) AS last_used
+FROM priced GROUP BY backend"""
+
+
+def stream_availability(spark: SparkSession, sf: str) -> DataFrame:
+    """ST4: availability changes, written batch by batch."""
+    out = _folder(spark, "stream-availability")
+    snapshots = _event_log(spark, sf).select("backend", "ts", "event_id", F.col("success").alias("available"))
+    start_availability_stream(snapshots, out, _folder(spark, "stream-availability-state")).awaitTermination()
+    return read_changes(spark, out)
+
+
 QUERIES = {
     "mbox_load_files": mbox_load_files,
     "mbox_load_report": mbox_load_report,
@@ -193,6 +223,8 @@ QUERIES = {
     "stream_load": stream_load,
     "stream_thread_sizes": stream_thread_sizes,
     "stream_search_counts": stream_search_counts,
+    "stream_usage_stats": stream_usage_stats,
+    "stream_availability": stream_availability,
 }
 ORACLE_SQL = {
     "mbox_load_files": MBOX_LOAD_FILES_SQL,
@@ -203,4 +235,6 @@ ORACLE_SQL = {
     "stream_load": STREAM_LOAD_SQL,
     "stream_thread_sizes": STREAM_THREAD_SIZES_SQL,
     "stream_search_counts": STREAM_SEARCH_COUNTS_SQL,
+    "stream_usage_stats": STREAM_USAGE_STATS_SQL,
+    "stream_availability": AVAILABILITY_CHANGES_SQL,
 }

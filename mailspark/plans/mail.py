@@ -272,6 +272,50 @@ FROM p
 """
 
 
+# ---------------------------------------------------------------- sentence pieces
+def sentence_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Pieces between '.', '!' and '?'."""
+    pieces = X.sentences("text")
+    d = read_table(spark, sf, "documents")
+    return d.select("doc_id", F.size(pieces).cast("long").alias("n_pieces"), F.element_at(pieces, -1).alias("last_piece"))
+
+
+SENTENCE_PIECES_SQL = f"SELECT doc_id, len({Q.pieces('text')}) AS n_pieces, ({Q.pieces('text')})[-1] AS last_piece FROM documents"
+
+
+# -------------------------------------------------------------- search extras
+def search_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages whose Date lies in a range."""
+    e = email_view(spark, sf, numbered=False)
+    return e.filter(search.date_between("2024-01-03", "2024-01-09")).select("conv_id", "turn", "date")
+
+
+SEARCH_DATES_SQL = f"""WITH emails AS ({Q.EMAIL_VIEW})
+SELECT conv_id, turn, date FROM emails WHERE try_strptime(date, '%Y-%m-%d') BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-09'"""
+
+
+def search_regex(spark: SparkSession, sf: str) -> DataFrame:
+    """Regular expression on one field."""
+    e = email_view(spark, sf, numbered=False)
+    return search.regex_search(e, "subject", "(?i)^(topic|plan).*[02468]$").select("conv_id", "turn", "subject")
+
+
+SEARCH_REGEX_SQL = f"""WITH emails AS ({Q.EMAIL_VIEW})
+SELECT conv_id, turn, subject FROM emails WHERE regexp_matches(subject, '^(topic|plan).*[02468]$', 'i')"""
+
+
+def search_and_or(spark: SparkSession, sf: str) -> DataFrame:
+    """E5: AND / OR of field searches."""
+    e = email_view(spark, sf, numbered=False)
+    either = search.any_of(search.match("subject", "topic 1"), search.match("subject", "plan"))
+    return e.filter(search.all_of(either, search.match("from", "user"), search.match("count", "th"))).select("conv_id", "turn", "from_addr")
+
+
+SEARCH_AND_OR_SQL = f"""WITH emails AS ({Q.EMAIL_VIEW})
+SELECT conv_id, turn, from_addr FROM emails
+WHERE ({Q.contains_ci('subject', 'topic 1')} OR {Q.contains_ci('subject', 'plan')}) AND {Q.contains_ci('from_addr', 'user')} AND {Q.contains_ci('body', 'th')}"""
+
+
 # -------------------------------------------------------------------- rendering
 def render_messages(spark: SparkSession, sf: str) -> DataFrame:
     return render.render_messages(email_view(spark, sf))
@@ -419,6 +463,10 @@ QUERIES = {
     "thread_positions": thread_positions,
     "thread_numbers": thread_numbers,
     "thread_chronological": thread_chronological,
+    "sentence_pieces": sentence_pieces,
+    "search_dates": search_dates,
+    "search_regex": search_regex,
+    "search_and_or": search_and_or,
     "render_messages": render_messages,
     "render_threads": render_threads,
     "thread_summaries": thread_summaries,
@@ -449,6 +497,10 @@ ORACLE_SQL = {
     "thread_positions": THREAD_POSITIONS_SQL,
     "thread_numbers": THREAD_NUMBERS_SQL,
     "thread_chronological": THREAD_CHRONOLOGICAL_SQL,
+    "sentence_pieces": SENTENCE_PIECES_SQL,
+    "search_dates": SEARCH_DATES_SQL,
+    "search_regex": SEARCH_REGEX_SQL,
+    "search_and_or": SEARCH_AND_OR_SQL,
     "render_messages": RENDER_MESSAGES_SQL,
     "render_threads": RENDER_THREADS_SQL,
     "thread_summaries": THREAD_SUMMARIES_SQL,

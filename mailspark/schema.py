@@ -15,49 +15,3 @@ EMAILS = T.StructType(
         T.StructField("body", T.StringType(), True),
     ]
 )
-
-EMAIL_FIELDS = ["from_addr", "subject", "date", "body"]
-
-THREADS = T.StructType(
-    [
-        T.StructField("thread_key", T.StringType(), False),
-        T.StructField("thread_num", T.LongType(), False),
-        T.StructField("first_seq", T.LongType(), False),
-        T.StructField("n_messages", T.LongType(), False),
-        T.StructField("subject", T.StringType(), False),
-        T.StructField("from_first", T.StringType(), True),
-        T.StructField("date_first", T.StringType(), True),
-        T.StructField("from_last", T.StringType(), True),
-        T.StructField("date_last", T.StringType(), True),
-        T.StructField("first_sentence", T.StringType(), False),
-        T.StructField("last_sentence", T.StringType(), False),
-    ]
-)
-
-# (file name, text) documents produced by the exports.
-OUTPUTS = T.StructType(
-    [
-        T.StructField("file_name", T.StringType(), False),
-        T.StructField("content", T.StringType(), False),
-    ]
-)
-
-# Request log of language-model back-ends.
-LLM_LOG = T.StructType(
-    [
-        T.StructField("backend", T.StringType(), False),
-        T.StructField("ts", T.TimestampNTZType(), True),
-        T.StructField("success", T.BooleanType(), True),
-        T.StructField("tokens", T.LongType(), True),
-        T.StructField("response_time", T.DoubleType(), True),
-        T.StructField("raw_response", T.StringType(), True),
-    ]
-)
-
-AVAILABILITY = T.StructType(
-    [
-        T.StructField("ts", T.TimestampNTZType(), True),
-        T.StructField("backend", T.StringType(), False),
-        T.StructField("available", T.BooleanType(), True),
-    ]
-)

@@ -2,27 +2,25 @@
 of request events.
 
 ST3 is a plain streaming aggregation (partial aggregation per micro-batch,
-state per back-end in the state store).  ST4 keeps one boolean of state per
-back-end with ``applyInPandasWithState``: each micro-batch's events of a
-back-end are sorted by (ts, event_id) and compared with the state, so only
-flips are emitted.  Events are assumed to arrive in time order across
-micro-batches (the reference polls snapshots in time order); a group holds at
-most one micro-batch of one back-end, bounded by ``maxFilesPerTrigger``.
+state per back-end in the state store).  ST4 runs the batch operator
+(``availability_changes``, balanced however many events one back-end has) on
+each micro-batch, after one row per back-end that holds its last known state.
+Each batch writes its changes, its late events and its states under its own
+number with overwrite, so a replayed batch replaces itself.  An event that is
+older than the state of its back-end cannot be placed any more; it goes to the
+table of late events, from which it can be counted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.usage import exact_avg, price_per_million
+from ..operators.usage import availability_changes, exact_avg, price_per_million
 
-CHANGE_SCHEMA = "backend string, ts timestamp_ntz, event_id long, available boolean, status string"
-STATE_SCHEMA = "available boolean"
+SNAPSHOT_SCHEMA = "backend string, ts timestamp_ntz, event_id long, available boolean"
+CHANGE_SCHEMA = SNAPSHOT_SCHEMA + ", status string"
 
 
 def running_usage_stats(log: DataFrame) -> DataFrame:
@@ -41,30 +39,52 @@ def running_usage_stats(log: DataFrame) -> DataFrame:
     )
 
 
-def _changes(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    prev = bool(state.get[0]) if state.exists else False
-    frames = [p for p in pdfs if len(p)]
-    if not frames:
-        return
-    events = pd.concat(frames).sort_values(["ts", "event_id"], kind="stable")
-    now = events["available"].fillna(False).astype(bool).to_numpy()
-    before = pd.Series(now).shift(1, fill_value=prev).astype(bool).to_numpy()
-    flips = events[now != before]
-    state.update((bool(now[-1]),))
-    if len(flips):
-        yield pd.DataFrame(
-            {
-                "backend": flips["backend"].to_numpy(),
-                "ts": flips["ts"].to_numpy(),
-                "event_id": flips["event_id"].to_numpy(),
-                "available": flips["available"].fillna(False).astype(bool).to_numpy(),
-                "status": ["Online" if a else "Offline" for a in flips["available"].fillna(False)],
-            }
-        )
-
-
-def availability_change_stream(snapshots: DataFrame) -> DataFrame:
-    """ST4: (backend, ts, event_id, available) stream -> change events."""
-    return snapshots.groupBy("backend").applyInPandasWithState(
-        _changes, CHANGE_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
-    )
+def _read(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """All batches of a table that a stream writes; none if it has not begun."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema + ", batch_id long")
+    return spark.read.schema(schema + ", batch_id long").parquet(folder)
+
+
+def read_changes(spark: SparkSession, out_dir: str) -> DataFrame:
+    return _read(spark, f"{out_dir}/changes", CHANGE_SCHEMA).drop("batch_id")
+
+
+def read_late(spark: SparkSession, out_dir: str) -> DataFrame:
+    return _read(spark, f"{out_dir}/late", SNAPSHOT_SCHEMA).drop("batch_id")
+
+
+def _change_batch(out_dir: str):
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        order = F.struct("ts", "event_id")
+        # one row per back-end and batch: the latest one before this batch is its state
+        before = _read(spark, f"{out_dir}/states", SNAPSHOT_SCHEMA).where(F.col("batch_id") < batch_id)
+        latest = Window.partitionBy("backend").orderBy(F.desc("batch_id"))
+        state = before.withColumn("n", F.row_number().over(latest)).where("n = 1").drop("n", "batch_id")
+        state = state.select("backend", order.alias("_at"), F.col("available").alias("_was"))
+        events = batch.select("backend", "ts", "event_id", "available").join(F.broadcast(state), "backend", "left")
+        events = events.withColumn("_late", F.coalesce(order <= F.col("_at"), F.lit(False)))
+        fresh = events.where("not _late").select("backend", "ts", "event_id", "available")
+        seeds = state.select("backend", "_at.ts", "_at.event_id", F.col("_was").alias("available"))
+        both = fresh.withColumn("seed", F.lit(False)).unionByName(seeds.withColumn("seed", F.lit(True)))
+        # a seed that is on looks like a change; it was reported before
+        changes = availability_changes(both).join(F.broadcast(seeds.select("backend", "ts", "event_id")), ["backend", "ts", "event_id"], "left_anti")
+
+        def put(df: DataFrame, name: str) -> None:
+            df.write.mode("overwrite").parquet(f"{out_dir}/{name}/batch_id={batch_id}")
+
+        put(changes.select("backend", "ts", "event_id", "available", "status"), "changes")
+        put(events.where("_late").select("backend", "ts", "event_id", "available"), "late")
+        last = fresh.groupBy("backend").agg(F.max_by(F.struct("ts", "event_id", "available"), order).alias("s"))
+        put(last.select("backend", "s.ts", "s.event_id", F.coalesce("s.available", F.lit(False)).alias("available")), "states")
+
+    return run
+
+
+def start_availability_stream(snapshots: DataFrame, out_dir: str, checkpoint_dir: str, available_now: bool = True) -> StreamingQuery:
+    """ST4: (backend, ts, event_id, available) stream -> tables of changes and late events under ``out_dir``."""
+    w = snapshots.writeStream.foreachBatch(_change_batch(out_dir.rstrip("/"))).option("checkpointLocation", checkpoint_dir)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()

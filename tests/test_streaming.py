@@ -12,7 +12,7 @@ from mailspark.operators.usage import availability_changes
 from mailspark.sources.mbox import load_mbox
 from mailspark.sources.views import email_columns, llm_log_from_events, read_table
 from mailspark.streaming.archive import emails_stream, running_search_counts, running_thread_sizes, start_archive_stream
-from mailspark.streaming.usage import availability_change_stream, running_usage_stats
+from mailspark.streaming.usage import read_changes, read_late, running_usage_stats, start_availability_stream
 
 
 def _mbox_files(spark, d):
@@ -98,10 +98,10 @@ def test_usage_streams_equal_batch(spark, tmp_dir):
     assert got == want
 
     snaps = log.select("backend", "ts", "event_id", F.col("success").alias("available"))
-    q4 = availability_change_stream(snaps).writeStream.outputMode("append").format("memory").queryName("st4").start()
-    q4.processAllAvailable()
-    q4.stop()
-    got4 = sorted(tuple(r) for r in spark.table("st4").select("backend", "ts", "event_id", "available", "status").collect())
+    out = os.path.join(tmp_dir, "availability")
+    start_availability_stream(snaps, out, os.path.join(tmp_dir, "availability-state")).awaitTermination(300)
+    got4 = sorted(tuple(r) for r in read_changes(spark, out).select("backend", "ts", "event_id", "available", "status").collect())
+    assert read_late(spark, out).count() == 0
     bsnaps = batch_log.select("backend", "ts", "event_id", F.col("success").alias("available"))
     want4 = sorted(tuple(r) for r in availability_changes(bsnaps).select("backend", "ts", "event_id", "available", "status").collect())
     assert got4 == want4 and len(got4) > 0
@@ -130,3 +130,19 @@ def test_archive_stream_awkward_files_equal_batch(spark, tmp_dir):
     want = sorted(tuple(r) for r in load_mbox(spark, paths).emails.select(*cols).collect())
     assert got == want and len(got) == 4
     assert [r[4] for r in got][1] == "last body no newline\n"
+
+
+def test_late_events_are_kept_apart(spark, tmp_dir):
+    import datetime
+
+    at = lambda m: datetime.datetime(2030, 1, 1, 0, m)
+    batches = [[("x", at(5), 1, True), ("x", at(9), 2, True)], [("x", at(7), 3, False), ("x", at(10), 4, False), ("y", at(1), 5, True)]]
+    src, out = os.path.join(tmp_dir, "late-in"), os.path.join(tmp_dir, "late-out")
+    schema = "backend string, ts timestamp_ntz, event_id long, available boolean"
+    state = os.path.join(tmp_dir, "late-state")
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        start_availability_stream(spark.readStream.schema(schema).parquet(src), out, state).awaitTermination(300)
+    changes = [(r["backend"], r["event_id"], r["available"]) for r in read_changes(spark, out).orderBy("event_id").collect()]
+    assert changes == [("x", 1, True), ("x", 4, False), ("y", 5, True)]
+    assert [r["event_id"] for r in read_late(spark, out).collect()] == [3]

@@ -11,28 +11,28 @@ def _emails(spark, rows):
 
 
 def test_first_sentence_skips_empty_bodies(spark):
-    e = _emails(spark, [(1, "a@b.com", "Test", "2024-01-01", ""), (2, "b@c.com", "test", "2024-01-02", "This is a valid reply with content.")])
+    e = _emails(spark, [(1, "u@v.example", "Well", "2024-01-01", ""), (2, "w@v.example", "well", "2024-01-02", "The rope is twelve metres long.")])
     t = threads.thread_aggregates(e).first()
-    assert t["first_sentence"] == "This is a valid reply with content" and t["n_messages"] == 2
-    assert t["subject"] == "Test"  # subject of the first sorted message, original case
+    assert t["first_sentence"] == "The rope is twelve metres long" and t["n_messages"] == 2
+    assert t["subject"] == "Well"  # subject of the first sorted message, original case
 
 
 def test_only_short_sentences_and_nil_body(spark):
-    e = _emails(spark, [(1, "a@b.com", "Test", "2024-01-01", "Hi. OK. Yes. No."), (2, "t@t", None, None, None)])
+    e = _emails(spark, [(1, "u@v.example", "Well", "2024-01-01", "Up. On. Now. Go."), (2, "t@t", None, None, None)])
     rows = {r["thread_key"]: r for r in threads.thread_aggregates(e).collect()}
-    assert rows["test"]["first_sentence"] == "" and rows["test"]["last_sentence"] == ""
+    assert rows["well"]["first_sentence"] == "" and rows["well"]["last_sentence"] == ""
     assert rows[""]["last_sentence"] == "" and rows[""]["subject"] == ""
 
 
 def test_last_sentence_from_last_message_with_one(spark):
     e = _emails(spark, [
-        (1, "a", "S", "2024-01-01", "First message sentence here."),
-        (2, "b", "s", "2024-01-03", "Hi. OK."),
-        (3, "c", "S", "2024-01-02", "Middle message long sentence."),
+        (1, "a", "S", "2024-01-01", "The cellar door was open."),
+        (2, "b", "s", "2024-01-03", "Ah. So."),
+        (3, "c", "S", "2024-01-02", "Somebody lit the stove again."),
     ])
     t = threads.thread_aggregates(e).first()
-    assert t["first_sentence"] == "First message sentence here"
-    assert t["last_sentence"] == "Middle message long sentence"  # msg 2 sorts last but has none
+    assert t["first_sentence"] == "The cellar door was open"
+    assert t["last_sentence"] == "Somebody lit the stove again"  # msg 2 sorts last but has none
     assert (t["from_first"], t["from_last"], t["date_last"]) == ("a", "b", "2024-01-03")
 
 
@@ -49,12 +49,12 @@ def test_thread_numbers_by_first_message(spark):
 
 
 def test_summary_text_and_unknowns(spark):
-    e = _emails(spark, [(1, None, "Budget Review", None, "Please review the attached budget spreadsheet for Q1.")])
+    e = _emails(spark, [(1, None, "Roof repair", None, "Bring the long ladder and two buckets.")])
     s = render.render_summaries(e).first()
-    assert s["file_name"] == "summary Budget Review.txt"
+    assert s["file_name"] == "summary Roof repair.txt"
     assert s["content"] == (
-        "Subject: Budget Review\nThread length: 1 message(s)\nFrom: unknown (unknown)\nTo:   unknown (unknown)\n"
-        "Thread began: Please review the attached budget spreadsheet for Q1\n"
+        "Subject: Roof repair\nThread length: 1 message(s)\nFrom: unknown (unknown)\nTo:   unknown (unknown)\n"
+        "Thread began: Bring the long ladder and two buckets\n"
     )
 
 
