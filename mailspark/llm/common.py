@@ -8,19 +8,14 @@ driver process ends.
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import drop_path, remember_scratch, scratch_path
 
 #: ASCII white space of the word rule ``[^\x20\x09-\x0D]+``; ``bytes.split()`` cuts at the same bytes.
 SPACES = " \t\n\x0b\f\r"
 
-_LEFT: dict[str, SparkSession] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,32 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh shared scratch table and read it back."""
-    spark = df.sparkSession
-    path = scratch_path(spark, f"llm-{name}")
-    _LEFT[path] = spark
+    path = scratch_path(df.sparkSession, f"llm-{name}")
+    remember_scratch(df.sparkSession, path)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
 
 def drop_scratch(df: DataFrame) -> None:
-    """Remove a table made by ``scratch`` that no later plan reads."""
-    path = getattr(df, "_scratch_path", None)
-    if path in _LEFT:
-        _remove(_LEFT.pop(path), path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # a stopped session cannot reach the store any more
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _drop_left() -> None:
-    for path, spark in list(_LEFT.items()):
-        _remove(spark, path)
+    """Remove a table made by ``scratch`` that no later plan reads; any other DataFrame is left alone."""
+    if path := getattr(df, "_scratch_path", None):
+        drop_path(df.sparkSession, path)
 
 
 def text_or_empty(c: str = "text") -> Column:
