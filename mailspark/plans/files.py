@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import remember_scratch, scratch_path
-from ..sources.exports import export_messages, export_summaries, export_threads
+from ..sources.exports import export_messages, export_summaries, export_table, export_threads, read_table_export
 from ..sources.mbox import MboxLoad, load_mbox
 from ..sources.views import email_view, llm_log_from_events
 from ..streaming.archive import emails_stream, running_search_counts, running_thread_sizes, start_archive_stream
@@ -131,6 +131,26 @@ WHERE (file_name, thread_num) IN (SELECT file_name, max(thread_num) FROM ({RENDE
 EXPORT_SUMMARIES_FILES_SQL = _digest_sql(f"SELECT file_name, max_by(content, thread_num) AS content FROM ({THREAD_SUMMARIES_SQL}) GROUP BY file_name")
 
 
+def _table_export(spark: SparkSession, sf: str, form: str) -> DataFrame:
+    emails = email_view(spark, sf).select("msg_seq", "from_addr", "subject", "date", "body")
+    out = _folder(spark, f"export-{form}")
+    export_table(emails, out, form)
+    return read_table_export(spark, out, emails.schema, form)
+
+
+def export_json_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages as JSON lines, read back."""
+    return _table_export(spark, sf, "json")
+
+
+def export_csv_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages as CSV, read back."""
+    return _table_export(spark, sf, "csv")
+
+
+EXPORT_TABLE_SQL = f"WITH emails AS ({Q.EMAIL_VIEW}) SELECT msg_seq, from_addr, subject, date, body FROM emails"
+
+
 # ---------------------------------------------------------------------- streams
 def _streamed_emails(spark: SparkSession, sf: str) -> str:
     """ST1: the archive files as a stream, a few files in each micro-batch; the folder of the emails."""
@@ -220,6 +240,8 @@ QUERIES = {
     "export_messages_files": export_messages_files,
     "export_threads_files": export_threads_files,
     "export_summaries_files": export_summaries_files,
+    "export_json_files": export_json_files,
+    "export_csv_files": export_csv_files,
     "stream_load": stream_load,
     "stream_thread_sizes": stream_thread_sizes,
     "stream_search_counts": stream_search_counts,
@@ -232,6 +254,8 @@ ORACLE_SQL = {
     "export_messages_files": EXPORT_MESSAGES_FILES_SQL,
     "export_threads_files": EXPORT_THREADS_FILES_SQL,
     "export_summaries_files": EXPORT_SUMMARIES_FILES_SQL,
+    "export_json_files": EXPORT_TABLE_SQL,
+    "export_csv_files": EXPORT_TABLE_SQL,
     "stream_load": STREAM_LOAD_SQL,
     "stream_thread_sizes": STREAM_THREAD_SIZES_SQL,
     "stream_search_counts": STREAM_SEARCH_COUNTS_SQL,

@@ -151,3 +151,14 @@ def test_many_files_per_task(spark, tmp_dir, monkeypatch):
     stats = write_named_files(df, out, num_partitions=2)
     assert stats["files"] == 60 and len(os.listdir(out)) == 60
     assert _read(out, "m042.txt") == "c42"
+
+
+@pytest.mark.parametrize("form", ["json", "csv"])
+def test_table_export_round_trip(spark, tmp_dir, form):
+    from mailspark.sources.exports import export_table, read_table_export
+
+    rows = [(1, "a\nb", None), (2, "", 'say "no", \\ twice'), (3, None, " \u00fc\t "), (4, "x\r\ny", "\\N?")]
+    df = spark.createDataFrame(rows, "n long, s string, t string")
+    out = os.path.join(tmp_dir, form)
+    export_table(df, out, form)
+    assert sorted(tuple(r) for r in read_table_export(spark, out, df.schema, form).collect()) == rows
