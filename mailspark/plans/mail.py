@@ -272,6 +272,28 @@ FROM p
 """
 
 
+# ---------------------------------------------------------- totals, unique names
+def session_total(spark: SparkSession, sf: str) -> DataFrame:
+    """A2: messages in the session."""
+    return search.total(email_view(spark, sf, numbered=False))
+
+
+SESSION_TOTAL_SQL = "SELECT count(*) AS n_emails FROM conversations"
+
+
+def unique_names(spark: SparkSession, sf: str) -> DataFrame:
+    """N5, opt-in: names that differ for all summaries; the latest thread keeps the plain name."""
+    t = threads.threads(email_view(spark, sf))
+    named = t.select("thread_num", N.summary_filename("subject", "thread_num").alias("file_name"))
+    return render.unique_filenames(named)
+
+
+UNIQUE_NAMES_SQL = f"""WITH {Q.THREADS},
+named AS (SELECT thread_num, {Q.thread_name('subject', 'thread_num', 'summary ')} AS file_name FROM threads),
+r AS (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY thread_num DESC) AS k FROM named)
+SELECT thread_num, CASE WHEN k = 1 THEN file_name ELSE regexp_replace(file_name, '\\.txt$', '') || ' (' || (k - 1) || ').txt' END AS file_name FROM r"""
+
+
 # ---------------------------------------------------------------- sentence pieces
 def sentence_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """Pieces between '.', '!' and '?'."""
@@ -463,6 +485,8 @@ QUERIES = {
     "thread_positions": thread_positions,
     "thread_numbers": thread_numbers,
     "thread_chronological": thread_chronological,
+    "session_total": session_total,
+    "unique_names": unique_names,
     "sentence_pieces": sentence_pieces,
     "search_dates": search_dates,
     "search_regex": search_regex,
@@ -497,6 +521,8 @@ ORACLE_SQL = {
     "thread_positions": THREAD_POSITIONS_SQL,
     "thread_numbers": THREAD_NUMBERS_SQL,
     "thread_chronological": THREAD_CHRONOLOGICAL_SQL,
+    "session_total": SESSION_TOTAL_SQL,
+    "unique_names": UNIQUE_NAMES_SQL,
     "sentence_pieces": SENTENCE_PIECES_SQL,
     "search_dates": SEARCH_DATES_SQL,
     "search_regex": SEARCH_REGEX_SQL,
