@@ -41,8 +41,8 @@ from .common import batches, drop_scratch, scratch
 ORDER = 5
 #: Symbols are the bytes and the end of a text, in 9 bits each.
 END, WIDTH = 256, 9
-MAX_NODES = 4_000_000
-FREQUENT = 200_000
+MAX_NODES = 1_500_000
+FREQUENT = 100_000
 #: Bytes that are worked on at once, and distinct grams or words a task holds before it emits them.
 CHUNK, HELD = 2 << 20, 4_000_000
 
@@ -150,7 +150,8 @@ class Trie:
         return out
 
 
-def learned_trie(train: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> Trie:
+def learned_nodes(train: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted grams and counts of each order, as ``Trie`` takes them."""
     top = scratch(gram_counts(train, order), "grams")
     by_order = [
         top.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (WIDTH * (o + 1))) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
@@ -164,13 +165,21 @@ def learned_trie(train: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODE
     nodes = scratch(nodes, "trie-nodes")
     drop_scratch(top)
     least = _least_count(nodes, max_nodes)
-    kept = nodes.where(F.col("n") >= least).toPandas()  # max_nodes rows at most
+
+    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(o, g["gram"].to_numpy(np.int64).tobytes(), g["n"].to_numpy(np.int64).tobytes()) for o, g in f.groupby("o")]
+            yield pd.DataFrame(rows, columns=["o", "grams", "counts"])
+
+    # max_nodes nodes at most, 16 bytes each
+    rows = nodes.where(F.col("n") >= least).mapInPandas(packed, "o int, grams binary, counts binary").collect()
     drop_scratch(nodes)
     out = []
     for o in range(order + 1):
-        own = kept[kept["o"] == o].sort_values("gram")
-        out.append((own["gram"].to_numpy(np.int64), own["n"].to_numpy(np.int64)))
-    return Trie(out)
+        g, c = (np.frombuffer(b"".join(bytes(r[k]) for r in rows if r["o"] == o), np.int64) for k in ("grams", "counts"))
+        by = np.argsort(g)
+        out.append((g[by], c[by]))
+    return out
 
 
 def _least_count(counted: DataFrame, most: int) -> float:
@@ -218,7 +227,7 @@ def score_documents(
     """
     spark = docs.sparkSession
     chosen = docs.where(train).select("text")
-    trie = spark.sparkContext.broadcast(learned_trie(chosen, order, max_nodes))
+    nodes = spark.sparkContext.broadcast(learned_nodes(chosen, order, max_nodes))
     words = scratch(word_counts(chosen), "word-counts")
     ends = chosen.count()
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -230,7 +239,7 @@ def score_documents(
     )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, known_words = trie.value, lookup.value
+        model, known_words = Trie(nodes.value), lookup.value
         row = TaskContext.get().partitionId() << 40
         for f, texts in _chunks(frames):
             g, starts = grams(texts, order)
