@@ -141,9 +141,12 @@ def test_mix_of_awkward_rows(spark):
 # -- packing ------------------------------------------------------------------------
 
 
-def test_cached_pieces_give_the_tokenizer_s_ids():
+@pytest.mark.parametrize("cache", [300_000, 2])
+def test_cached_pieces_give_the_tokenizer_s_ids(monkeypatch, cache):
+    from mailspark.llm import packing
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(packing, "CACHE", cache)  # with 2, pieces are forgotten and met again all the time
     plain, encode = Tokenizer.from_file(tokenizer_path()), Encoder(tokenizer_path())
     texts = ["", " ", "a b", "a  b", "\n", "\n\nx", " a\nb ", "a\tb c\n d", "Ünï 日本語 x's it's\nI'll 12 3,4", "x.. y!?; 3,. é."]
     texts += ["a., b,", "é. x", "...", "a\n...b. .\n.", " . x", "x​. y", "don't. s'. '", "<|endoftext|> a b", "w" * 3000, "b, b\nb"]
