@@ -36,8 +36,9 @@ LENGTH = 2048
 END_ID = 1
 STRETCH = 1 << 18
 SENTENCE_PENALTY, INSIDE_PENALTY = 4.0, 48.0
-#: Distinct pieces whose ids a worker remembers; marks that may close a piece.
-CACHE = 1_000_000
+#: New pieces after which a worker forgets those that it has not met since the time before.
+CACHE = 300_000
+#: Marks that may close a piece.
 CLOSING = ".,;:!?"
 
 SCHEMA = (
@@ -64,6 +65,7 @@ class Encoder:
         self.line_feed = self.whole("\n")
         self.first: dict[str, bytes | None] = {}  # pieces at the start of a line
         self.later: dict[str, bytes | None] = {}  # pieces after a space
+        self.before: dict[str, dict[str, bytes | None]] = {"": {}, " ": {}}  # what both held before they were emptied
         self.marks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -72,14 +74,21 @@ class Encoder:
     def _learn(self, cache: dict, pieces, before: str) -> None:
         """Put the ids of ``before + piece`` into the cache; None for a piece that white space begins or ends."""
         if len(cache) > CACHE:
+            self.before[before] = dict(cache)
             cache.clear()
+        earlier = self.before[before]
         closed, good = [], set()
         for p in {p for p in pieces if p not in cache}:
+            if p in earlier:
+                cache[p] = earlier[p]
+                continue
             # marks after a letter or digit are always cut off and are coded alike
             stem = p.rstrip(CLOSING)
             if stem != p and stem[-1:].isalnum():
                 closed.append((p, stem))
                 p = stem
+                if p in earlier:
+                    cache[p] = earlier[p]
                 if p in cache:
                     continue
             if p and not p[0].isspace() and not p[-1].isspace():
