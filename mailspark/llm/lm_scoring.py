@@ -8,11 +8,16 @@ symbols among n), and the symbols it has seen are excluded below.  A symbol seen
 seen in every shorter one, so exclusion needs just two sums per context, and code
 lengths are computed for all distinct (context, symbol) grams of a batch at once.
 
-All grams of all training documents are counted: tasks emit sorted distinct
-grams, a native aggregate adds them up, so what is gathered grows with the corpus.
-The trie that is broadcast has ``MAX_NODES`` nodes at most: where the corpus has
-more, nodes below the least sufficient count are left out at every order alike,
-which keeps the probabilities of each context a distribution.
+All grams of all documents are counted (a native aggregate adds up what tasks
+count), and every node of the trie is used, whatever the corpus.  The distinct grams
+lie in key order, last context byte first, so that each context of any length is one
+stretch of them.  They are cut into bins of about ``BIN`` grams at quantiles.  A bin's
+task builds the trie of its own contexts and scores its grams; contexts that a cut
+goes through (at most one of each order for each cut, the empty one and those of one byte)
+are summed over all bins first and broadcast.  A hot context is thus cut like any other.
+
+Documents look their grams up in a broadcast cache of the ``CACHED`` most frequent
+at most; all others are joined with the table of scores.
 
 Beside it stands a word-unigram score.  Words up to a frequency rank are looked up
 in a broadcast table of ``FREQUENT`` words at most; the rest is joined, so every
@@ -37,12 +42,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, drop_scratch, scratch
+from .components import whole_groups
 
 ORDER = 5
 #: Symbols are the bytes and the end of a text, in 9 bits each.
 END, WIDTH = 256, 9
-MAX_NODES = 1_500_000
+SYMBOL = (1 << WIDTH) - 1
 FREQUENT = 100_000
+#: Distinct grams of a bin, about, and scores that are broadcast at most.
+BIN, CACHED = 250_000, 1_000_000
 #: Bytes that are worked on at once, and distinct grams or words a task holds before it emits them.
 CHUNK, HELD = 2 << 20, 4_000_000
 
@@ -78,32 +86,46 @@ def _chunks(frames: Iterator[pd.DataFrame], *columns: str):
         yield f, [t.encode().lower() if isinstance(t, str) else b"" for t in f["text"]]
 
 
-def gram_counts(train: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, n) over all training documents."""
+def by_context(gram: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """The gram with its context turned round, the last symbol on top; turns it back, too."""
+    out = gram & SYMBOL
+    for i in range(1, order + 1):
+        out |= (gram >> (WIDTH * i) & SYMBOL) << (WIDTH * (order + 1 - i))
+    return out
+
+
+def _summed(g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values of g and the sum of n for each."""
+    by = np.argsort(g, kind="stable")
+    g, n = g[by], n[by]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(g)), bool), g[1:] != g[:-1]]))
+    return g[first], np.add.reduceat(n, first) if len(g) else n
 
-    def merged(parts):
-        g, n = (np.concatenate(x) for x in zip(*parts))
-        by = np.argsort(g, kind="stable")
-        g, n = g[by], n[by]
-        first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        return g[first], np.add.reduceat(n, first)
+
+def gram_counts(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame:
+    """(key, n, m) of all documents' grams, turned by ``by_context``; n: times in training documents, m: in all."""
+
+    def rows(g: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"key": by_context(g >> 1, order), "n": n * (g & 1), "m": n})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts, held = [], 0
-        for _, texts in _chunks(frames):
-            parts.append(np.unique(grams(texts, order)[0], return_counts=True))
+        for f, texts in _chunks(frames):
+            g, starts = grams(texts, order)
+            learned = np.repeat(f["learned"].to_numpy(bool), np.diff(np.append(starts, len(g))))
+            parts.append(np.unique(g << 1 | learned, return_counts=True))
             held += len(parts[-1][0])
             if held > HELD:
-                parts = [merged(parts)]
+                parts = [_summed(*(np.concatenate(x) for x in zip(*parts)))]
                 held = len(parts[0][0])
                 if held > HELD // 2:
-                    yield pd.DataFrame({"gram": parts[0][0], "n": parts[0][1]})
+                    yield rows(*parts[0])
                     parts, held = [], 0
         if parts:
-            g, n = merged(parts)
-            yield pd.DataFrame({"gram": g, "n": n})
+            yield rows(*_summed(*(np.concatenate(x) for x in zip(*parts))))
 
-    return train.select("text").mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counted = docs.select("text", F.coalesce(train, F.lit(False)).alias("learned")).mapInPandas(run, "key long, n long, m long")
+    return counted.groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 class Trie:
@@ -150,35 +172,89 @@ class Trie:
         return out
 
 
-def learned_nodes(train: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sorted grams and counts of each order, as ``Trie`` takes them."""
-    top = scratch(gram_counts(train, order), "grams")
-    by_order = [
-        top.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (WIDTH * (o + 1))) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-        if o < order
-        else top
-        for o in range(order + 1)
-    ]
-    nodes = by_order[0].withColumn("o", F.lit(0))
-    for o in range(1, order + 1):
-        nodes = nodes.unionByName(by_order[o].withColumn("o", F.lit(o)))
-    nodes = scratch(nodes, "trie-nodes")
-    drop_scratch(top)
-    least = _least_count(nodes, max_nodes)
+def _of_order(gram: np.ndarray, o: int) -> np.ndarray:
+    return gram & ((1 << (WIDTH * (o + 1))) - 1)
+
+
+def _cut_contexts(cuts: np.ndarray, order: int) -> list[np.ndarray | None]:
+    """For each order the contexts that may lie in several bins, as in a gram of that order; None: all."""
+    first = by_context(cuts, order)
+    return [None if o < 2 else np.unique(_of_order(first, o) >> WIDTH) for o in range(order + 1)]
+
+
+def _split_nodes(counts: DataFrame, cut: list[np.ndarray | None], order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted nodes of each order in contexts that may lie in several bins, with their counts.
+
+    They come to the driver: 257 * 258 of orders 0 and 1 at most, and 257 of each further order for each cut."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            g, n = by_context(f["key"].to_numpy(np.int64), order), f["n"].to_numpy(np.int64)
+            for o in range(order + 1):
+                x = _of_order(g, o)
+                here = np.ones(len(x), bool) if cut[o] is None else np.isin(x >> WIDTH, cut[o])
+                x, c = _summed(x[here], n[here])
+                yield pd.DataFrame({"o": np.full(len(x), o, np.int32), "node": x, "n": c})
+
+    nodes = counts.where("n > 0").select("key", "n").mapInPandas(run, "o int, node long, n long")
+    o, node, n = _collected(nodes.groupBy("o", "node").agg(F.sum("n").alias("n")), o=np.int32, node=np.int64, n=np.int64)
+    return [_summed(node[o == k], n[o == k]) for k in range(order + 1)]
+
+
+def _collected(rows: DataFrame, **columns) -> list[np.ndarray]:
+    """The columns of a table that is small enough for the driver, sent as packed arrays of these types."""
 
     def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(o, g["gram"].to_numpy(np.int64).tobytes(), g["n"].to_numpy(np.int64).tobytes()) for o, g in f.groupby("o")]
-            yield pd.DataFrame(rows, columns=["o", "grams", "counts"])
+            yield pd.DataFrame({c: [f[c].to_numpy(t).tobytes()] for c, t in columns.items()})
+
+    got = rows.select(*columns).mapInPandas(packed, ", ".join(f"{c} binary" for c in columns)).collect()
+    return [np.frombuffer(b"".join(bytes(r[c]) for r in got), t) for c, t in columns.items()]
+
+
+def gram_scores(counts: DataFrame, order: int = ORDER, max_nodes: int | None = None, bin_rows: int = BIN) -> DataFrame:
+    """(key, m, score) of all rows of ``gram_counts``; score: log10 probability of the gram's symbol after its context.
+
+    max_nodes: ask for a smaller model, without nodes below the least count that so many nodes reach."""
+    spark = counts.sparkSession
+    least = _least_count(_all_nodes(counts, order), max_nodes) if max_nodes is not None else 0
+    n = counts.count()
+    bins = max(1, -(-n // bin_rows), min(-(-n // 1024), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    shares = [i / bins for i in range(1, bins)]
+    cuts = counts.agg(F.percentile_approx("key", shares, 20 * bins).alias("k")).first()["k"] if shares else []
+    cuts = np.unique(np.array(cuts, np.int64))
+    cut = _cut_contexts(cuts, order)
+    held = spark.sparkContext.broadcast((cut, _split_nodes(counts, cut, order)))
+
+    def dealt(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(bin=np.searchsorted(cuts, f["key"].to_numpy(np.int64), side="right").astype(np.int32))
 
-    # max_nodes nodes at most, 16 bytes each
-    rows = nodes.where(F.col("n") >= least).mapInPandas(packed, "o int, grams binary, counts binary").collect()
-    drop_scratch(nodes)
-    out = []
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cut, split = held.value
+        for f in whole_groups(frames, ["bin"]):
+            g, n = by_context(f["key"].to_numpy(np.int64), order), f["n"].to_numpy(np.int64)
+            nodes = []
+            for o in range(order + 1):
+                x, c = split[o]
+                if cut[o] is not None:
+                    own = _of_order(g, o)
+                    here = (n > 0) & ~np.isin(own >> WIDTH, cut[o])
+                    x, c = _summed(np.concatenate([x, own[here]]), np.concatenate([c, n[here]]))
+                nodes.append((x[c >= least], c[c >= least]))
+            yield pd.DataFrame({"key": f["key"], "m": f["m"], "score": Trie(nodes).log10(g)})
+
+    rows = counts.mapInPandas(dealt, "key long, n long, m long, bin int")
+    return rows.repartitionById(bins, F.col("bin")).sortWithinPartitions("bin").mapInPandas(run, "key long, m long, score double")
+
+
+def _all_nodes(counts: DataFrame, order: int) -> DataFrame:
+    """(n) of all nodes of all orders."""
+    learned, out = counts.where("n > 0"), None
     for o in range(order + 1):
-        g, c = (np.frombuffer(b"".join(bytes(r[k]) for r in rows if r["o"] == o), np.int64) for k in ("grams", "counts"))
-        by = np.argsort(g)
-        out.append((g[by], c[by]))
+        context = F.shiftright("key", WIDTH * (order + 1 - o))
+        nodes = learned.groupBy(context, F.col("key").bitwiseAND(SYMBOL)).agg(F.sum("n").alias("n")).select("n")
+        out = nodes if out is None else out.unionAll(nodes)
     return out
 
 
@@ -214,20 +290,35 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 
 SCORED = (
-    "row long, doc_id long, n_words long, known long, logs double, score double, tail array<binary>, times array<long>"
+    "row long, doc_id long, n_words long, known long, logs double, score double, tail array<binary>, times array<long>, "
+    "rest array<long>, rest_times array<long>"
 )
 
 
 def score_documents(
-    docs: DataFrame, train: Column, held_out: Column, order: int = ORDER, max_nodes: int = MAX_NODES, frequent: int = FREQUENT
+    docs: DataFrame,
+    train: Column,
+    held_out: Column,
+    order: int = ORDER,
+    max_nodes: int | None = None,
+    frequent: int = FREQUENT,
+    cached: int = CACHED,
+    bin_rows: int = BIN,
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of (doc_id, text).
 
-    train: which rows to learn from.
+    train: which rows to learn from.  max_nodes: as in ``gram_scores``; all nodes unless it is given.
     """
     spark = docs.sparkSession
     chosen = docs.where(train).select("text")
-    nodes = spark.sparkContext.broadcast(learned_nodes(chosen, order, max_nodes))
+    counts = scratch(gram_counts(docs, train, order), "grams")
+    scores = scratch(gram_scores(counts, order, max_nodes, bin_rows), "gram-scores")
+    drop_scratch(counts)
+    least_seen = _least_count(scores.select(F.col("m").alias("n")), cached)
+    kept, value = _collected(scores.where(F.col("m") >= least_seen), key=np.int64, score=np.float64)  # ``cached`` rows at most
+    kept = by_context(kept, order)
+    by = np.argsort(kept)
+    held = spark.sparkContext.broadcast((kept[by], value[by]))
     words = scratch(word_counts(chosen), "word-counts")
     ends = chosen.count()
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -239,15 +330,26 @@ def score_documents(
     )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, known_words = Trie(nodes.value), lookup.value
+        (kept, value), known_words = held.value, lookup.value
         row = TaskContext.get().partitionId() << 40
         for f, texts in _chunks(frames):
             g, starts = grams(texts, order)
             distinct, place = np.unique(g, return_inverse=True)
+            logs10, there = np.zeros(len(distinct)), np.zeros(len(distinct), bool)
+            if len(kept):
+                at = np.minimum(np.searchsorted(kept, distinct), len(kept) - 1)
+                there = kept[at] == distinct
+                logs10[there] = value[at[there]]
+            away = ~there[place]
+            rest, rest_times = [], []
+            for x, y, some in zip(starts, np.append(starts[1:], len(g)), np.logical_or.reduceat(away, starts)):
+                k, c = np.unique(by_context(g[x:y][away[x:y]], order), return_counts=True) if some else ([], [])
+                rest.append(k)
+                rest_times.append(c)
             out = {
                 "row": np.arange(row, row + len(f)),
                 "doc_id": f["doc_id"].astype("Int64").to_numpy(),
-                "score": np.add.reduceat(model.log10(distinct)[place], starts),
+                "score": np.add.reduceat(logs10[place], starts),
             }
             row += len(f)
             n_words, known, logs, tails, times = [], [], [], [], []
@@ -265,7 +367,7 @@ def score_documents(
                 logs.append(s)
                 tails.append(tail)
                 times.append([own[w] for w in tail])
-            yield pd.DataFrame(out | {"n_words": n_words, "known": known, "logs": logs, "tail": tails, "times": times})
+            yield pd.DataFrame(out | {"n_words": n_words, "known": known, "logs": logs, "tail": tails, "times": times, "rest": rest, "rest_times": rest_times})
 
     names = [c.split()[0] for c in SCORED.split(", ")]
     scored = docs.select("doc_id", "text").mapInPandas(lambda frames: (f[names] for f in run(frames)), SCORED)
@@ -280,15 +382,21 @@ def score_documents(
             F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("tail_known"),
         )
     )
+    rest = scored.select("row", F.explode(F.arrays_zip("rest", "rest_times")).alias("x")).select("row", F.col("x.rest").alias("key"), "x.rest_times")
+    rest = (
+        rest.join(scores.where(F.col("m") < least_seen).select("key", F.col("score").alias("each")), "key")
+        .groupBy("row")
+        .agg(F.sum(F.col("rest_times") * F.col("each")).alias("rest_score"))
+    )
     denominator = math.log10(tokens + 0.1 * (vocabulary + 1))
     n_tokens = F.col("n_words") + 1
     logs = F.col("logs") + F.coalesce("tail_logs", F.lit(0.0)) + F.lit(math.log10(ends + 0.1))
-    return scored.drop("tail", "times").join(tail, "row", "left").select(
+    return scored.drop("tail", "times", "rest", "rest_times").join(tail, "row", "left").join(rest, "row", "left").select(
         "doc_id",
         F.coalesce(held_out, F.lit(False)).alias("held_out"),
         n_tokens.alias("n_tokens"),
         (F.col("known") + F.coalesce("tail_known", F.lit(0)) + F.lit(1 if ends else 0)).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (logs - n_tokens * F.lit(denominator)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("rest_score", F.lit(0.0))).alias("score"),
     )

@@ -91,6 +91,25 @@ def test_model_beats_the_unigram_and_bounds_its_nodes(spark):
     assert score_documents(empty_docs(spark), part != 0, part == 0).count() == 0
 
 
+@pytest.mark.parametrize("settings", [{}, {"cached": 100, "bin_rows": 20_000}, {"order": 2, "cached": 0, "bin_rows": 3_000}])
+def test_every_node_of_the_trie_counts(spark, settings):
+    rng = random.Random(8)
+    letters = [chr(c) for c in range(192, 223)] + list("abcdefghijklmnopqrstuvwxyz 0123456789")  # more than 1,500,000 nodes
+    texts = ["".join(rng.choices(letters, k=2000)) for _ in range(300)] + ["aaaa" * 500] * 20 + ["", None]
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string").repartition(4)
+    part = crc_mod(F.col("doc_id"), 10)
+    raws = [(t or "").encode().lower() for t in texts]
+    order = settings.get("order", 5)
+    trie = trie_of([r for i, r in enumerate(raws) if zlib.crc32(str(i).encode()) % 10], order)
+    if order == 5:
+        assert sum(len(o[0]) for o in trie.orders) > 1_500_000
+    got = score_documents(docs, part != 0, part == 0, **settings).select("doc_id", "score").collect()
+    assert len(got) == len(texts) + 1
+    want = {i: trie.log10(grams([r], order)[0]).sum() for i, r in enumerate(raws)}
+    for r in got:
+        assert math.isclose(r["score"], want[r["doc_id"] or 0], rel_tol=1e-9)
+
+
 # -- mixing -------------------------------------------------------------------------
 
 
