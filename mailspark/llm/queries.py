@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import embedding_dedup, simhash_dedup
+from .alignment import align
+from .best_fit import pack_best_fit
 from .common import table
 from .line_dedup import line_classes
 from .lm_scoring import crc_mod, score_documents
@@ -170,6 +172,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def piece_tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), tokenizer_path(), piece_tokenizer_path())
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_best_fit(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_classifier": op2_quality_classifier,
@@ -181,5 +197,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_source_mixing": op9_source_mixing,
     "op10_packing": op10_packing,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op4_quality_rules": OP4_SQL, "op6_line_dedup": OP6_SQL}
