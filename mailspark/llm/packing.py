@@ -20,7 +20,6 @@ empty table gives an empty result; further columns are not read.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -31,142 +30,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import batches
+from .tokens import ByteTokens, documents_ids, loaded
 
 LENGTH = 2048
 END_ID = 1
 STRETCH = 1 << 18
 SENTENCE_PENALTY, INSIDE_PENALTY = 4.0, 48.0
-#: New pieces after which a worker forgets those that it has not met since the time before.
-CACHE = 300_000
-#: Marks that may close a piece.
-CLOSING = ".,;:!?"
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 )
 
 
-class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes.
-
-    The tokenizer always cuts a text around a line feed, and before a space, that
-    stands alone between two other characters, whatever comes before or after.  So
-    the pieces between them are looked up in a cache, and only new pieces go through
-    the tokenizer, joined into one text.  A text with other white space at the end of
-    a piece, or with the string of a special token, goes through it whole.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.line_feed = self.whole("\n")
-        self.first: dict[str, bytes | None] = {}  # pieces at the start of a line
-        self.later: dict[str, bytes | None] = {}  # pieces after a space
-        self.before: dict[str, dict[str, bytes | None]] = {"": {}, " ": {}}  # what both held before they were emptied
-        self.marks: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, cache: dict, pieces, before: str) -> None:
-        """Put the ids of ``before + piece`` into the cache; None for a piece that white space begins or ends."""
-        if len(cache) > CACHE:
-            self.before[before] = dict(cache)
-            cache.clear()
-        earlier = self.before[before]
-        closed, good = [], set()
-        for p in {p for p in pieces if p not in cache}:
-            if p in earlier:
-                cache[p] = earlier[p]
-                continue
-            # marks after a letter or digit are always cut off and are coded alike
-            stem = p.rstrip(CLOSING)
-            if stem != p and stem[-1:].isalnum():
-                closed.append((p, stem))
-                p = stem
-                if p in earlier:
-                    cache[p] = earlier[p]
-                if p in cache:
-                    continue
-            if p and not p[0].isspace() and not p[-1].isspace():
-                good.add(p)
-            else:
-                cache[p] = None
-        if good:
-            self._encode(cache, list(good), before)
-        for p, stem in closed:
-            marks = p[len(stem) :]
-            if marks not in self.marks:
-                self.marks[marks] = self.whole(marks)
-            cache[p] = cache[stem] if cache[stem] is None else cache[stem] + self.marks[marks]
-
-    def _encode(self, cache: dict, good: list[str], before: str) -> None:
-        space = before == " "
-        text = " " + " ".join(good) if space else "\n".join(good)
-        e = self.tokenizer.encode(text, add_special_tokens=False)
-        ids = np.array(e.ids, "<u4").tobytes()
-        token_starts = np.array(e.offsets, np.int64)[:, 0]
-        ends = (np.fromiter(map(len, good), np.int64, len(good)) + 1).cumsum()  # of each piece and the separator beside it
-        lo = np.searchsorted(token_starts, np.concatenate([[0], ends[:-1]]))
-        # at line starts the separator stands after the piece and is a token of its own
-        hi = np.searchsorted(token_starts, ends if space else ends - 1)
-        for p, i, j in zip(good, (4 * lo).tolist(), (4 * hi).tolist()):
-            cache[p] = ids[i:j]
-
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if any(s in text for s in self.special):
-            return self.whole(text)
-        lines = [x.split(" ") for x in text.split("\n")]
-        heads = [x[0] for x in lines]
-        rest = [p for x in lines for p in x[1:]]
-        try:
-            first = list(map(self.first.__getitem__, heads))
-        except KeyError:
-            self._learn(self.first, heads, "")
-            first = list(map(self.first.__getitem__, heads))
-        try:
-            later = list(map(self.later.__getitem__, rest))
-        except KeyError:
-            self._learn(self.later, rest, " ")
-            later = list(map(self.later.__getitem__, rest))
-        if None in first or None in later:
-            return self.whole(text)
-        out, at = [], 0
-        for head, x in zip(first, lines):
-            out.append(head)
-            end = at + len(x) - 1
-            out += later[at:end]
-            out.append(self.line_feed)
-            at = end
-        del out[-1]
-        return b"".join(out)
-
-
-_ENCODERS: dict[str, tuple[Encoder, np.ndarray]] = {}
-
-
-def encoder(path: str) -> tuple[Encoder, np.ndarray]:
-    """The encoder and the sentence ends of a tokenizer, kept for a worker's next tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path), sentence_ends(path)
-    return _ENCODERS[path]
-
-
-def sentence_ends(path: str) -> np.ndarray:
+def sentence_ends(tokens: ByteTokens) -> np.ndarray:
     """For each id: whether its bytes end a sentence or a line."""
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    n = max(t.get_vocab(True).values()) + 1
-    out = np.zeros(n, bool)
-    for i, s in enumerate(t.decode_batch([[i] for i in range(n)], skip_special_tokens=False)):
-        out[i] = s.endswith((".", "!", "?", "\n"))
-    return out
+    return np.array([b.endswith((b".", b"!", b"?", b"\n")) for b in tokens.bytes_of()])
 
 
 def cut_places(ends: np.ndarray, sentence: np.ndarray, total: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -249,14 +127,13 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
     """Pieces (see ``SCHEMA``) of all documents of (doc_id, text), in the table's order."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, sentence = encoder(tokenizer)
+        tokens = loaded(ByteTokens, tokenizer)
+        sentence = sentence_ends(tokens)
         first = TaskContext.get().partitionId() << 40
-        end, open_ = np.array([end_id], "<u4"), Stretch()
+        open_ = Stretch()
         for f in batches(frames):
-            for doc_id, text in zip(f["doc_id"], f["text"]):
-                ids = np.frombuffer(encode(text) if isinstance(text, str) else b"", "<u4")
-                ids = np.concatenate([ids, end])
-                open_.add(None if pd.isna(doc_id) else int(doc_id), len(ids), 0, ids)
+            for doc_id, ids in documents_ids(tokens, f, end_id):
+                open_.add(doc_id, len(ids), 0, ids)
                 if open_.tokens >= stretch_tokens:
                     rows, open_, n = _pieces(open_, sentence, first, False, length)
                     first += n

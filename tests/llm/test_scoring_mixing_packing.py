@@ -8,7 +8,7 @@ import pytest
 from helpers import awkward_docs, empty_docs, text_of
 from mailspark.llm.lm_scoring import END, WIDTH, Trie, crc_mod, grams, score_documents
 from mailspark.llm.mixing import flight, mix, take, targets
-from mailspark.llm.packing import Encoder, best_cuts, pack
+from mailspark.llm.packing import best_cuts, pack
 from mailspark.llm.queries import tokenizer_path
 from pyspark.sql import functions as F
 
@@ -160,19 +160,6 @@ def test_mix_of_awkward_rows(spark):
 # -- packing ------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("cache", [300_000, 2])
-def test_cached_pieces_give_the_tokenizer_s_ids(monkeypatch, cache):
-    from mailspark.llm import packing
-    from tokenizers import Tokenizer
-
-    monkeypatch.setattr(packing, "CACHE", cache)  # with 2, pieces are forgotten and met again all the time
-    plain, encode = Tokenizer.from_file(tokenizer_path()), Encoder(tokenizer_path())
-    texts = ["", " ", "a b", "a  b", "\n", "\n\nx", " a\nb ", "a\tb c\n d", "Ünï 日本語 x's it's\nI'll 12 3,4", "x.. y!?; 3,. é."]
-    texts += ["a., b,", "é. x", "...", "a\n...b. .\n.", " . x", "x​. y", "don't. s'. '", "<|endoftext|> a b", "w" * 3000, "b, b\nb"]
-    for t in [*texts, *reversed(texts)]:
-        assert encode(t) == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
-
-
 def plain_cost(places, penalty, length):
     best = {0: 0.0}
     at = [0, *places]
