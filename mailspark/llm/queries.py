@@ -15,6 +15,7 @@ from .mixing import mix
 from .packing import pack
 from .quality_classifier import score_quality
 from .quality_rules import judge
+from .spelling_variants import spelling_variants
 from .substring_dedup import remove_repeats
 from .url_filter import host_and_path, keys_of_hosts, url_verdicts
 
@@ -182,6 +183,10 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return align(table(spark, sf_dir, "documents"), tokenizer_path(), piece_tokenizer_path())
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents")).select("word", "n", "n_near", "form", "form_n", "root")
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_best_fit(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -198,6 +203,7 @@ QUERIES = {
     "op9_source_mixing": op9_source_mixing,
     "op10_packing": op10_packing,
     "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_best_fit_packing": op13_best_fit_packing,
 }
 ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op4_quality_rules": OP4_SQL, "op6_line_dedup": OP6_SQL}
