@@ -3,13 +3,10 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
 
 from mailspark.session import local_session  # noqa: E402
 
-SF001 = "/root/testdata/sf0.001"
-SF01 = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -18,14 +15,6 @@ def spark():
     s.stop()
 
 
-def eval_col(spark, values, fn, dtype="string"):
-    """Apply a Column function to literal values, return the results in order."""
-    from pyspark.sql import functions as F
-
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {dtype}")
-    return [r[0] for r in df.orderBy("i").select(fn(F.col("v"))).collect()]
-
-
 @pytest.fixture
 def tmp_dir(tmp_path):
     return str(tmp_path)

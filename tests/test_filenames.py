@@ -1,6 +1,6 @@
 """Literal expectations for N1-N4."""
 
-from conftest import eval_col
+from support import eval_col
 
 from mailspark.functions import filenames as N
 

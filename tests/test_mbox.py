@@ -8,7 +8,7 @@ from mailspark.functions.text import strip_non_ascii
 from mailspark.sources.mbox import load_mbox
 from mailspark.sources.views import email_columns, read_table
 
-from conftest import SF01
+from support import SF01
 
 
 
@@ -169,7 +169,7 @@ def test_append_load(spark, tmp_dir):
 
 def test_file_reader_equals_text_column_parser(spark, tmp_dir):
     """The same archives parsed from files (split reader) and from a column agree."""
-    from conftest import SF001
+    from support import SF001
 
     from mailspark.plans.mbox import rendered_archives
     from mailspark.sources.mbox import parse_mbox_text

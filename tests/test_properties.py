@@ -5,7 +5,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from conftest import eval_col
+from support import eval_col
 from mailspark.functions import filenames as N
 from mailspark.functions import text as X
 

@@ -6,7 +6,7 @@ import time
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from conftest import SF001, SF01
+from support import SF001, SF01
 from mailspark.operators import threads
 from mailspark.operators.usage import availability_changes
 from mailspark.sources.mbox import load_mbox

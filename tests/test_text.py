@@ -1,6 +1,6 @@
 """Literal expectations for F4, F5, X1, X2, X4, X6, X6b, X7, X9, X10."""
 
-from conftest import eval_col
+from support import eval_col
 from pyspark.sql import functions as F
 
 from mailspark.functions import text as X
