@@ -34,13 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, drop_scratch, scratch
+from .common import batches, drop_scratch, giving_back, scratch
 from .tokens import ByteTokens, PieceTokens, loaded, spread
 
 #: Pairs of ids whose counts are broadcast, at most: 16 bytes each.
 TABLE = 1_000_000
 #: Characters of text that a task handles at once, and pairs that it holds at once.
-BATCH, PAIRS = 4 << 20, 1 << 21
+BATCH, PAIRS = 1 << 20, 1 << 19
 
 ALIGNED = (
     "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
@@ -212,7 +212,7 @@ def aligned(docs: DataFrame, byte_tokenizer: str, piece_tokenizer: str, with_gro
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, ALIGNED)
+    return docs.select("doc_id", "text").mapInPandas(giving_back(run), ALIGNED)
 
 
 def _only(ids: np.ndarray, at: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, scratch
+from .common import batches, giving_back, scratch
 from .tokens import ByteTokens, documents_ids, loaded
 
 CAPACITY = 2048
@@ -143,7 +143,7 @@ def pack_best_fit(
     def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens, task = loaded(ByteTokens, tokenizer), TaskContext.get().partitionId()
         met = np.zeros(capacity + 1, np.int64)
-        for f in batches(frames):
+        for f in batches(frames, 4 << 20):
             rows = []
             for doc_id, ids in documents_ids(tokens, f, end_id):
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
@@ -154,7 +154,7 @@ def pack_best_fit(
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    found = scratch(docs.select("doc_id", "text").mapInPandas(pieces, PIECES), "best-fit-pieces")
+    found = scratch(docs.select("doc_id", "text").mapInPandas(giving_back(pieces), PIECES), "best-fit-pieces")
     counts = scratch(found.groupBy("length", "th").agg(F.count(F.lit(1)).alias("n")), "best-fit-counts")
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     keys, segments = Plan(totals, capacity).tables()

@@ -8,6 +8,13 @@ driver process ends.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +66,19 @@ def batches(frames, limit: int = 8 << 20, column: str = "text"):
         else:
             for _, g in f.groupby(block, sort=True):
                 yield g
+
+
+def giving_back(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]):
+    """``run``, after which a task's Python worker gives its free memory back: Spark uses the worker again, and
+    what one stage has freed but kept would add to the next one's."""
+
+    def wrapped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from run(frames)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped

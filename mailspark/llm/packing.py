@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import batches
+from .common import batches, giving_back
 from .tokens import ByteTokens, documents_ids, loaded
 
 LENGTH = 2048
@@ -131,7 +131,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
         sentence = sentence_ends(tokens)
         first = TaskContext.get().partitionId() << 40
         open_ = Stretch()
-        for f in batches(frames):
+        for f in batches(frames, 4 << 20):
             for doc_id, ids in documents_ids(tokens, f, end_id):
                 open_.add(doc_id, len(ids), 0, ids)
                 if open_.tokens >= stretch_tokens:
@@ -141,7 +141,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
         if open_.tokens:
             yield _frame(_pieces(open_, sentence, first, True, length)[0])
 
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInPandas(giving_back(run), SCHEMA)
 
 
 def _frame(rows) -> pd.DataFrame:

@@ -30,16 +30,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, giving_back
 
 BUCKETS, DIM, NONZERO = 1 << 15, 32, 2
 FEATURES = 2 * DIM + 1
 TRAIN_ROWS = 8000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 60, 128, 5e-3, 1e-4, 20240607
 #: Words whose units a task remembers.
-CACHE = 500_000
-#: Tokens that are worked on at once.
-CHUNK = 200_000
+CACHE = 100_000
+#: Tokens, and characters of text, that are worked on at once.
+CHUNK, TEXT = 100_000, 2 << 20
 
 _KIND = bytes(
     ord("X") if 65 <= b <= 90 else ord("x") if 97 <= b <= 122 or b >= 128 else ord("d") if 48 <= b <= 57 else b for b in range(256)
@@ -104,7 +104,7 @@ def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         units, (dims, signs) = Units(), index_vectors()
         total, count = np.zeros(BUCKETS * DIM), np.zeros(BUCKETS)
-        for f in batches(frames):
+        for f in batches(frames, TEXT):
             for _, _, word, form, doc in _units(f["text"], units):
                 inner = doc[1:] == doc[:-1]
                 a, b, s, t = word[:-1][inner], word[1:][inner], form[:-1][inner], form[1:][inner]
@@ -120,7 +120,7 @@ def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     schema = "unit long, n long, " + ", ".join(f"{c} long" for c in columns)
     # at most BUCKETS rows come to the driver, whatever the input
-    rows = docs.select("text").mapInPandas(run, schema).groupBy("unit").agg(*[F.sum(c).alias(c) for c in ["n", *columns]]).toPandas()
+    rows = docs.select("text").mapInPandas(giving_back(run), schema).groupBy("unit").agg(*[F.sum(c).alias(c) for c in ["n", *columns]]).toPandas()
     sums, count = np.zeros((BUCKETS, DIM)), np.zeros(BUCKETS)
     sums[rows["unit"]], count[rows["unit"]] = rows[columns], rows["n"]
     return sums, count
@@ -227,19 +227,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         units = Units()
-        for f in batches(frames):
+        for f in batches(frames, TEXT):
             x = pooled(f["text"], units, *lookup.value)
             yield pd.DataFrame({"doc_id": f["doc_id"], "y": f["y"], "x": list(x.astype(float))})
 
-    # the sample has train_rows rows at most: small enough to broadcast and to collect
-    learned = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(sample), "doc_id")
-        .mapInPandas(features, "doc_id long, y int, x array<double>")
-        .toPandas()
-        .drop_duplicates("doc_id")
-        .sort_values("doc_id")
-    )
+    # the sample has train_rows rows at most, and of rows with the same id one is kept: small enough to broadcast and to collect
+    one = F.min_by(F.struct("y", "text"), F.xxhash64("text")).alias("one")
+    known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(one).select("doc_id", "one.*")
+    learned = known.mapInPandas(giving_back(features), "doc_id long, y int, x array<double>").toPandas().sort_values("doc_id")
     y = learned["y"].to_numpy(float)
     if len(set(y)) == 2:
         model = Network(np.stack(learned["x"].to_list()), y)
@@ -247,11 +242,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
         model = Constant(float(y.mean()) if len(y) else 0.5)
     network = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scores(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         units = Units()
         for texts in parts:
-            yield pd.Series(network.value.score(pooled(texts, units, *lookup.value)))
+            blocks = [network.value.score(pooled(f["text"], units, *lookup.value)) for f in batches([texts.to_frame("text")], TEXT)]
+            yield pd.Series(np.concatenate([*blocks, []]))
+
+    @F.pandas_udf("double")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return giving_back(scores)(parts)
 
     scored = docs.select(*keep, "doc_id", held_out(F.col("doc_id")).alias("held_out"), score("text").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
