@@ -96,8 +96,15 @@ def _header(block: Column, prefix: str) -> Column:
     return F.when(F.locate(key, block) > 0, trim_ws(last))
 
 
-def parse_raw(records: DataFrame, rec_col: str) -> DataFrame:
-    """P1, P3-P9 on each record without knowing its place in the file.
+def _header_any_case(block: Column, name: str) -> Column:
+    """As :func:`_header`, for a further header whose name is written in any case."""
+    last = F.regexp_extract(block, r"(?si).*\n" + re.escape(name) + r"([^\n]*)", 1)
+    return F.when(F.locate("\n" + name.lower(), F.lower(block)) > 0, trim_ws(last))
+
+
+def parse_raw(records: DataFrame, rec_col: str, headers: dict[str, str] | None = None) -> DataFrame:
+    """P1, P3-P9 on each record without knowing its place in the file; ``headers`` are further
+    columns and the header names that they hold (E1).
 
     Adds from_addr, subject, date, the body before clean-up (``_body_raw``,
     parsed as if the record were not the file's last), ``_has_body``,
@@ -122,6 +129,7 @@ def parse_raw(records: DataFrame, rec_col: str) -> DataFrame:
     body = F.when(has_body, F.concat(unescaped, F.lit("\n"))).otherwise(F.lit(""))  # P8
     df = df.withColumn("_hdr", hdr)
     fields = [_header(F.col("_hdr"), p).alias(name) for name, p in HEADER_PREFIXES.items()]
+    fields += [_header_any_case(F.col("_hdr"), h).alias(name) for name, h in (headers or {}).items()]
     return df.select(
         *records.columns,
         *fields,
@@ -163,17 +171,19 @@ def finalize(parsed: DataFrame, first: Column, last: Column) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in internal], kept.alias("kept"))
 
 
-def parse_records(records: DataFrame, rec_col: str, first_col: str, last_col: str) -> DataFrame:
+def parse_records(
+    records: DataFrame, rec_col: str, first_col: str, last_col: str, headers: dict[str, str] | None = None
+) -> DataFrame:
     """P1-P11 on records whose first/last flags are known: adds from_addr,
     subject, date, body, is_message (not a preamble), n_lines (S11), kept."""
-    parsed = parse_raw(records, rec_col)
+    parsed = parse_raw(records, rec_col, headers)
     out = finalize(parsed, F.col(first_col), F.col(last_col))
-    keep = [c for c in records.columns] + ["from_addr", "subject", "date", "body", "is_message", "kept", "n_lines"]
+    keep = [c for c in records.columns] + ["from_addr", "subject", "date", *(headers or {}), "body", "is_message", "kept", "n_lines"]
     return out.select(*keep)
 
 
 # ------------------------------------------------------------ text-column form
-def parse_mbox_text(df: DataFrame, text_col: str, id_cols: list[str]) -> DataFrame:
+def parse_mbox_text(df: DataFrame, text_col: str, id_cols: list[str], headers: dict[str, str] | None = None) -> DataFrame:
     """Parse archives held one per row in ``text_col`` (S1 on a column).
 
     Each archive is split at separators and exploded (bounded by the row's own
@@ -191,7 +201,7 @@ def parse_mbox_text(df: DataFrame, text_col: str, id_cols: list[str]) -> DataFra
         (F.col("_pos") == 0).alias("_first"),
         (F.col("_pos") == F.col("_n") - 1).alias("_last"),
     )
-    parsed = parse_records(recs, "_rec", "_first", "_last")
+    parsed = parse_records(recs, "_rec", "_first", "_last", headers)
     return parsed.drop("_rec", "_first", "_last")
 
 
@@ -318,16 +328,17 @@ def read_raw_records(reader, paths) -> DataFrame:
     )
 
 
-def load_records(raw: DataFrame, files: list[MboxFile], start: int = 0) -> MboxLoad:
+def load_records(raw: DataFrame, files: list[MboxFile], start: int = 0, headers: dict[str, str] | None = None) -> MboxLoad:
     """Parse, finalize and number the records of ``files`` (``raw`` straight from the scan)."""
     spark = raw.sparkSession
-    parsed = materialize(parse_raw(raw, "rec").drop("rec"), "mbox-records")
+    parsed = materialize(parse_raw(raw, "rec", headers).drop("rec"), "mbox-records")
     pos = F.struct("block", "rid")
     bounds = parsed.groupBy("file_uri").agg(F.min(pos).alias("_first"), F.max(pos).alias("_last"))
     # one row per file of the list that the driver holds (MAX_FILES at most): the join moves no record
     flagged = parsed.join(F.broadcast(bounds), "file_uri")
     records = finalize(flagged, F.struct("block", "rid") == F.col("_first"), F.struct("block", "rid") == F.col("_last"))
-    kept = records.filter("kept").select("file_uri", "block", "rid", "from_addr", "subject", "date", "body")
+    fields = ["from_addr", "subject", "date", *(headers or {}), "body"]
+    kept = records.filter("kept").select("file_uri", "block", "rid", *fields)
     kept = materialize(kept.withColumn("_mid", F.monotonically_increasing_id()), "mbox-kept")
     part = F.shiftright("_mid", 33)
     segments = kept.groupBy("file_uri", "block", part.alias("_part")).agg(
@@ -354,13 +365,13 @@ def load_records(raw: DataFrame, files: list[MboxFile], start: int = 0) -> MboxL
     small = F.broadcast if offsets.count() <= MAX_BROADCAST_SPLITS else (lambda df: df)
     numbered = kept.withColumn("_part", part).join(small(offsets), ["file_uri", "block", "_part"])
     emails = numbered.select(
-        "file_path", "file_ordinal", (F.col("_shift") + F.col("_mid")).cast("long").alias("msg_seq"), "from_addr", "subject", "date", "body"
+        "file_path", "file_ordinal", (F.col("_shift") + F.col("_mid")).cast("long").alias("msg_seq"), *fields
     )
     return MboxLoad(emails, report, files, (kept._scratch_path, offsets._scratch_path))
 
 
-def load_mbox(spark: SparkSession, paths) -> MboxLoad:
-    """Read MBOX files into numbered emails.
+def load_mbox(spark: SparkSession, paths, headers: dict[str, str] | None = None) -> MboxLoad:
+    """Read MBOX files into numbered emails; ``headers`` are further columns, such as those of reply threads.
 
     The archives are read once; parsed and kept messages are written to the cluster's
     checkpoint folder (``close`` deletes them), so a lost executor never forces a
@@ -369,9 +380,10 @@ def load_mbox(spark: SparkSession, paths) -> MboxLoad:
     files = resolve_paths(spark, paths)
     if not files:
         report = spark.createDataFrame([], "file_ordinal int, file_path string, n_messages long, n_lines long")
-        return MboxLoad(spark.createDataFrame([], schema.EMAILS), report, files)
+        none = spark.createDataFrame([], schema.EMAILS)
+        return MboxLoad(none.withColumns({h: F.lit(None).cast("string") for h in headers or {}}), report, files)
     raw = read_raw_records(spark.read, sorted({escape_glob(f.reads) for f in files}))
-    return load_records(raw, files)
+    return load_records(raw, files, headers=headers)
 
 
 def append_emails(session: DataFrame, loaded: DataFrame) -> DataFrame:
