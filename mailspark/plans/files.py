@@ -7,9 +7,10 @@ All folders lie in the shared checkpoint folder and go when the driver process e
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.numbering import materialize
 from ..session import remember_scratch, scratch_path
 from ..sources.exports import export_messages, export_summaries, export_table, export_threads, read_table_export
 from ..sources.mbox import MboxLoad, load_mbox
@@ -59,6 +60,13 @@ def mbox_load_files(spark: SparkSession, sf: str) -> DataFrame:
     return _load(spark, sf).emails.select("msg_seq", "file_ordinal", "from_addr", "subject", "date", "body")
 
 
+def mbox_missing_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths, globs and folders that are not there give no rows and stop nothing."""
+    folder = write_archives(spark, sf)
+    paths = [f"{folder}/absent.mbox", f"{folder}/f=*/*.txt", f"{folder}/none-*/*.mbox", f"{folder}/absent/"]
+    return load_mbox(spark, paths).emails.select("msg_seq", "file_ordinal", "from_addr", "subject", "date", "body")
+
+
 def mbox_load_report(spark: SparkSession, sf: str) -> DataFrame:
     return _load(spark, sf).report.drop("file_path")
 
@@ -75,21 +83,28 @@ parts AS (SELECT conv_id, turn, string_split(archive""",
 ).replace("FROM archives)", "FROM files)")
 MBOX_LOAD_FILES_SQL = f"""WITH {_FILES_SQL}
 SELECT row_number() OVER (ORDER BY conv_id, msg_index) AS msg_seq, conv_id::INTEGER AS file_ordinal, from_addr, subject, date, body FROM parsed WHERE kept"""
+MBOX_MISSING_PATHS_SQL = f"""SELECT msg_seq, (file_ordinal - 1)::INTEGER AS file_ordinal, from_addr, subject, date, body FROM ({MBOX_LOAD_FILES_SQL})
+WHERE file_ordinal <= (WITH e AS ({Q.EMAIL_VIEW}) SELECT count(DISTINCT conv_id // {PER_FILE}) + 1 FROM e)"""
 MBOX_LOAD_REPORT_SQL = f"""WITH {_FILES_SQL}
 SELECT 1::INTEGER AS file_ordinal, 0::BIGINT AS n_messages, 0::BIGINT AS n_lines
 UNION ALL SELECT conv_id::INTEGER, count(*) FILTER (WHERE kept), sum(n_lines)::BIGINT FROM parsed GROUP BY conv_id"""
 
 
 def _digest(spark: SparkSession, folder: str) -> DataFrame:
-    """What each exported file holds, from its lines (a huge file is read in many pieces)."""
+    """What each exported file holds: its lines with their places (a huge file is read in many splits)."""
+    name = F.url_decode(F.replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), F.lit("+"), F.lit("%2B")))
     lines = spark.read.option("lineSep", "\n").text(folder).select(
-        F.url_decode(F.replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), F.lit("+"), F.lit("%2B"))).alias("file_name"),
-        "value",
+        name.alias("file_name"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value"
     )
-    return lines.groupBy("file_name").agg(
+    # a split's lines are numbered one after another; one row per split tells how many lines stand before it
+    splits = lines.groupBy("file_name", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("file_name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = materialize(splits.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))), "digest-splits")
+    placed = lines.join(splits, ["file_name", "block"]).withColumn("line_no", F.col("at") - F.col("first") + F.col("before") + 1)
+    return placed.groupBy("file_name").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.sum(F.octet_length("value") + 1).cast("long").alias("n_bytes"),
-        F.sum(_line_number(F.col("value"))).alias("digest"),
+        F.sum(_line_number(F.concat_ws(":", "line_no", "value"))).alias("digest"),
     )
 
 
@@ -101,8 +116,10 @@ def _digest_sql(documents: str) -> str:
     """documents: SQL of (file_name, content)."""
     return f"""
 WITH doc AS ({documents}),
-l AS (SELECT file_name, unnest(string_split(CASE WHEN suffix(content, chr(10)) THEN left(content, length(content) - 1) ELSE content END, chr(10))) AS s FROM doc)
-SELECT file_name, count(*) AS n_lines, sum(strlen(s) + 1)::BIGINT AS n_bytes, sum(('0x' || left(md5(s), 8))::BIGINT)::BIGINT AS digest FROM l GROUP BY file_name"""
+t AS (SELECT file_name, string_split(CASE WHEN suffix(content, chr(10)) THEN left(content, length(content) - 1) ELSE content END, chr(10)) AS x FROM doc),
+l AS (SELECT file_name, unnest(x) AS s, unnest(range(1, len(x) + 1)) AS k FROM t)
+SELECT file_name, count(*) AS n_lines, sum(strlen(s) + 1)::BIGINT AS n_bytes,
+       sum(('0x' || left(md5(k || ':' || s), 8))::BIGINT)::BIGINT AS digest FROM l GROUP BY file_name"""
 
 
 def export_messages_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,6 +140,15 @@ def export_summaries_files(spark: SparkSession, sf: str) -> DataFrame:
     return _digest(spark, out)
 
 
+def export_replaced_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages written over earlier ones of the same names; the summaries beside them stay."""
+    out, emails = _folder(spark, "export-replaced"), email_view(spark, sf)
+    export_summaries(emails, out)
+    export_messages(emails.withColumn("body", F.concat(F.lit("earlier\n"), F.repeat("body", 2))), out)
+    export_messages(emails, out)
+    return _digest(spark, out)
+
+
 EXPORT_MESSAGES_FILES_SQL = _digest_sql(f"SELECT file_name, content FROM ({RENDER_MESSAGES_SQL})")
 EXPORT_THREADS_FILES_SQL = _digest_sql(
     f"""SELECT file_name, string_agg(piece, '' ORDER BY position) AS content FROM ({RENDER_THREADS_SQL}) p
@@ -130,6 +156,8 @@ WHERE (file_name, thread_num) IN (SELECT file_name, max(thread_num) FROM ({RENDE
 )
 EXPORT_SUMMARIES_FILES_SQL = _digest_sql(f"SELECT file_name, max_by(content, thread_num) AS content FROM ({THREAD_SUMMARIES_SQL}) GROUP BY file_name")
 
+EXPORT_REPLACED_FILES_SQL = f"{EXPORT_MESSAGES_FILES_SQL} UNION ALL SELECT * FROM ({EXPORT_SUMMARIES_FILES_SQL})"
+
 
 def _table_export(spark: SparkSession, sf: str, form: str) -> DataFrame:
     emails = email_view(spark, sf).select("msg_seq", "from_addr", "subject", "date", "body")
@@ -237,9 +265,11 @@ def stream_availability(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "mbox_load_files": mbox_load_files,
     "mbox_load_report": mbox_load_report,
+    "mbox_missing_paths": mbox_missing_paths,
     "export_messages_files": export_messages_files,
     "export_threads_files": export_threads_files,
     "export_summaries_files": export_summaries_files,
+    "export_replaced_files": export_replaced_files,
     "export_json_files": export_json_files,
     "export_csv_files": export_csv_files,
     "stream_load": stream_load,
@@ -251,9 +281,11 @@ QUERIES = {
 ORACLE_SQL = {
     "mbox_load_files": MBOX_LOAD_FILES_SQL,
     "mbox_load_report": MBOX_LOAD_REPORT_SQL,
+    "mbox_missing_paths": MBOX_MISSING_PATHS_SQL,
     "export_messages_files": EXPORT_MESSAGES_FILES_SQL,
     "export_threads_files": EXPORT_THREADS_FILES_SQL,
     "export_summaries_files": EXPORT_SUMMARIES_FILES_SQL,
+    "export_replaced_files": EXPORT_REPLACED_FILES_SQL,
     "export_json_files": EXPORT_TABLE_SQL,
     "export_csv_files": EXPORT_TABLE_SQL,
     "stream_load": STREAM_LOAD_SQL,

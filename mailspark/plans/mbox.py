@@ -138,12 +138,57 @@ LOAD_REPORT_SQL = f"""WITH {ARCHIVES_SQL}
 SELECT conv_id, count(*) FILTER (WHERE kept) AS n_messages, CAST(sum(n_lines) AS BIGINT) AS n_lines FROM parsed GROUP BY conv_id"""
 
 
+def mbox_odd_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines that are no valid UTF-8 are dropped, lines are cut at a NUL; bodies and subjects as hex."""
+    turn = F.col("turn")
+    raw = lambda h: F.lit(bytes.fromhex(h))
+    odd = (
+        F.when(turn % 4 == 0, raw("62616420ff2062797465"))  # a byte that never occurs
+        .when(turn % 4 == 1, raw("6b6570740068696464656e"))  # a NUL inside
+        .when(turn % 4 == 2, raw("c3a9fe6e6f0078"))  # both, after a good character
+        .otherwise(raw("656e647320e282"))  # a character that is cut off
+    )
+    conv = read_table(spark, sf, "conversations")
+    text = F.coalesce(F.replace("text", F.lit("From "), F.lit("from ")), F.lit("")).cast("binary")
+    archive = F.concat(
+        raw("46726f6d20780a46726f6d3a20610a5375626a6563743a20666972737400"), text, raw("0a5375626a6563743a20"), odd, raw("0a0a"),
+        text, raw("0a"), odd, raw("0a6c6173740a"),
+    )
+    rows = conv.select("conv_id", "turn", archive.cast("string").alias("archive"))
+    parsed = parse_mbox_text(rows, "archive", ["conv_id", "turn"])
+    as_hex = lambda c: F.lower(F.hex(F.col(c).cast("binary"))).alias(f"{c}_hex")
+    return parsed.select("conv_id", "turn", "msg_index", "kept", as_hex("subject"), as_hex("body"))
+
+
+# The rule on hex digits: a line that holds ff or fe, or ends in the cut-off character, goes; the rest ends at the first 00.
+MBOX_ODD_BYTES_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, lower(hex(encode(coalesce(replace(text, 'From ', 'from '), '')))) AS t,
+         CASE turn % 4 WHEN 0 THEN '62616420ff2062797465' WHEN 1 THEN '6b6570740068696464656e' WHEN 2 THEN 'c3a9fe6e6f0078' ELSE '656e647320e282' END AS odd
+  FROM conversations),
+b AS (SELECT *, string_split(regexp_replace(t, '(..)', '\1 ', 'g'), '0a ') AS text_lines, regexp_replace(odd, '(..)', '\1 ', 'g') AS o FROM c),
+l AS (
+  SELECT conv_id, turn, list_concat(text_lines, [o, '6c 61 73 74 ']) AS body_lines, o, text_lines[1] AS first_line FROM b),
+ruled AS (
+  SELECT conv_id, turn, o, list_transform(
+    list_filter(body_lines, lambda x: NOT regexp_matches(x, '(^| )f[ef] ') AND NOT suffix(x, 'e2 82 ')),
+    lambda x: regexp_replace(x, '(^| )00 .*$', '\1')) AS kept_lines FROM l)
+SELECT conv_id, turn, 1::BIGINT AS msg_index,
+       NOT regexp_matches(array_to_string(kept_lines, ''), '(^| )([89a-f]|1[0-9a-f]|0[0-8ef])') AS kept,
+       replace(CASE WHEN turn % 4 = 1 THEN '6b 65 70 74 ' ELSE '66 69 72 73 74 ' END, ' ', '') AS subject_hex,
+       replace(array_to_string(list_transform(kept_lines, lambda x: x || '0a '), ''), ' ', '') AS body_hex
+FROM ruled
+"""
+
+
 QUERIES = {
+    "mbox_odd_bytes": mbox_odd_bytes,
     "mbox_parse_text": mbox_parse_text,
     "mbox_keep_filter": mbox_keep_filter,
     "load_report": load_report,
 }
 ORACLE_SQL = {
+    "mbox_odd_bytes": MBOX_ODD_BYTES_SQL,
     "mbox_parse_text": MBOX_PARSE_TEXT_SQL,
     "mbox_keep_filter": MBOX_KEEP_FILTER_SQL,
     "load_report": LOAD_REPORT_SQL,

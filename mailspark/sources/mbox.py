@@ -60,7 +60,7 @@ MAX_BROADCAST_SPLITS = 1_000_000
 
 
 # ----------------------------------------------------------------- record parse
-def _clean_lines_text(t: Column) -> Column:
+def _clean_lines_text(t: Column, odd: Column | None = None) -> Column:
     """P3/P4/P5 on the whole record text with regexes (no line arrays, so the
     parse stays in whole-stage codegen).
 
@@ -68,7 +68,8 @@ def _clean_lines_text(t: Column) -> Column:
     when the record holds undecodable bytes, ``make_valid_utf8`` turns them into
     U+FFFD and every line that still contains one is removed with its line break
     (a bad last line takes the break before it).  P3 strips one CR before each
-    line end.
+    line end.  ``odd`` says which records come from a text whose undecodable bytes
+    were made U+FFFD before it was cut (:func:`_decodable`).
     """
     mv = F.regexp_replace(F.make_valid_utf8(t), r"\x00[^\n]*", "")
     # Anchored at line starts and possessive, so each line is scanned once.
@@ -76,10 +77,23 @@ def _clean_lines_text(t: Column) -> Column:
     dropped = F.regexp_replace(
         F.regexp_replace(mv, r"(?<![^\n])" + bad_line + r"\n", ""), r"(?:\n|\A)" + bad_line + r"\z", ""
     )
-    text = F.when(F.is_valid_utf8(t), F.regexp_replace(t, r"\x00[^\n]*", "")).otherwise(dropped)
+    valid = F.is_valid_utf8(t)
+    if odd is not None:
+        valid, dropped = ~odd, F.replace(dropped, F.lit(_STAND_IN), F.lit("\ufffd"))
+    text = F.when(valid, F.regexp_replace(t, r"\x00[^\n]*", "")).otherwise(dropped)
     return F.regexp_replace(text, r"\r(?=\n|\z)", "")
 
 
+#: Stands for a U+FFFD of the text itself while undecodable bytes are marked by that character; no text may hold it.
+_STAND_IN = "\uffff"
+
+
+def _decodable(t: Column) -> Column:
+    """The text with undecodable bytes as U+FFFD, and its own U+FFFD kept apart: functions that cut
+    a text would lose the difference."""
+    return F.when(F.is_valid_utf8(t), t).otherwise(F.make_valid_utf8(F.replace(t, F.lit("\ufffd"), F.lit(_STAND_IN))))
+
+
 def _n_lines(t: Column) -> Column:
     """Lines of the text (LF count + 1), before any line is dropped."""
     # Newlines = length lost by removing them (character counts are exact for
@@ -102,7 +116,9 @@ def _header_any_case(block: Column, name: str) -> Column:
     return F.when(F.locate("\n" + name.lower(), F.lower(block)) > 0, trim_ws(last))
 
 
-def parse_raw(records: DataFrame, rec_col: str, headers: dict[str, str] | None = None) -> DataFrame:
+def parse_raw(
+    records: DataFrame, rec_col: str, headers: dict[str, str] | None = None, odd_col: str | None = None
+) -> DataFrame:
     """P1, P3-P9 on each record without knowing its place in the file; ``headers`` are further
     columns and the header names that they hold (E1).
 
@@ -117,7 +133,7 @@ def parse_raw(records: DataFrame, rec_col: str, headers: dict[str, str] | None =
     the body lines after it.
     """
     rec = F.col(rec_col)
-    df = records.withColumn("_t", _clean_lines_text(rec))
+    df = records.withColumn("_t", _clean_lines_text(rec, F.col(odd_col) if odd_col else None))
     nl = F.locate("\n", F.col("_t"))
     s = F.when(nl > 0, F.concat(F.lit("\n"), F.substr(F.col("_t"), nl + 1))).otherwise(F.lit(""))  # drop separator line
     df = df.withColumn("_s", s)
@@ -172,11 +188,16 @@ def finalize(parsed: DataFrame, first: Column, last: Column) -> DataFrame:
 
 
 def parse_records(
-    records: DataFrame, rec_col: str, first_col: str, last_col: str, headers: dict[str, str] | None = None
+    records: DataFrame,
+    rec_col: str,
+    first_col: str,
+    last_col: str,
+    headers: dict[str, str] | None = None,
+    odd_col: str | None = None,
 ) -> DataFrame:
     """P1-P11 on records whose first/last flags are known: adds from_addr,
     subject, date, body, is_message (not a preamble), n_lines (S11), kept."""
-    parsed = parse_raw(records, rec_col, headers)
+    parsed = parse_raw(records, rec_col, headers, odd_col)
     out = finalize(parsed, F.col(first_col), F.col(last_col))
     keep = [c for c in records.columns] + ["from_addr", "subject", "date", *(headers or {}), "body", "is_message", "kept", "n_lines"]
     return out.select(*keep)
@@ -189,20 +210,24 @@ def parse_mbox_text(df: DataFrame, text_col: str, id_cols: list[str], headers: d
     Each archive is split at separators and exploded (bounded by the row's own
     size); ``msg_index`` is the 1-based record number inside the archive.
     """
-    parts = df.select(*id_cols, F.split(F.col(text_col), SEPARATOR, -1).alias("_parts"))
+    text = F.col(text_col)
+    odd = F.coalesce(~F.is_valid_utf8(text), F.lit(False)).alias("_odd")
+    parts = df.select(*id_cols, odd, F.split(_decodable(text), SEPARATOR, -1).alias("_parts"))
     recs = parts.select(
         *id_cols,
+        "_odd",
         F.posexplode("_parts").alias("_pos", "_rec"),
         F.size("_parts").alias("_n"),
     ).select(
         *id_cols,
+        "_odd",
         (F.col("_pos") + 1).cast("long").alias("msg_index"),
         "_rec",
         (F.col("_pos") == 0).alias("_first"),
         (F.col("_pos") == F.col("_n") - 1).alias("_last"),
     )
-    parsed = parse_records(recs, "_rec", "_first", "_last", headers)
-    return parsed.drop("_rec", "_first", "_last")
+    parsed = parse_records(recs, "_rec", "_first", "_last", headers, "_odd")
+    return parsed.drop("_rec", "_first", "_last", "_odd")
 
 
 # ------------------------------------------------------------------- file form

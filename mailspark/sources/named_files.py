@@ -10,13 +10,18 @@ stages and no data through the driver:
    streams every run of equal names into a *piece* file (``mapInArrow``, Arrow
    batches, no per-row pickling) and emits one metadata row per piece;
 2. names with one piece (nearly all) are published by a rename, many in a task;
-   only names whose rows lie in several tasks are concatenated, into a temporary
-   file that is renamed over the final name.
-
-Publishing can be repeated: pieces that are concatenated stay until the whole job
-is done, and a piece that is gone counts as published if the final file has its
-size.  So a retried or speculative task does no harm.  On a file system a rename
-replaces an older file at once (S10); an object store copies.
+   a name whose rows lie in several tasks is put together in a temporary file:
+   every piece has its byte offset there (a running sum over the name's pieces, one
+   row each), and as many tasks as there are pieces copy theirs to its place, so no
+   task ever writes a whole huge file; then the temporary file is renamed.  Stores
+   without writes at an offset (HDFS, object stores) append the pieces in one task.
+
+Nothing is published before all pieces are written and put together: a job that fails
+until then removes what it wrote and leaves older files as they were.  Publishing can be
+repeated: a piece is copied to the same place again, and one that is gone counts as
+published if the final file has its size.  So a retried or speculative task does no
+harm.  On a file system a rename replaces an older file at once (S10); an object store
+copies.
 
 Plain paths are resolved on Spark's default file system, as Spark's own writers do.
 
@@ -29,6 +34,7 @@ target can be any folder every executor can reach.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import uuid
@@ -36,7 +42,7 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.numbering import materialize
@@ -165,8 +171,8 @@ def _publish(fs, piece: str, final: str, n_bytes: int) -> None:
         raise FileNotFoundError(f"{piece} is gone and {final} does not hold it")
 
 
-def _publish_single(out_uri: str):
-    """Pieces that are whole files: renamed, many in a task."""
+def _publish_files(out_uri: str):
+    """Whole files: renamed, many in a task."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = _fs(out_uri)
@@ -178,25 +184,68 @@ def _publish_single(out_uri: str):
     return run
 
 
-def _merger(out_uri: str):
-    """One file from several pieces; the pieces stay until the job is done."""
+def _temporary(root: str, job: str, name: str) -> str:
+    return f"{root}/{PIECES_DIR}/{job}/{hashlib.md5(name.encode()).hexdigest()}.whole"
+
+
+def _place_pieces(out_uri: str, job: str):
+    """Copy each piece of a file to its offset in the temporary file; may be done again."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, root = _fs(out_uri)
+        for f in frames:
+            for name, piece, offset in zip(f["file_name"], f["piece"], f["offset"]):
+                # unbuffered and without truncation: other tasks write other places of the same file
+                target = os.open(_temporary(root, job, name), os.O_WRONLY | os.O_CREAT, 0o644)
+                try:
+                    with fs.open_input_stream(piece) as src:
+                        at = int(offset)
+                        while chunk := src.read(1 << 22):
+                            while chunk:
+                                n = os.pwrite(target, chunk, at)
+                                at, chunk = at + n, chunk[n:]
+                finally:
+                    os.close(target)
+            yield f[["file_name", "n_rows", "n_bytes"]]
+
+    return run
+
+
+def _append_pieces(out_uri: str, job: str):
+    """The pieces of a file one after another, on a store that cannot write at an offset."""
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(f: pd.DataFrame) -> pd.DataFrame:
         fs, root = _fs(out_uri)
-        pdf = pdf.sort_values(["part", "idx"])
-        name = pdf["file_name"].iloc[0]
-        tmp = f"{root}/.{uuid.uuid4().hex}.tmp"
-        with fs.open_output_stream(tmp) as out:
-            for p in pdf["piece"]:
-                with fs.open_input_stream(p) as src:
+        f = f.sort_values("offset")
+        with fs.open_output_stream(_temporary(root, job, f["file_name"].iloc[0])) as out:
+            for piece in f["piece"]:
+                with fs.open_input_stream(piece) as src:
                     while chunk := src.read(1 << 22):
                         out.write(chunk)
-        fs.move(tmp, f"{root}/{name}")
-        return pd.DataFrame(
-            {"file_name": [name], "n_pieces": [len(pdf)], "n_rows": [int(pdf["n_rows"].sum())], "n_bytes": [int(pdf["n_bytes"].sum())]}
-        )
+        return f[["file_name", "n_rows", "n_bytes"]]
+
+    return run
+
 
-    return merge
+def _put_together(pieces: DataFrame, names: DataFrame, out_dir: str, job: str) -> DataFrame:
+    """(file_name, n_pieces, n_rows, n_bytes, piece) of the names that lie in several pieces; piece: the temporary file."""
+    spark = pieces.sparkSession
+    several = pieces.join(names.where("n_pieces > 1").select("file_name"), "file_name", "left_semi")
+    before = Window.partitionBy("file_name").orderBy("part", "idx").rowsBetween(Window.unboundedPreceding, -1)
+    placed = several.withColumn("offset", F.coalesce(F.sum("n_bytes").over(before), F.lit(0)))
+    placed = placed.select("file_name", "piece", "offset", "n_rows", "n_bytes")
+    done = "file_name string, n_rows long, n_bytes long"
+    fs, root = _fs(out_dir)
+    if fs.type_name == "local":
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        copied = placed.repartition(tasks, "piece").mapInPandas(_place_pieces(out_dir, job), done)
+    else:
+        copied = placed.groupBy("file_name").applyInPandas(_append_pieces(out_dir, job), done)
+    copied = materialize(copied, "placed")  # all pieces are in place before any file is published
+    whole = F.concat(F.lit(f"{root}/{PIECES_DIR}/{job}/"), F.md5(F.col("file_name").cast("binary")), F.lit(".whole"))
+    return copied.groupBy("file_name").agg(
+        F.count(F.lit(1)).alias("n_pieces"), F.sum("n_rows").alias("n_rows"), F.sum("n_bytes").alias("n_bytes")
+    ).withColumn("piece", whole)
 
 
 def latest_versions(df: DataFrame, name_col: str, version_col: str) -> DataFrame:
@@ -227,26 +276,26 @@ def write_named_files(
     ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
     rows = ranged.sortWithinPartitions(*keys).select(F.col(name_col).alias("file_name"), F.col(content_col).alias("content"))
     job = uuid.uuid4().hex
-    # written once: a second run would write other pieces
-    pieces = materialize(rows.mapInArrow(_piece_writer(out_dir, job), _PIECE_DDL), "pieces")
-    names = pieces.groupBy("file_name").agg(
-        F.count(F.lit(1)).alias("n_pieces"), F.first("piece").alias("piece"), F.sum("n_rows").alias("n_rows"), F.sum("n_bytes").alias("n_bytes")
-    )
-    done = "file_name string, n_pieces long, n_rows long, n_bytes long"
-    single = names.where("n_pieces = 1").mapInPandas(_publish_single(out_dir), done)
-    several = pieces.join(names.where("n_pieces > 1").select("file_name"), "file_name", "left_semi")
-    merged = single.unionByName(several.groupBy("file_name").applyInPandas(_merger(out_dir), done))
-    stats = merged.agg(
-        F.count(F.lit(1)).alias("files"),
-        F.coalesce(F.sum("n_rows"), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes"),
-        F.coalesce(F.sum("n_pieces"), F.lit(0)).alias("pieces"),
-    ).first()
     fs, root = _fs(out_dir)
-    drop_path(spark, pieces._scratch_path)
-    fs.create_dir(f"{root}/{PIECES_DIR}/{job}", recursive=True)  # none if there were no rows
-    fs.delete_dir(f"{root}/{PIECES_DIR}/{job}")
-    _remove_if_empty(fs, f"{root}/{PIECES_DIR}")  # other jobs may still use it
+    try:
+        # written once: a second run would write other pieces
+        pieces = materialize(rows.mapInArrow(_piece_writer(out_dir, job), _PIECE_DDL), "pieces")
+        names = pieces.groupBy("file_name").agg(
+            F.count(F.lit(1)).alias("n_pieces"), F.first("piece").alias("piece"), F.sum("n_rows").alias("n_rows"), F.sum("n_bytes").alias("n_bytes")
+        )
+        whole = names.where("n_pieces = 1").unionByName(_put_together(pieces, names, out_dir, job))
+        done = "file_name string, n_pieces long, n_rows long, n_bytes long"
+        stats = whole.mapInPandas(_publish_files(out_dir), done).agg(
+            F.count(F.lit(1)).alias("files"),
+            F.coalesce(F.sum("n_rows"), F.lit(0)).alias("rows"),
+            F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes"),
+            F.coalesce(F.sum("n_pieces"), F.lit(0)).alias("pieces"),
+        ).first()
+        drop_path(spark, pieces._scratch_path)
+    finally:  # also after a failure: what was written goes, what was there stays
+        fs.create_dir(f"{root}/{PIECES_DIR}/{job}", recursive=True)  # none if there were no rows
+        fs.delete_dir(f"{root}/{PIECES_DIR}/{job}")
+        _remove_if_empty(fs, f"{root}/{PIECES_DIR}")  # other jobs may still use it
     return stats.asDict()
 
 

@@ -103,14 +103,19 @@ def test_publishing_twice_does_no_harm(tmp_dir):
             f.write(n)
     whole = pd.DataFrame({"file_name": ["one.txt"], "piece": [f"{tmp_dir}/p0"], "n_pieces": [1], "n_rows": [1], "n_bytes": [2]})
     parts = pd.DataFrame(
-        {"file_name": ["two.txt"] * 2, "piece": [f"{tmp_dir}/p1", f"{tmp_dir}/p2"], "part": [0, 1], "idx": [0, 0], "n_rows": [1, 1], "n_bytes": [2, 2]}
+        {"file_name": ["two.txt"] * 2, "piece": [f"{tmp_dir}/p1", f"{tmp_dir}/p2"], "offset": [0, 2], "n_rows": [1, 1], "n_bytes": [2, 2]}
     )
-    for _ in range(2):  # a retried task runs again after the first attempt has published
-        assert list(named_files._publish_single(tmp_dir)(iter([whole])))[0]["file_name"].tolist() == ["one.txt"]
-        named_files._merger(tmp_dir)(parts)
+    os.makedirs(os.path.join(tmp_dir, named_files.PIECES_DIR, "job"))
+    two = whole.assign(file_name="two.txt", piece=named_files._temporary(tmp_dir, "job", "two.txt"), n_bytes=4)
+    for _ in range(2):  # a retried task runs again after the first attempt
+        list(named_files._place_pieces(tmp_dir, "job")(iter([parts.iloc[::-1]])))
+    for _ in range(2):
+        assert list(named_files._publish_files(tmp_dir)(iter([whole, two])))[0]["file_name"].tolist() == ["one.txt"]
     assert _read(tmp_dir, "one.txt") == "p0" and _read(tmp_dir, "two.txt") == "p1p2"
+    named_files._append_pieces(tmp_dir, "job")(parts.iloc[::-1])
+    assert _read(tmp_dir, os.path.relpath(two["piece"].iloc[0], tmp_dir)) == "p1p2"
     with pytest.raises(FileNotFoundError):
-        list(named_files._publish_single(tmp_dir)(iter([whole.assign(n_bytes=99)])))
+        list(named_files._publish_files(tmp_dir)(iter([whole.assign(n_bytes=99)])))
 
 
 def test_ensure_directory_refuses_file(tmp_dir):
@@ -162,3 +167,51 @@ def test_table_export_round_trip(spark, tmp_dir, form):
     out = os.path.join(tmp_dir, form)
     export_table(df, out, form)
     assert sorted(tuple(r) for r in read_table_export(spark, out, df.schema, form).collect()) == rows
+
+
+def test_a_huge_file_is_put_together_by_many_tasks(spark, tmp_dir, monkeypatch):
+    """One file with nearly all bytes: every piece is copied on its own, none holds more than twice the mean."""
+    from mailspark.sources import named_files
+
+    sizes = []
+    placed = named_files._put_together
+
+    def watch(pieces, names, out_dir, job):
+        sizes.extend(r["n_bytes"] for r in pieces.where("file_name = 'big.txt'").collect())
+        return placed(pieces, names, out_dir, job)
+
+    monkeypatch.setattr(named_files, "_put_together", watch)
+    out = os.path.join(tmp_dir, "huge")
+    df = spark.range(60_000).selectExpr("if(id % 100 = 0, concat('s', id, '.txt'), 'big.txt') file_name", "id pos", "concat('line ', id, ' é\n') content")
+    stats = write_named_files(df, out, order_cols=["pos"], num_partitions=12)
+    want = [f"line {i} é\n" for i in range(60_000) if i % 100]
+    assert _read(out, "big.txt") == "".join(want) and stats["files"] == 601
+    assert len(sizes) > 6 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    assert stats["bytes"] == sum(os.path.getsize(os.path.join(out, n)) for n in os.listdir(out))
+
+
+@pytest.mark.parametrize("stage", ["pieces", "placing"])
+def test_a_failed_job_publishes_nothing(spark, tmp_dir, monkeypatch, stage):
+    from mailspark.sources import named_files
+
+    out = os.path.join(tmp_dir, "fails")
+    rows = [(f"f{i % 40}.txt", i, "new ") for i in range(4000)]
+    old = spark.createDataFrame([(f"f{i}.txt", "old") for i in range(40)] + [("other.txt", "kept")], "file_name string, content string")
+    write_named_files(old, out)
+    df = spark.createDataFrame(rows, "file_name string, pos long, content string")
+    if stage == "pieces":
+        df = df.selectExpr("file_name", "pos", "if(pos = 3999, raise_error('midway'), content) content")
+    else:
+
+        def broken(out_uri, job):
+            def run(frames):
+                for f in frames:
+                    raise OSError("midway")
+                yield
+
+            return run
+
+        monkeypatch.setattr(named_files, "_place_pieces", broken)
+    with pytest.raises(Exception, match="midway"):
+        write_named_files(df, out, order_cols=["pos"], num_partitions=7)
+    assert {n: _read(out, n) for n in os.listdir(out)} == {**{f"f{i}.txt": "old" for i in range(40)}, "other.txt": "kept"}
