@@ -16,6 +16,7 @@ from ..sources.exports import export_messages, export_summaries, export_table, e
 from ..sources.mbox import MboxLoad, load_mbox
 from ..sources.views import email_view, llm_log_from_events
 from ..streaming.archive import emails_stream, running_search_counts, running_thread_sizes, start_archive_stream
+from ..streaming.state import read_change_log, start_change_log
 from ..streaming.usage import read_changes, running_usage_stats, start_availability_stream
 from . import sqlparts as Q
 from .mail import RENDER_MESSAGES_SQL, RENDER_THREADS_SQL, THREAD_SUMMARIES_SQL
@@ -188,16 +189,11 @@ def _streamed_emails(spark: SparkSession, sf: str) -> str:
     return emails
 
 
-def _ended(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
-    """The last result of a running aggregate (at most a row for each thread or search)."""
+def _ended(stream: DataFrame, spark: SparkSession, name: str, *keys: str) -> DataFrame:
+    """The last result of a running aggregate, from the log of the groups that each batch changed."""
     out = _folder(spark, name)
-
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
-
-    w = stream.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", _folder(spark, f"{name}-state"))
-    w.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    start_change_log(stream, out, _folder(spark, f"{name}-state")).awaitTermination()
+    return read_change_log(spark, out, stream, keys)
 
 
 def stream_load(spark: SparkSession, sf: str) -> DataFrame:
@@ -210,7 +206,7 @@ def stream_load(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_thread_sizes(spark: SparkSession, sf: str) -> DataFrame:
     """ST2: running thread sizes over the streamed emails."""
-    return _ended(running_thread_sizes(emails_stream(spark, _streamed_emails(spark, sf))), spark, "stream-threads")
+    return _ended(running_thread_sizes(emails_stream(spark, _streamed_emails(spark, sf))), spark, "stream-threads", "thread_key")
 
 
 _SEARCHES = [("n_topic", "subject", "topic 1"), ("n_the", "body", "the")]
@@ -242,7 +238,7 @@ def _event_log(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_usage_stats(spark: SparkSession, sf: str) -> DataFrame:
     """ST3: running usage statistics."""
-    return _ended(running_usage_stats(_event_log(spark, sf)), spark, "stream-usage")
+    return _ended(running_usage_stats(_event_log(spark, sf)), spark, "stream-usage", "backend")
 
 
 STREAM_USAGE_STATS_SQL = f"""WITH {LOG_SQL}

@@ -8,7 +8,8 @@ loaded, and written to ``<emails_dir>/batch_id=<n>`` with overwrite of that
 one folder, so a replayed batch replaces itself (exactly-once output).
 
 ST2 - a second stream reads the emails table and keeps running thread sizes
-and search counts (streaming aggregation, ``complete`` or ``update`` mode).
+and search counts (streaming aggregation in ``update`` mode; ``state.py`` keeps
+only the groups that a batch changed).
 """
 
 from __future__ import annotations
@@ -21,31 +22,28 @@ from .. import schema
 from ..operators.search import match
 from ..operators.threads import thread_key
 from ..sources.mbox import MboxFile, _canonical_uri, _canonical_uri_col, load_records
+from .state import read_state, write_state
 
 EMAILS_STREAM_SCHEMA = "file_path string, file_ordinal int, msg_seq long, from_addr string, subject string, date string, body string, batch_id long"
 
 
-def _table_exists(spark: SparkSession, path: str) -> bool:
-    jp = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(jp.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jp))
+def manifest_dir(emails_dir: str) -> str:
+    """One small table per batch: its files with their messages and lines (S11).  Readers of the emails skip it."""
+    return f"{emails_dir.rstrip('/')}/_files"
 
 
-MANIFEST_SCHEMA = "file_ordinal int, file_path string, n_messages long, n_lines long"
+TOTALS_SCHEMA = "n_messages long, n_files int"
 
 
-def manifest_dir(emails_dir: str) -> str:
-    """One small table per batch: its files with their messages and lines (S11).  Readers of the emails skip it."""
-    return f"{emails_dir.rstrip('/')}/_files"
+def totals_dir(emails_dir: str) -> str:
+    """Messages and files loaded so far: one row, which each batch replaces.  Readers of the emails skip it."""
+    return f"{emails_dir.rstrip('/')}/_totals"
 
 
 def _previous(spark: SparkSession, emails_dir: str, batch_id: int) -> tuple[int, int]:
-    """(messages, files) loaded by earlier batches, from the manifest alone."""
-    folder = manifest_dir(emails_dir)
-    if not _table_exists(spark, folder):
-        return 0, 0
-    prev = spark.read.schema(f"{MANIFEST_SCHEMA}, batch_id long").parquet(folder).filter(F.col("batch_id") < batch_id)
-    row = prev.agg(F.sum("n_messages").alias("n"), F.max("file_ordinal").alias("f")).first()
-    return int(row["n"] or 0), int(row["f"] or 0)
+    """(messages, files) loaded by earlier batches: the row that the last one left."""
+    row = read_state(spark, totals_dir(emails_dir), TOTALS_SCHEMA, batch_id).first()
+    return (int(row["n_messages"]), int(row["n_files"])) if row else (0, 0)
 
 
 def _process_batch(emails_dir: str):
@@ -66,6 +64,9 @@ def _process_batch(emails_dir: str):
         out = f"{emails_dir.rstrip('/')}/batch_id={batch_id}"
         load.emails.select(*[f.name for f in schema.EMAILS.fields]).write.mode("overwrite").parquet(out)
         load.report.coalesce(1).write.mode("overwrite").parquet(f"{manifest_dir(emails_dir)}/batch_id={batch_id}")
+        new = load.report.agg(F.sum("n_messages").alias("n")).first()["n"] or 0
+        totals = spark.createDataFrame([(n_prev + new, f_prev + len(files))], TOTALS_SCHEMA)
+        write_state(totals, totals_dir(emails_dir), batch_id)
         load.close()
 
     return run

@@ -5,19 +5,21 @@ ST3 is a plain streaming aggregation (partial aggregation per micro-batch,
 state per back-end in the state store).  ST4 runs the batch operator
 (``availability_changes``, balanced however many events one back-end has) on
 each micro-batch, after one row per back-end that holds its last known state.
-Each batch writes its changes, its late events and its states under its own
-number with overwrite, so a replayed batch replaces itself.  An event that is
+Each batch writes its changes and its late events under its own number with
+overwrite, so a replayed batch replaces itself, and one state for all back-ends,
+which is all that the next batch reads.  An event that is
 older than the state of its back-end cannot be placed any more; it goes to the
 table of late events, from which it can be counted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.usage import availability_changes, exact_avg, price_per_million
+from .state import read_state, write_state
 
 SNAPSHOT_SCHEMA = "backend string, ts timestamp_ntz, event_id long, available boolean"
 CHANGE_SCHEMA = SNAPSHOT_SCHEMA + ", status string"
@@ -59,10 +61,9 @@ def _change_batch(out_dir: str):
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         order = F.struct("ts", "event_id")
-        # one row per back-end and batch: the latest one before this batch is its state
-        before = _read(spark, f"{out_dir}/states", SNAPSHOT_SCHEMA).where(F.col("batch_id") < batch_id)
-        latest = Window.partitionBy("backend").orderBy(F.desc("batch_id"))
-        state = before.withColumn("n", F.row_number().over(latest)).where("n = 1").drop("n", "batch_id")
+        states = f"{out_dir}/states"
+        state = read_state(spark, states, SNAPSHOT_SCHEMA, batch_id)
+        known = state
         state = state.select("backend", order.alias("_at"), F.col("available").alias("_was"))
         events = batch.select("backend", "ts", "event_id", "available").join(F.broadcast(state), "backend", "left")
         events = events.withColumn("_late", F.coalesce(order <= F.col("_at"), F.lit(False)))
@@ -77,8 +78,9 @@ def _change_batch(out_dir: str):
 
         put(changes.select("backend", "ts", "event_id", "available", "status"), "changes")
         put(events.where("_late").select("backend", "ts", "event_id", "available"), "late")
-        last = fresh.groupBy("backend").agg(F.max_by(F.struct("ts", "event_id", "available"), order).alias("s"))
-        put(last.select("backend", "s.ts", "s.event_id", F.coalesce("s.available", F.lit(False)).alias("available")), "states")
+        both = known.unionByName(fresh).groupBy("backend").agg(F.max_by(F.struct("ts", "event_id", "available"), order).alias("s"))
+        last = both.select("backend", "s.ts", "s.event_id", F.coalesce("s.available", F.lit(False)).alias("available"))
+        write_state(last, states, batch_id)
 
     return run
 

@@ -12,6 +12,7 @@ from mailspark.operators.usage import availability_changes
 from mailspark.sources.mbox import load_mbox
 from mailspark.sources.views import email_columns, llm_log_from_events, read_table
 from mailspark.streaming.archive import emails_stream, running_search_counts, running_thread_sizes, start_archive_stream
+from mailspark.streaming.state import batch_numbers, compact, read_change_log, read_state, start_change_log
 from mailspark.streaming.usage import read_changes, read_late, running_usage_stats, start_availability_stream
 
 
@@ -146,3 +147,43 @@ def test_late_events_are_kept_apart(spark, tmp_dir):
     changes = [(r["backend"], r["event_id"], r["available"]) for r in read_changes(spark, out).orderBy("event_id").collect()]
     assert changes == [("x", 1, True), ("x", 4, False), ("y", 5, True)]
     assert [r["event_id"] for r in read_late(spark, out).collect()] == [3]
+
+
+def test_a_batch_reads_one_state_and_no_earlier_output(spark, tmp_dir):
+    """Seven batches: the state folder never holds more than the last two, and it alone decides the next batch."""
+    import datetime
+    import shutil
+
+    at = lambda m: datetime.datetime(2030, 1, 1, 0, m)
+    schema = "backend string, ts timestamp_ntz, event_id long, available boolean"
+    src, out, state = (os.path.join(tmp_dir, n) for n in ("st-in", "st-out", "st-state"))
+    seen = []
+    for k in range(7):
+        rows = [("x", at(2 * k), 2 * k, k % 2 == 0), (f"y{k}", at(k), 2 * k + 1, True)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        start_availability_stream(spark.readStream.schema(schema).parquet(src), out, state).awaitTermination(300)
+        assert len(batch_numbers(spark, f"{out}/states")) <= 2
+        seen += [(r["backend"], r["available"]) for r in read_changes(spark, out).orderBy("event_id").collect()]
+        shutil.rmtree(f"{out}/changes")  # nothing that an earlier batch reported is read again
+    assert [s for s in seen if s[0] == "x"] == [("x", k % 2 == 0) for k in range(7)]
+    last = read_state(spark, f"{out}/states", schema, 1 << 40).orderBy("backend").collect()
+    assert [r["backend"] for r in last] == ["x", *(f"y{k}" for k in range(7))]
+
+
+def test_change_log_holds_changed_groups_only(spark, tmp_dir):
+    src, out, state = (os.path.join(tmp_dir, n) for n in ("log-in", "log-out", "log-state"))
+    schema = "file_path string, file_ordinal int, msg_seq long, from_addr string, subject string, date string, body string"
+    row = lambda i, subject: ("f", 1, i, "a", subject, None, "the body")
+    batches = [[row(1, "A"), row(2, "b"), row(3, None)], [row(4, "a")], [row(5, "a"), row(6, "C")]]
+    os.makedirs(src)
+    stream = running_thread_sizes(spark.readStream.schema(schema).parquet(src))
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        start_change_log(stream, out, state).awaitTermination(300)
+        touched = {(r[4] or "").lower() for r in rows}
+        assert {r["thread_key"] for r in spark.read.parquet(f"{out}/batch_id={batch_numbers(spark, out)[-1]}").collect()} == touched, k
+    want = {"a": 3, "b": 1, "": 1, "c": 1}
+    read = lambda: {r["thread_key"]: r["n_messages"] for r in read_change_log(spark, out, stream, ["thread_key"]).collect()}
+    assert read() == want
+    compact(spark, out, stream, ["thread_key"])
+    assert read() == want and len(batch_numbers(spark, out)) == 1
