@@ -35,6 +35,7 @@ from __future__ import annotations
 import logging
 import re
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -379,11 +380,15 @@ def load_records(raw: DataFrame, files: list[MboxFile], start: int = 0, headers:
         [(f.ordinal, f.path, messages.get(f.uri, 0), lines.get(f.uri, 0)) for f in files],
         "file_ordinal int, file_path string, n_messages long, n_lines long",
     )
-    ordinals = spark.createDataFrame([(f.ordinal, f.path, f.uri) for f in files], "file_ordinal int, file_path string, file_uri string")
+    # two levels: messages of the files before (from the report, a row per file), then of a file's earlier splits
+    counts = [messages.get(f.uri, 0) for f in files]
+    before = [start + n for n in accumulate(counts, initial=0)][:-1]
+    ordinals = spark.createDataFrame(
+        [(f.ordinal, f.path, f.uri, n) for f, n in zip(files, before)], "file_ordinal int, file_path string, file_uri string, _before long"
+    )
     of_argument = segments.join(F.broadcast(ordinals), "file_uri")
-    # one row per split and file argument: a small, ordered window
-    earlier = Window.orderBy("file_ordinal", "block", "_rid").rowsBetween(Window.unboundedPreceding, -1)
-    shift = F.lit(start) + F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_lo") + 1
+    earlier = Window.partitionBy("file_ordinal").orderBy("block", "_rid").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.col("_before") + F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_lo") + 1
     offsets = materialize(
         of_argument.select("file_uri", "block", "_part", "file_ordinal", "file_path", shift.alias("_shift")), "mbox-offsets"
     )
