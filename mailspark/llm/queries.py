@@ -17,7 +17,7 @@ from .quality_classifier import score_quality
 from .quality_rules import judge
 from .spelling_variants import spelling_variants
 from .substring_dedup import remove_repeats
-from .url_filter import host_and_path, keys_of_hosts, url_verdicts
+from .url_filter import host_and_path, url_verdicts
 
 #: Fixed values of the URL query.
 URL_RULES = [
@@ -33,9 +33,10 @@ LISTED_LABEL_PARTS = ("spam", "pills", "casino", "xxx", "warez", "loans")
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    part = rf"(^|-)({'|'.join(LISTED_LABEL_PARTS)})(-|$)"
-    first_label = F.substring_index("key", ".", 1)
-    listed = keys_of_hosts(host_and_path(pages)).where(first_label.rlike(part)).select("key").distinct()
+    # a host's shortest key with such a label: hosts below it are below its longer ones or beside them
+    part = rf"(?s)^(?:.*\.)?((?:[^.]*-)?(?:{'|'.join(LISTED_LABEL_PARTS)})(?:-[^.]*)?(?:\..*)?)\z"
+    hosts = host_and_path(pages).select("host").distinct()
+    listed = hosts.select(F.regexp_extract("host", part, 1).alias("key")).where("key <> ''").distinct()
     return url_verdicts(pages, URL_RULES, listed)
 
 

@@ -7,7 +7,9 @@ mistake, level 3 the listed keys that level 2 lets through, and so on until a
 level has no mistakes.  For every key of that universe the answer is exact, and
 no page is joined with the list.
 
-The universe is cut into shards by key hash.  Every shard holds about
+A key is carried as a 128-bit hash, chained from the last label to the first, so
+that all keys of a host cost one step a label however many labels it has; that
+hash stands for the key.  The universe is cut into shards by it.  Every shard holds about
 ``SHARD_KEYS`` distinct keys, so one task builds one shard's levels in bounded
 memory, however long the list is.  Looking up broadcasts the finished filters
 when their measured size is at most ``BROADCAST_BYTES``; beyond that the
@@ -27,10 +29,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, scratch
+from .common import batches, drop_scratch, scratch
 
 #: Distinct keys of one shard, about.
 SHARD_KEYS = 200_000
@@ -66,18 +69,45 @@ def rule_column(rules: Sequence[tuple[str, str]], value: int) -> Column:
     return out
 
 
-def host_keys(host: Column) -> Column:
-    """The host and its parent domains, longest first; none of an empty host."""
-    labels = F.split(host, r"\.")
-    return F.when(
-        F.length(host) > 0,
-        F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")),
-    ).otherwise(F.array().cast("array<string>"))
+def suffix_hashes(host: str) -> list[bytes]:
+    """128-bit hashes of a host and its parent domains, longest first; none of an empty host."""
+    out, after = [], bytes(16)
+    for label in reversed(host.split(".")) if host else ():
+        after = xxhash.xxh3_128_digest(label.encode() + after)
+        out.append(after)
+    return out[::-1]
 
 
-def _hashes(key: Column) -> list[Column]:
-    """Two independent 64-bit hashes of a key (computed in the JVM)."""
-    return [F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit("cascade")).alias("h2")]
+def _two_numbers(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+    return h[:, 0], h[:, 1]
+
+
+def _own_hash(names: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each whole name; an empty one has the hash of an empty label."""
+    return _two_numbers([(suffix_hashes(x) or suffix_hashes(".")[1:])[0] for x in names])
+
+
+def _hash_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        h1, h2 = _own_hash(f["key"])
+        yield pd.DataFrame({"h1": h1, "h2": h2})
+
+
+def _hash_hosts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of at most ``batches``' size or one host: (g1, g2) of the host with (h1, h2) of each of its keys."""
+    for f in batches(frames, column="host"):
+        digests = [suffix_hashes(x) for x in f["host"]]
+        n = [len(d) for d in digests]
+        h1, h2 = _two_numbers([x for d in digests for x in d])
+        g1, g2 = _two_numbers([d[0] for d in digests])
+        yield pd.DataFrame({"g1": np.repeat(g1, n), "g2": np.repeat(g2, n), "h1": h1, "h2": h2})
+
+
+def keys_of_hosts(judged: DataFrame) -> DataFrame:
+    """(g1, g2, h1, h2): the hash of each distinct host and that of each of its keys."""
+    hosts = judged.select("host").where("host <> ''").distinct()
+    return hosts.mapInPandas(_hash_hosts, "g1 long, g2 long, h1 long, h2 long")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -129,7 +159,7 @@ def probe(levels, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
 
 
 def build_cascade(universe: DataFrame, shards: int) -> DataFrame:
-    """universe: distinct (key, listed).  One row per shard and level."""
+    """universe: distinct (h1, h2) with ``listed``.  One row per shard and level."""
 
     def build(f: pd.DataFrame) -> pd.DataFrame:
         levels = build_levels(f.h1.to_numpy(), f.h2.to_numpy(), f.listed.to_numpy(bool))
@@ -138,8 +168,8 @@ def build_cascade(universe: DataFrame, shards: int) -> DataFrame:
             columns=["shard", "level", "n_bits", "n_hashes", "bits"],
         )
 
-    hashed = universe.select(*_hashes(F.col("key")), "listed").withColumn("shard", F.pmod("h1", F.lit(shards)))
-    return hashed.groupBy("shard").applyInPandas(build, LEVELS_SCHEMA)
+    sharded = universe.withColumn("shard", F.pmod("h1", F.lit(shards)))
+    return sharded.groupBy("shard").applyInPandas(build, LEVELS_SCHEMA)
 
 
 def _by_shard(rows) -> dict[int, list]:
@@ -175,43 +205,48 @@ def url_verdicts(
     """
     spark = pages.sparkSession
     judged = host_and_path(pages.select(F.col(id_col), F.col(url).alias("url")))
-    keys = judged.select("host").distinct().select(F.explode(host_keys(F.col("host"))).alias("key")).distinct()
+    listed = listed.select("key").where("key is not null").distinct().mapInPandas(_hash_keys, "h1 long, h2 long")
+    keys = keys_of_hosts(judged).select("h1", "h2").distinct()
     universe = scratch(
-        keys.join(listed.select("key").distinct().withColumn("listed", F.lit(True)), "key", "left").select(
-            "key", F.coalesce("listed", F.lit(False)).alias("listed")
+        keys.join(listed.distinct().withColumn("listed", F.lit(True)), ["h1", "h2"], "left").select(
+            "h1", "h2", F.coalesce("listed", F.lit(False)).alias("listed")
         ),
         "url-universe",
     )
     shards = max(1, math.ceil(universe.count() / shard_keys))
     cascade = scratch(build_cascade(universe, shards), "url-cascade")
     size = cascade.agg(F.sum(F.length("bits")).alias("n")).first()["n"] or 0
-    host_h = judged.withColumn("_keys", host_keys(F.col("host")))
     if size <= broadcast_bytes:
         held = spark.sparkContext.broadcast(_by_shard(cascade.collect()))
         drop_scratch(universe)
 
         @F.pandas_udf("boolean")
-        def any_listed(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-            for first, second in parts:
-                n = np.array([len(x) for x in first], np.int64)
-                h1, h2 = (np.concatenate([np.asarray(x, np.int64) for x in s]) if n.sum() else np.zeros(0, np.int64) for s in (first, second))
-                hit = _probe_all(held.value, shards, h1, h2)
-                yield pd.Series(np.bincount(np.repeat(np.arange(len(n)), n), hit, len(n)) > 0)
-
-        found = any_listed(
-            F.transform("_keys", lambda k: F.xxhash64(k)), F.transform("_keys", lambda k: F.xxhash64(k, F.lit("cascade")))
-        )
-        out = host_h.withColumn("listed", found)
+        def any_listed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for hosts in parts:
+                at, names = pd.factorize(hosts)
+                hit = np.zeros(len(names), bool)
+                for k, name in enumerate(names):
+                    if name:
+                        hit[k] = _probe_all(held.value, shards, *_two_numbers(suffix_hashes(name))).any()
+                yield pd.Series(hit[at])
+
+        out = judged.withColumn("listed", any_listed("host"))
     else:
 
         def judge(key: tuple, f: pd.DataFrame, levels: pd.DataFrame) -> pd.DataFrame:
             hit = probe(next(iter(_by_shard(levels.to_dict("records")).values()), []), f.h1.to_numpy(), f.h2.to_numpy())
-            return pd.DataFrame({"key": f.key, "hit": hit})
-
-        hashed = universe.select("key", *_hashes(F.col("key"))).withColumn("shard", F.pmod("h1", F.lit(shards)))
-        verdict = hashed.groupBy("shard").cogroup(cascade.groupBy("shard")).applyInPandas(judge, "key string, hit boolean")
-        hosts = keys_of_hosts(judged).join(verdict, "key").groupBy("host").agg(F.max("hit").alias("listed"))
-        out = judged.join(hosts, "host", "left")
+            return pd.DataFrame({"h1": f.h1, "h2": f.h2, "hit": hit})
+
+        @F.pandas_udf("g1 long, g2 long")
+        def own_hash(hosts: pd.Series) -> pd.DataFrame:
+            g1, g2 = _own_hash(hosts)
+            return pd.DataFrame({"g1": g1, "g2": g2})
+
+        sharded = universe.withColumn("shard", F.pmod("h1", F.lit(shards)))
+        verdict = sharded.groupBy("shard").cogroup(cascade.groupBy("shard")).applyInPandas(judge, "h1 long, h2 long, hit boolean")
+        hosts = keys_of_hosts(judged).join(verdict, ["h1", "h2"]).groupBy("g1", "g2").agg(F.max("hit").alias("listed"))
+        named = judged.withColumn("g", own_hash("host")).select(F.struct(*judged.columns).alias("page"), "g.*")
+        out = named.join(hosts, ["g1", "g2"], "left").select("page.*", F.when(F.col("page.host") != "", F.col("listed")).alias("listed"))
     by_rule = rule_column(rules, 0)
     return out.select(
         F.col(id_col),
@@ -221,8 +256,3 @@ def url_verdicts(
         F.coalesce(by_rule, F.when(F.coalesce("listed", F.lit(False)), "block").otherwise("allow")).alias("verdict"),
         F.coalesce("listed", F.lit(False)).alias("listed"),
     )
-
-
-def keys_of_hosts(judged: DataFrame) -> DataFrame:
-    """(host, key) for each distinct host."""
-    return judged.select("host").distinct().select("host", F.explode(host_keys(F.col("host"))).alias("key"))

@@ -1,6 +1,6 @@
 import numpy as np
 from mailspark.llm.queries import URL_RULES
-from mailspark.llm.url_filter import build_levels, probe, url_verdicts
+from mailspark.llm.url_filter import build_levels, probe, suffix_hashes, url_verdicts
 
 PAGES = [
     (1, "http://a.example.com/en/1"),
@@ -56,6 +56,24 @@ def test_large_lists_are_judged_by_shard(spark):
     assert sorted(map(tuple, verdicts(spark, broadcast_bytes=0, shard_keys=3)), key=repr) == sorted(map(tuple, verdicts(spark)), key=repr)
 
 
+def test_keys_of_a_host_are_its_parents():
+    assert suffix_hashes("") == []
+    for host in ("a.b.c", "a..b.", ".", "é.b"):
+        labels = host.split(".")
+        keys = [".".join(labels[i:]) for i in range(len(labels))]
+        assert suffix_hashes(host) == [suffix_hashes("x." + k)[1] for k in keys]
+    assert len({h for x in ("a.b", "ab", "a.b.", ".a.b", "b.a") for h in suffix_hashes(x)[:1]}) == 5
+
+
+def test_host_of_very_many_labels(spark):
+    rows = [(1, "http://" + "d." * 200_000 + "bad.org/"), (2, "http://" + "d." * 200_000 + "good.org/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    listed = spark.createDataFrame([("bad.org",), (None,), ("",)], "key string")
+    for settings in ({}, {"broadcast_bytes": 0, "shard_keys": 50_000}):
+        got = {r["page_id"]: r["verdict"] for r in url_verdicts(pages, URL_RULES, listed, **settings).collect()}
+        assert got == {1: "block", 2: "allow"}
+
+
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert url_verdicts(pages, URL_RULES, spark.createDataFrame([], "key string")).count() == 0
