@@ -23,6 +23,9 @@ job for a cluster; windows that are equal only have to meet.  So:
    native aggregate instead, so that no task holds it.
 5. The marks go back to their texts, which are read whole and cut once.
 
+Equal texts are one text in steps 1 to 4, known by two 64-bit hashes (``d``, ``th``),
+so copies add neither runs nor marks; a text that several rows have is marked whole.
+
 Defined results: a null text is empty; texts shorter than ``LENGTH`` bytes keep
 every byte; repeated rows are repeats of each other; an empty table gives an empty
 result; further columns are not read.
@@ -132,7 +135,7 @@ def _find_runs(length: int, gram: int):
                 }
             )
 
-        for f in batches(frames):
+        for f in _texts(frames):
             pieces, owners, held = [], [], 0
             for d, th, text in zip(f["d"].tolist(), f["th"].tolist(), f["text"]):
                 raw = text.encode()
@@ -264,15 +267,21 @@ def _sort_blocks(length: int, block: int):
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(d, th): which row a mark belongs to; rows that agree in id and text share it."""
+    """(d, th, doc_id, text): two hashes that stand for the text in the tables of runs and marks."""
+    text = text_or_empty()
     return docs.select(
-        F.coalesce("doc_id", F.lit(0)).cast("long").alias("d"), F.xxhash64("doc_id", "text").alias("th"), "doc_id", text_or_empty().alias("text")
+        F.xxhash64(text).alias("d"), F.xxhash64(F.lit("text"), text).alias("th"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")
     )
 
 
+def _texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches without the copies inside them."""
+    return (f.drop_duplicates(["d", "th"]) for f in batches(frames))
+
+
 def _slices(length: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in batches(frames):
+        for f in _texts(frames):
             rows = []
             for d, th, text, wanted in zip(f["d"].tolist(), f["th"].tolist(), f["text"], f["wanted"]):
                 raw = text.encode()
@@ -303,7 +312,11 @@ def _windows(length: int):
 def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, variants: int = VARIANTS, block: int = BLOCK) -> DataFrame:
     """(d, th, at, size): stretches of bytes to remove; they may overlap."""
     keyed = _keyed(docs)
-    runs = scratch(keyed.where(F.length("text") > 0).select("d", "th", "text").mapInPandas(_find_runs(length, gram), RUNS), "runs")
+    n_bytes = F.octet_length("text").cast("long")
+    texts = keyed.where(n_bytes >= length).groupBy("d", "th", n_bytes.alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    copied = texts.where("n > 1").select("d", "th", F.lit(0).cast("long").alias("at"), "size")
+    found = keyed.where(n_bytes >= length).select("d", "th", "text").mapInPandas(_find_runs(length, gram), RUNS)
+    runs = scratch(found.distinct(), "runs")  # copies in other batches
     # tables of their own, so that adaptive execution can split a frequent bucket's side of the joins
     often = scratch(runs.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "met-buckets")
     met = scratch(runs.join(often, "bucket", "left_semi"), "met-runs")
@@ -324,10 +337,12 @@ def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, variants: int
         .groupBy("d", "th")
         .agg(F.collect_list("x").alias("wanted"))  # runs of one text
     )
+    slices = "bucket long, d long, th long, start long, settled boolean, large boolean, bytes binary"
     sliced = scratch(
         keyed.select("d", "th", "text")
         .join(wanted, ["d", "th"])
-        .mapInPandas(_slices(length), "bucket long, d long, th long, start long, settled boolean, large boolean, bytes binary"),
+        .mapInPandas(_slices(length), slices)
+        .distinct(),
         "slices",
     )
     from_blocks = (
@@ -340,7 +355,7 @@ def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, variants: int
     twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
     from_windows = windows.where("not settled").join(twice, ["w1", "w2"], "left_semi")
     from_windows = from_windows.select("d", "th", "at", F.lit(length).cast("long").alias("size"))
-    return whole.unionByName(from_blocks).unionByName(from_windows)
+    return copied.unionByName(whole).unionByName(from_blocks).unionByName(from_windows)
 
 
 def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

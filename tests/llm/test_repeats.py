@@ -58,6 +58,21 @@ def test_substrings_of_awkward_rows(spark):
     assert remove_repeats(empty_docs(spark)).count() == 0
 
 
+def test_substrings_of_many_equal_rows(spark):
+    rng = random.Random(8)
+    long, other = ("".join(rng.choice("abcdefgh ") for _ in range(21_000)) for _ in range(2))
+    lone = other[:9000] + long[5000:5600] + other[9000:]
+    texts = [(7, long)] * 2000 + [(i, long) for i in range(100, 600)] + [(None, "short")] * 50 + [(8, lone)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(8)
+    got = remove_repeats(docs).groupBy("n_bytes", "n_removed", "n_spans", "kept_sha256").count().collect()
+    gone = hashlib.sha256(b"").hexdigest()
+    assert {tuple(r) for r in got} == {
+        (21_000, 21_000, 1, gone, 2500),
+        (5, 0, 0, hashlib.sha256(b"short").hexdigest(), 50),
+        (21_600, 600, 1, hashlib.sha256(other.encode()).hexdigest(), 1),
+    }
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
