@@ -119,7 +119,7 @@ def _mover(turn: int, last_of: int):
 
 
 def _moved(f: pd.DataFrame, turn: int, last_of: int) -> pd.DataFrame:
-    f = f.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
+    f = f.sort_values(["size", "doc_id", "no_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
     seed = xxhash.xxh64_intdigest(f"{turn}|{f['source'].iloc[0]!r}|{f['block'].iloc[0]}", 9)
     size = f["size"].to_numpy(float)
     draws = np.random.Generator(np.random.PCG64(seed)).random(3 * len(f) + 3)
@@ -130,6 +130,20 @@ def _moved(f: pd.DataFrame, turn: int, last_of: int) -> pd.DataFrame:
     return f
 
 
+def _numbered(sizes: DataFrame, chunk: int) -> DataFrame:
+    """The rows with ``nth``, which tells apart those that agree in all columns (null ids, repeated rows) and so
+    spreads them over the blocks.  They are counted, then written out again ``chunk`` rows a time by many tasks."""
+    columns = sizes.columns
+    chunks = (
+        sizes.groupBy(*columns)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {chunk}"))))
+        .repartition("chunk", *columns)
+    )
+    first = F.col("chunk") * chunk
+    return chunks.select(*columns, F.explode(F.sequence(first, F.least(first + (chunk - 1), F.col("n") - 1))).alias("nth"))
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = WEIGHTS,
@@ -155,12 +169,14 @@ def mix(
         plan, "source string, source_size long, target double, base int, prob double, blocks long"
     )
     state = (
-        sizes.join(of_source.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
+        _numbered(sizes, block)
+        .join(of_source.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
         .drop("_s")
         # pandas would turn ids with nulls among them into floats
         .withColumn("no_id", F.col("doc_id").isNull())
         .withColumn("doc_id", F.coalesce("doc_id", F.lit(0).cast("long")))
-        .withColumn("block", F.pmod(F.xxhash64("doc_id", "size"), F.col("blocks")))
+        .withColumn("block", F.pmod(F.xxhash64("doc_id", "size", "nth"), F.col("blocks")))
+        .drop("nth")
     )
     settled, turn, last_of = [], 0, 1
     most_blocks = max((p[5] for p in plan), default=1)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from helpers import awkward_docs, empty_docs, text_of
 from mailspark.llm.lm_scoring import END, WIDTH, Trie, crc_mod, grams, score_documents
-from mailspark.llm.mixing import flight, mix, take, targets
+from mailspark.llm.mixing import _numbered, flight, mix, take, targets
 from mailspark.llm.packing import best_cuts, pack
 from mailspark.llm.queries import tokenizer_path
 from pyspark.sql import functions as F
@@ -147,6 +147,23 @@ def test_mix_comes_near_its_targets(spark, settings):
     assert got.sort_values("doc_id")["taken"].tolist() == again.sort_values("doc_id")["taken"].tolist()
 
 
+def test_blocks_stay_small_whatever_the_ids(spark):
+    rows = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(5)).cast("long").alias("doc_id"), F.lit("two words").alias("text"), F.lit("s").alias("source")
+    )
+    rows = rows.unionByName(spark.range(100).select("id", F.lit("one").alias("text"), F.lit("t").alias("source")).toDF("doc_id", "text", "source"))
+    sizes = rows.select("doc_id", "source", F.lit(2).cast("long").alias("size"))
+    numbered = _numbered(sizes, 64)
+    assert numbered.count() == 30_100 == numbered.distinct().count()
+    blocks = numbered.groupBy(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), "size", "nth"), F.lit(100))).count().toPandas()
+    assert blocks["count"].max() < 500
+    got = mix(rows, block=256, fan_in=8).toPandas()
+    assert len(got) == 30_100 and (got["taken"] <= 3 * got["size"]).all()
+    by = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert ((by["taken"] - by["target"]).abs() <= 0.01 * by["target"] + 4).all()
+    assert got["doc_id"].isna().sum() == 20_000
+
+
 def test_mix_of_awkward_rows(spark):
     docs = awkward_docs(spark, extra=True)
     m = mix(docs)
