@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.running import running_sums
 from .common import drop_scratch, scratch, text_or_empty, words
 
 #: Documents of a block, about.
@@ -43,6 +44,8 @@ MAX_SOURCES = 1_000_000
 EPS = 1e-9
 #: Open documents that wait for the landing of a source.
 HELD = 12
+#: Copies of one row that ``take`` writes at once.
+CHUNK = 64
 
 
 def targets(sizes: Sequence[float], weights: Sequence[float] = WEIGHTS, most: float = MAX_REPEAT) -> list[float]:
@@ -201,22 +204,29 @@ def mix(
 
 
 def take(docs: DataFrame, **settings) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the columns of ``docs``."""
-    from pyspark.sql import Window
+    """The mix itself: each document as often as it is taken, with the columns of ``docs``.
 
-    keys = ["doc_id", "source", "size"]
-    copies = mix(docs, **settings).select(*keys, "copies")
-    # rows that agree in all three are told apart by a number, so that a join cannot multiply them
-    copies = copies.withColumn("m", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("copies"))))
-    copies = copies.where("copies > 0").toDF("_d", "_s", "_z", "copies", "m")
+    What is due to an id, source and size is shared out in the order of hashes of the whole rows, by running
+    sums over ranges.  Equal rows (columns that hold maps aside) are one row that is written as often as they
+    are taken together, ``CHUNK`` times at once.
+    """
+    said = [x for f in docs.schema if "map<" not in f.dataType.simpleString() for x in (F.col(f.name), F.col(f.name).isNull())]
     size = F.size(words(text_or_empty())).cast("long")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", size.alias("size"), F.xxhash64("text").alias("th"))
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("th")))
-    on = (
-        F.col("doc_id").eqNullSafe(F.col("_d"))
-        & F.col("source").eqNullSafe(F.col("_s"))
-        & (F.col("size") == F.col("_z"))
-        & (F.col("nth") == F.col("m"))
+    hashes = [F.xxhash64(*said).alias("a"), F.xxhash64(F.lit("row"), *said).alias("b")]
+    keys = ["doc_id", "source", "size"]
+    kinds = docs.select("doc_id", "source", size.alias("size"), *hashes).groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    kinds = running_sums(kinds, keys, ["a", "b"], {"upto": F.col("n")})
+    due = mix(docs, **settings).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.sum("copies").alias("due"))
+    due = due.where("due > 0").toDF("_d", "_s", "_z", "rows", "due")
+    on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))
+    more = F.expr("due % rows") - (F.col("upto") - F.col("n"))  # rows from here on that are taken once more
+    copies = F.col("n") * F.expr("due div rows") + F.greatest(F.lit(0), F.least(F.col("n"), more))
+    chunks = (
+        kinds.join(due, on)
+        .select("a", "b", copies.alias("copies"))
+        .where("copies > 0")
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {CHUNK}"))))
+        .select("a", "b", F.least(F.lit(CHUNK), F.col("copies") - F.col("chunk") * CHUNK).cast("int").alias("copies"))
     )
-    taken = rows.join(copies, on).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return taken.select("row.*")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *hashes).dropDuplicates(["a", "b"])
+    return rows.join(chunks, ["a", "b"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

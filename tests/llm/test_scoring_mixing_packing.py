@@ -164,6 +164,22 @@ def test_blocks_stay_small_whatever_the_ids(spark):
     assert got["doc_id"].isna().sum() == 20_000
 
 
+def test_take_of_equal_rows_and_null_ids(spark):
+    rows = [(None, "two words", "s", "x")] * 500 + [(None, f"word {i}", "s", None) for i in range(300)]
+    rows += [(7, "two words", "s", None)] * 40 + [(7, "two words", "s", "x"), (8, None, "s", "x"), (9, "one", "t", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies string").repartition(5)
+    for settings in ({}, {"block": 16, "fan_in": 4}):
+        m, got = mix(docs, **settings).toPandas(), take(docs, **settings)
+        assert got.columns == docs.columns
+        got = Counter(map(tuple, got.collect()))
+        assert sum(got.values()) == m["copies"].sum() and set(got) <= set(rows)
+        for key, part in m.groupby(["doc_id", "source", "size"], dropna=False):
+            ours = {r: n for r, n in Counter(rows).items() if (r[0] or -1, r[2], len((r[1] or "").split())) == (-1 if key[0] != key[0] else key[0], *key[1:])}
+            assert sum(ours.values()) == len(part) and sum(got[r] for r in ours) == part["copies"].sum()
+            least, most = part["copies"].min(), part["copies"].max()
+            assert all(least * n <= got[r] <= most * n for r, n in ours.items())
+
+
 def test_mix_of_awkward_rows(spark):
     docs = awkward_docs(spark, extra=True)
     m = mix(docs)
