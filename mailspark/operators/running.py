@@ -28,24 +28,35 @@ def running_sums(
     order: Sequence[Column | str],
     sums: Mapping[str, Column],
     num_partitions: int | None = None,
+    carried: DataFrame | None = None,
 ) -> DataFrame:
     """Add one running-total column per entry of ``sums`` (name -> expression),
-    summed over each key's rows up to and including the current one."""
+    summed over each key's rows up to and including the current one.
+
+    ``carried`` (the keys and a column of each name, one row a key) holds what earlier rows, which are
+    not in ``df``, come to; it joins the totals of a key's ranges, so no row of ``df`` is joined with it.
+    """
     vals = {f"_run_v{i}": expr for i, expr in enumerate(sums.values())}
     # The ranges are written once, so every use sees the same cut.
     cut = ranged(df.select("*", *[e.alias(v) for v, e in vals.items()]), [*keys, *order], num_partitions)
     inside = Window.partitionBy(_PART, *keys).orderBy(_MID).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = cut.select("*", *[F.sum(v).over(inside).alias(f"{v}_loc") for v in vals])
     totals = cut.groupBy(_PART, *keys).agg(*[F.sum(v).alias(f"{v}_tot") for v in vals])
-    # One row per (key, range): the sum over the key's earlier ranges.
+    if carried is not None:
+        before = [F.col(n).alias(f"{v}_tot") for v, n in zip(vals, sums)]
+        totals = totals.unionByName(carried.select(F.lit(-1).alias(_PART), *keys, *before))
+    # One row per (key, range): the sum over the key's earlier ranges, null if they have no value.
     earlier = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     prior = totals.select(
         F.col(_PART).alias("_p"),
         *[F.col(k).alias(f"_k_{k}") for k in keys],
-        *[F.coalesce(F.sum(f"{v}_tot").over(earlier), F.lit(0)).alias(f"{v}_pre") for v in vals],
+        *[F.sum(f"{v}_tot").over(earlier).alias(f"{v}_pre") for v in vals],
     )
     joined = local.join(prior, _same_range(local, prior, keys))
-    out_cols = [(F.col(f"{v}_pre") + F.col(f"{v}_loc")).alias(name) for v, name in zip(vals, sums.keys())]
+    out_cols = [
+        F.when(F.col(f"{v}_loc").isNull(), F.col(f"{v}_pre")).otherwise(F.coalesce(f"{v}_pre", F.lit(0)) + F.col(f"{v}_loc")).alias(name)
+        for v, name in zip(vals, sums.keys())
+    ]
     return joined.select(*[local[c] for c in df.columns], *out_cols)
 
 

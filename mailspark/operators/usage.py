@@ -113,34 +113,73 @@ def usage_stats(log: DataFrame) -> DataFrame:
     )
 
 
-def usage_running(log: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
+#: What one back-end's requests come to: all that the stats of its next request need (B2 in mutating form).
+USAGE_TOTALS = (
+    "backend string, tokens long, requests long, units long, rt_sum decimal(38,10), rt_plain double, rt_odd long, rt_n long, "
+    "last_used timestamp_ntz"
+)
+
+
+def _running_values() -> dict[str, Column]:
+    """What is summed for each request; ``units`` are integer token x price units."""
+    rt = F.col("response_time")
+    return {
+        "run_tokens": F.col("tokens"),
+        "run_requests": F.lit(1).cast("long"),
+        "run_units": F.col("tokens") * price_per_million(),
+        "run_rt_sum": F.coalesce(_decimal(rt), F.lit(0).cast(_DECIMAL)),
+        "run_rt_plain": F.coalesce(rt, F.lit(0.0)),
+        "run_rt_odd": (rt.isNotNull() & ~_survives(rt)).cast("long"),
+        "run_rt_n": F.when(rt.isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("long"),
+    }
+
+
+def _mean_time(prefix: str) -> Column:
+    exact = F.col(f"{prefix}rt_sum").cast("double")
+    return F.try_divide(F.when(F.col(f"{prefix}rt_odd") == 0, exact).otherwise(F.col(f"{prefix}rt_plain")), F.col(f"{prefix}rt_n"))
+
+
+def usage_running(log: DataFrame, order: Sequence[str] = ORDER, carried: DataFrame | None = None) -> DataFrame:
     """B2: the stats after each request (the mutating form), per back-end in
-    request order; computed with bucketed running sums (no one-key window)."""
+    request order; computed with bucketed running sums (no one-key window).
+
+    ``carried`` (``USAGE_TOTALS``) is what the requests before this log came to; the stats go on from there.
+    """
     u = usage_records(log).select("event_id", "backend", "ts", "tokens", "response_time")
-    run = running_sums(
-        u,
-        ["backend"],
-        list(order),
-        {
-            "running_tokens": F.col("tokens"),
-            "running_requests": F.lit(1).cast("long"),
-            "_units": F.col("tokens") * price_per_million(),
-            "_rt_sum": F.coalesce(_decimal(F.col("response_time")), F.lit(0).cast(_DECIMAL)),
-            "_rt_plain": F.coalesce(F.col("response_time"), F.lit(0.0)),
-            "_rt_odd": (F.col("response_time").isNotNull() & ~_survives(F.col("response_time"))).cast("long"),
-            "_rt_n": F.when(F.col("response_time").isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("long"),
-        },
-    )
+    values = _running_values()
+    if carried is not None:
+        carried = carried.select("backend", *[F.col(n.removeprefix("run_")).alias(n) for n in values])
+    run = running_sums(u, ["backend"], list(order), values, carried=carried)
     return run.select(
         "event_id",
         "backend",
         "ts",
-        "running_tokens",
-        "running_requests",
-        (F.col("_units").cast("double") / F.lit(1_000_000.0)).alias("running_cost"),
-        F.try_divide(
-            F.when(F.col("_rt_odd") == 0, F.col("_rt_sum").cast("double")).otherwise(F.col("_rt_plain")), F.col("_rt_n")
-        ).alias("running_avg_response_time"),
+        F.col("run_tokens").alias("running_tokens"),
+        F.col("run_requests").alias("running_requests"),
+        (F.col("run_units").cast("double") / F.lit(1_000_000.0)).alias("running_cost"),
+        _mean_time("run_").alias("running_avg_response_time"),
+    )
+
+
+def usage_totals(log: DataFrame, carried: DataFrame | None = None) -> DataFrame:
+    """``USAGE_TOTALS`` of a log, on top of those carried from earlier ones: one row a back-end, mergeable."""
+    values = {n.removeprefix("run_"): v for n, v in _running_values().items()}
+    totals = usage_records(log).groupBy("backend").agg(*[F.sum(v).alias(n) for n, v in values.items()], F.max("ts").alias("last_used"))
+    if carried is None:
+        return totals
+    both = totals.unionByName(carried)
+    return both.groupBy("backend").agg(*[F.sum(n).alias(n) for n in values], F.max("last_used").alias("last_used"))
+
+
+def stats_of_totals(totals: DataFrame) -> DataFrame:
+    """B1 from ``USAGE_TOTALS``: the columns of ``usage_stats``."""
+    return totals.select(
+        "backend",
+        F.col("tokens").alias("total_tokens"),
+        F.col("requests").alias("total_requests"),
+        (F.col("units").cast("double") / F.lit(1_000_000.0)).alias("total_cost"),
+        _mean_time("").alias("avg_response_time"),
+        "last_used",
     )
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import usage as U
+from ..session import remember_scratch, scratch_path
 from ..sources.views import BACKENDS_BY_PRIORITY, llm_log_view
+from ..streaming.usage import append_usage, read_running, read_totals
 
 # Written out, so that the SQL does not follow the engine's own constants.
 _BACKENDS_SQL = """['Ollama', 'OpenAI', 'TinyChat', 'TinyLLM', 'OpenWebUI', 'Google Cloud AI', 'Microsoft Azure',
@@ -57,6 +59,30 @@ FROM priced WHERE success
 WINDOW w AS (PARTITION BY backend ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 
 
+def _appended(spark: SparkSession, sf: str) -> str:
+    """The log in three parts by time, appended one after another; returns the folder."""
+    out = scratch_path(spark, "usage-appended")
+    remember_scratch(spark, out)
+    log = _log(spark, sf)
+    r = log.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    if r["lo"] is None:
+        append_usage(log, out, 0)
+        return out
+    cuts = [r["lo"] + (r["hi"] - r["lo"]) * i / 3 for i in (1, 2)]
+    for n, (lo, hi) in enumerate(zip([None, *cuts], [*cuts, None])):
+        part = log if lo is None else log.where(F.col("ts") > F.lit(lo).cast("timestamp_ntz"))
+        append_usage(part if hi is None else part.where(F.col("ts") <= F.lit(hi).cast("timestamp_ntz")), out, n)
+    return out
+
+
+def usage_running_appended(spark: SparkSession, sf: str) -> DataFrame:
+    return read_running(spark, _appended(spark, sf))
+
+
+def usage_totals_appended(spark: SparkSession, sf: str) -> DataFrame:
+    return U.stats_of_totals(read_totals(spark, _appended(spark, sf)))
+
+
 def usage_cost(spark: SparkSession, sf: str) -> DataFrame:
     return U.with_cost(_log(spark, sf))
 
@@ -289,6 +315,8 @@ FROM r WHERE rn = 1"""
 QUERIES = {
     "usage_stats": usage_stats,
     "usage_running": usage_running,
+    "usage_running_appended": usage_running_appended,
+    "usage_totals_appended": usage_totals_appended,
     "usage_cost": usage_cost,
     "performance_metrics": performance_metrics,
     "availability_changes": availability_changes,
@@ -302,6 +330,8 @@ QUERIES = {
 ORACLE_SQL = {
     "usage_stats": USAGE_STATS_SQL,
     "usage_running": USAGE_RUNNING_SQL,
+    "usage_running_appended": USAGE_RUNNING_SQL,
+    "usage_totals_appended": USAGE_STATS_SQL,
     "usage_cost": USAGE_COST_SQL,
     "performance_metrics": PERFORMANCE_METRICS_SQL,
     "availability_changes": AVAILABILITY_CHANGES_SQL,

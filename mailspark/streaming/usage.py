@@ -1,5 +1,10 @@
-"""ST3/ST4: running usage statistics and availability changes over a stream
-of request events.
+"""B2 over appended logs, ST3/ST4: running usage statistics and availability changes over
+a stream of request events.
+
+B2 in its mutating form goes on over logs that arrive one after another: a log's requests
+get their stats from the batch operator on top of the totals that the log before it left,
+one row a back-end, and leave such totals for the next.  Requests count in the order of
+their logs, and by time inside one.
 
 ST3 is a plain streaming aggregation (partial aggregation per micro-batch,
 state per back-end in the state store).  ST4 runs the batch operator
@@ -18,11 +23,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.usage import availability_changes, exact_avg, price_per_million
-from .state import read_state, write_state
+from ..operators.usage import USAGE_TOTALS, availability_changes, exact_avg, price_per_million, usage_running, usage_totals
+from .state import batch_numbers, read_state, write_state
 
 SNAPSHOT_SCHEMA = "backend string, ts timestamp_ntz, event_id long, available boolean"
 CHANGE_SCHEMA = SNAPSHOT_SCHEMA + ", status string"
+RUNNING_SCHEMA = (
+    "event_id long, backend string, ts timestamp_ntz, running_tokens long, running_requests long, running_cost double, "
+    "running_avg_response_time double"
+)
+
+
+def append_usage(log: DataFrame, out_dir: str, batch_id: int) -> None:
+    """B2: add the stats after each request of a log to the table in ``out_dir``, and the totals that the next log goes on from.
+
+    A log that is appended again under its number replaces itself, if it was the last one.
+    """
+    spark, totals = log.sparkSession, f"{out_dir}/totals"
+    carried = read_state(spark, totals, USAGE_TOTALS, batch_id)
+    usage_running(log, carried=carried).write.mode("overwrite").parquet(f"{out_dir}/running/batch_id={batch_id}")
+    write_state(usage_totals(log, carried), totals, batch_id)
+
+
+def read_running(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The stats after each request of all logs appended so far."""
+    return _read(spark, f"{out_dir}/running", RUNNING_SCHEMA).drop("batch_id")
+
+
+def read_totals(spark: SparkSession, out_dir: str) -> DataFrame:
+    """``USAGE_TOTALS`` after the last log."""
+    last = max(batch_numbers(spark, f"{out_dir}/totals"), default=-1)
+    return read_state(spark, f"{out_dir}/totals", USAGE_TOTALS, last + 1)
+
+
+def start_usage_stream(log: DataFrame, out_dir: str, checkpoint_dir: str, available_now: bool = True) -> StreamingQuery:
+    """B2 over a stream: each micro-batch is a log that is appended."""
+    folder = out_dir.rstrip("/")
+    w = log.writeStream.foreachBatch(lambda batch, n: append_usage(batch, folder, n)).option("checkpointLocation", checkpoint_dir)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
 
 
 def running_usage_stats(log: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """Usage-log operators (B3, B4, B8, B9, B10, B11) on literal rows."""
 
 import datetime as dt
-
+import random
 
 from mailspark.operators import usage as U
+from mailspark.streaming.usage import append_usage, read_running, read_totals
 
 LOG = "event_id long, backend string, ts timestamp_ntz, success boolean, tokens long, response_time double, event_type string"
 
@@ -57,3 +58,42 @@ def test_latest_connection_test(spark):
     rows = [(1, "TinyLLM", t, True, 1, 0.5, "ok"), (2, "TinyLLM", t + dt.timedelta(hours=1), False, 1, 2.0, "error")]
     r = U.latest_connection_test(_log(spark, rows)).first()
     assert (r["success"], r["response_time"], r["error"], r["n_tests"]) == (False, None, "HTTP error: error", 2)
+
+
+def _rows(df):
+    return sorted(map(repr, df.collect()))
+
+
+def test_appended_logs_go_on_from_earlier_totals(spark, tmp_dir):
+    """B2 mutating: parts by time, appended one after another, give what one run gives."""
+    rng, t = random.Random(5), dt.datetime(2024, 1, 1)
+    rows = [
+        (
+            i,
+            # a third of all requests on one back-end, one that only the last part knows
+            "Late" if i > 290 and i % 7 == 0 else "OpenAI" if i % 3 == 0 else rng.choice(["Ollama", "IBM Watson", None]),
+            t + dt.timedelta(seconds=i // 2),
+            rng.random() < 0.9,
+            None if i < 40 or i % 11 == 0 else rng.randrange(5000),
+            None if i % 5 == 0 else round(rng.random() * 9, 3),
+            "x",
+        )
+        for i in range(300)
+    ]
+    whole = _log(spark, rows)
+    parts = [rows[:100], [], rows[100:250], rows[250:]]
+    for n, part in enumerate(parts):
+        append_usage(_log(spark, part), tmp_dir, n)
+    one = _rows(U.usage_running(whole))
+    assert _rows(read_running(spark, tmp_dir)) == one and len(one) > 200
+    assert _rows(U.stats_of_totals(read_totals(spark, tmp_dir))) == _rows(U.usage_stats(whole))
+    append_usage(_log(spark, parts[-1]), tmp_dir, len(parts) - 1)  # the last log once more
+    assert _rows(read_running(spark, tmp_dir)) == one
+    assert _rows(U.stats_of_totals(read_totals(spark, tmp_dir))) == _rows(U.usage_stats(whole))
+
+
+def test_running_stats_before_the_first_value_are_null(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [(i, "OpenAI", t + dt.timedelta(seconds=i), True, None if i < 3 else 10 if i == 3 else None, None, "x") for i in range(8)]
+    got = [(r["running_tokens"], r["running_requests"]) for r in U.usage_running(_log(spark, rows)).orderBy("event_id").collect()]
+    assert got == [(None, 1), (None, 2), (None, 3), (10, 4), (10, 5), (10, 6), (10, 7), (10, 8)]
