@@ -263,63 +263,72 @@ def resolve_paths(spark: SparkSession, paths) -> list[MboxFile]:
 
     ``paths`` is a list or a comma-separated string.  An argument is first taken
     literally, whatever characters its name holds; only if nothing has that name is
-    it a glob.  Directories expand to their files in name order, hidden ones (names
-    that start with ``.`` or ``_``) left out with a warning.  A hidden file that is
-    named itself is read from a copy, since Spark's readers skip such names.  The same
-    file given twice is kept twice (S3: loading an archive again appends duplicates).
+    it a glob.  Directories expand to their files in name order, without hidden ones (names
+    that start with ``.`` or ``_``, as Spark's readers leave them out).  A hidden file that
+    is named itself is read from a copy.  The same file given twice is kept twice (S3:
+    loading an archive again appends duplicates).
     """
     if isinstance(paths, str):
         paths = paths.split(",")
-    conf = spark._jsc.hadoopConfiguration()
     out: list[MboxFile] = []
-    copies: dict[str, str] = {}
+    copies: dict[str, tuple[str, str]] = {}
     for raw in paths:
         p = raw.strip(" \t\r\n")
         if not p:
             continue
-        found = _listed(spark, conf, p)
+        found = _listed(spark, p)
         if not found:
             log.warning("File not found: %s", p)
-        for path, size, named in found:
+        for path, size, uri in found:
             reads = path
-            if path.getName().startswith((".", "_")):
-                if not named:
-                    log.warning("Hidden file left out: %s", path.toString())
-                    continue
-                if path.toString() not in copies:
-                    copies[path.toString()] = _visible_copy(spark, conf, path)
-                reads = spark._jvm.org.apache.hadoop.fs.Path(copies[path.toString()])
-            out.append(MboxFile(len(out) + 1, path.toString(), reads.toString(), _canonical_uri(reads.toUri().toString()), size))
+            if path.rsplit("/", 1)[-1].startswith((".", "_")):
+                if path not in copies:
+                    copies[path] = _visible_copy(spark, path)
+                reads, uri = copies[path]
+            out.append(MboxFile(len(out) + 1, path, reads, _canonical_uri(uri), size))
             if len(out) > MAX_FILES:
                 raise ValueError(f"more than {MAX_FILES} files in one load")
     return out
 
 
-def _listed(spark: SparkSession, conf, p: str) -> list[tuple]:
-    """(Hadoop path, size, named by the argument itself) of the files of one argument."""
+def _listed(spark: SparkSession, p: str) -> list[tuple[str, int, str]]:
+    """(path, size, uri) of the files of one argument, in name order.
+
+    A folder's or glob's files are listed by Spark's file index and come as the rows of one scan that
+    opens none of them, so the driver makes the same few calls however many they are.
+    """
     hp = spark._jvm.org.apache.hadoop.fs.Path(p)
-    fs = hp.getFileSystem(conf)
-    literal = fs.exists(hp)
-    statuses = [fs.getFileStatus(hp)] if literal else list(fs.globStatus(hp) or [])
-    files = []
-    for st in statuses:
-        if st.isDirectory():
-            it = fs.listFiles(st.getPath(), True)
-            while it.hasNext():
-                f = it.next()
-                files.append((f.getPath(), int(f.getLen()), False))
-        else:
-            files.append((st.getPath(), int(st.getLen()), literal))
-    return sorted(files, key=lambda f: f[0].toString())
-
-
-def _visible_copy(spark: SparkSession, conf, path) -> str:
+    fs = hp.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(hp):
+        status = fs.getFileStatus(hp)
+        if not status.isDirectory():
+            path = status.getPath()
+            return [(path.toString(), int(status.getLen()), path.toUri().toString())]
+        pattern = escape_glob(p)
+    elif len(fs.globStatus(hp) or []):
+        pattern = p
+    else:
+        return []
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(pattern)
+    return sorted((r["path"], r["length"], r["uri"]) for r in files.select("path", "length", F.col("_metadata.file_path").alias("uri")).collect())
+
+
+def _java_list(spark: SparkSession, values: list[str]):
+    """The values as a Java list, handed over in two calls (none of them holds a NUL)."""
     jvm = spark._jvm
+    return jvm.java.util.Collections.list(jvm.java.util.StringTokenizer("\0".join(values), "\0"))
+
+
+def _visible_copy(spark: SparkSession, named: str) -> tuple[str, str]:
+    """(path, uri) of a copy under a name that Spark's readers do not skip."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(named)
     copy = jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "visible-mbox"))
     copied = jvm.org.apache.hadoop.fs.FileUtil.copy(path.getFileSystem(conf), path, copy.getFileSystem(conf), copy, False, conf)
     if not copied:
-        raise OSError(f"cannot copy {path.toString()}")
-    return copy.getFileSystem(conf).getFileStatus(copy).getPath().toString()
+        raise OSError(f"cannot copy {named}")
+    copy = copy.getFileSystem(conf).getFileStatus(copy).getPath()
+    return copy.toString(), copy.toUri().toString()
 
 
 def escape_glob(path: str) -> str:
@@ -412,7 +421,7 @@ def load_mbox(spark: SparkSession, paths, headers: dict[str, str] | None = None)
         report = spark.createDataFrame([], "file_ordinal int, file_path string, n_messages long, n_lines long")
         none = spark.createDataFrame([], schema.EMAILS)
         return MboxLoad(none.withColumns({h: F.lit(None).cast("string") for h in headers or {}}), report, files)
-    raw = read_raw_records(spark.read, sorted({escape_glob(f.reads) for f in files}))
+    raw = read_raw_records(spark.read, _java_list(spark, sorted({escape_glob(f.reads) for f in files})))
     return load_records(raw, files, headers=headers)
 
 

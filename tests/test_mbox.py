@@ -5,7 +5,7 @@ import os
 import pytest
 
 from mailspark.functions.text import strip_non_ascii
-from mailspark.sources.mbox import load_mbox
+from mailspark.sources.mbox import _java_list, load_mbox, resolve_paths
 from mailspark.sources.views import email_columns, read_table
 
 from support import SF01
@@ -254,3 +254,47 @@ def test_load_leaves_nothing_behind(spark, tmp_dir):
     assert load.emails.count() == 2
     load.close()
     assert set(glob.glob(f"{folder}/mailspark-mbox*")) == before
+
+
+def test_folders_and_globs_list_odd_names(spark, tmp_dir):
+    names = ["a b%20.mbox", "é#1.mbox", "x{1}[2].mbox", "sub/deep/c?.mbox", "_hidden.mbox", ".dot.mbox", "plain.txt"]
+    for n in names:
+        p = os.path.join(tmp_dir, n)
+        os.makedirs(os.path.dirname(p), exist_ok=True)
+        with open(p, "w", encoding="utf-8") as f:
+            f.write(f"From a\nFrom: {n}\n\nbody\n")
+    load = load_mbox(spark, [tmp_dir])
+    senders = [r["from_addr"] for r in load.emails.orderBy("msg_seq").collect()]
+    assert sorted(senders) == sorted(n for n in names if not n.startswith(("_", ".")))
+    assert [f.path for f in load.files] == sorted(f.path for f in load.files)
+    load.close()
+    load = load_mbox(spark, f"{tmp_dir}/*.mbox, {tmp_dir}/nothing*, {tmp_dir}/_hidden.mbox")
+    assert [r["from_addr"] for r in load.emails.orderBy("msg_seq").collect()] == ["a b%20.mbox", "x{1}[2].mbox", "é#1.mbox", "_hidden.mbox"]
+    load.close()
+
+
+def test_listing_takes_as_many_calls_for_many_files(spark, tmp_dir, monkeypatch):
+    client, calls = spark._jvm._gateway_client, []
+    plain = client.send_command
+
+    def counted(command, *args, **kwargs):
+        if not command.startswith("m\nd\n"):  # the garbage collector's releases come at any time
+            calls.append(command)
+        return plain(command, *args, **kwargs)
+
+    spent = []
+    for n in (3, 300):
+        d = os.path.join(tmp_dir, f"n{n}")
+        os.makedirs(d)
+        for i in range(n):
+            with open(os.path.join(d, f"{i:04d}.mbox"), "w") as f:
+                f.write("From a\n\nx\n")
+        resolve_paths(spark, [d])  # whatever is looked up once
+        monkeypatch.setattr(client, "send_command", counted)
+        calls.clear()
+        files = resolve_paths(spark, [d])
+        paths = _java_list(spark, [f.reads for f in files])
+        spent.append(len(calls))
+        monkeypatch.setattr(client, "send_command", plain)
+        assert len(files) == n and list(paths) == [f.reads for f in files]
+    assert spent[0] == spent[1]
