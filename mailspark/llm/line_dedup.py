@@ -14,8 +14,11 @@ substitutions).  Classes are the components of the links; the first line of a cl
    each class of bytes) differ in ``2 * DISTANCE`` bits at most, which every pair
    within the distance does.  Keys that are frequent already inside single tasks are
    split by a part of the signature (the pigeonhole principle again), so a phrase
-   that ever so many lines share does not gather in one task; a group that is still
-   large is compared chunk by chunk.
+   that ever so many lines share does not gather in one task.  A key that is not split
+   occurs fewer than ``LOCAL`` times a task, however many tasks there are, or comes after
+   the ``MAX_HOT`` most frequent ones and so holds a millionth of all rows at most.  Under
+   any key, rows that several tasks wrote of one line count once, and a group of over
+   ``CHUNK`` rows is parted by further signature bits until none is larger that can be.
 3. Only lines that are candidates have their text sent: a bitmap of fixed size
    (``FILTER_BITS``) tells most of the others apart.
 4. A banded bit-parallel automaton verifies all pairs of a batch at once: for each
@@ -40,14 +43,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, scratch
+from .common import batches, giving_back, scratch
 from .components import bounds, connected_components, whole_groups
 
 DISTANCE, MIN_BYTES = 2, 20
 SPACE_BYTES = b" \t\n\x0b\f\r"
 #: Bits of the map of candidate lines: 16 MB, whatever the input.
 FILTER_BITS = 1 << 27
-#: A key is frequent if the tasks in which it occurs LOCAL times or more hold it HOT times; at most MAX_HOT keys count.
+#: A key is split before its rows are sent if the tasks in which it occurs LOCAL times or more hold it HOT times; MAX_HOT keys at most.
 LOCAL, HOT, MAX_HOT = 16, 256, 1_000_000
 #: Distinct lines whose keys a task remembers to have written.
 SEEN = 1_000_000
@@ -201,6 +204,34 @@ def _close(sig: np.ndarray, other: np.ndarray, k: int) -> np.ndarray:
     return (differ >> np.uint64(63) == 1) & (np.bitwise_count(differ & np.uint64(2**63 - 1)) <= 2 * k)
 
 
+def _once(a: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of a group: each task that holds a line writes its keys."""
+    by = np.lexsort((sig, a))
+    a, sig = a[by], sig[by]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (sig[1:] != sig[:-1])])
+    return a[new], sig[new]
+
+
+def parted(a: np.ndarray, sig: np.ndarray, k: int, most: int = CHUNK, free: np.ndarray | None = None):
+    """Parts of a group such that two rows whose signatures differ in 2k bits at most lie in one of them together.
+
+    Of 2k + 1 stretches of the ``free`` bits (all at first) one is equal then, so a group of over ``most`` rows is
+    cut by each stretch in turn, and a part that is still large by the bits that are left."""
+    free = np.arange(63) if free is None else free
+    if (sig < 0).all() or (sig >= 0).all():
+        return  # own segments meet probes only
+    if len(a) <= most or len(free) <= 2 * k:
+        yield a, sig
+        return
+    for p, n in segments(len(free), 2 * k):
+        bits = sig & np.bitwise_or.reduce(np.int64(1) << free[p : p + n])
+        by = np.argsort(bits, kind="stable")
+        at = np.flatnonzero(np.concatenate([[True], np.diff(bits[by]) != 0, [True]]))
+        for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
+            if y - x > 1:
+                yield from parted(a[by[x:y]], sig[by[x:y]], k, most, np.delete(free, np.s_[p : p + n]))
+
+
 def _meet(k: int):
     def pairs(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
         p = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
@@ -223,14 +254,14 @@ def _meet(k: int):
                 if len(i):
                     yield pairs(own[i], own[i + d])
             for g in np.flatnonzero(several & (sizes > SMALL)):
-                own, s = a[at[g] : at[g + 1]], sig[at[g] : at[g + 1]]
-                mine, theirs = np.flatnonzero(s >= 0), np.flatnonzero(s < 0)  # own segments, probes
-                for x in range(0, len(mine), CHUNK):
-                    for y in range(0, len(theirs), CHUNK):
-                        m, t = mine[x : x + CHUNK], theirs[y : y + CHUNK]
-                        i, j = np.nonzero(_close(s[m][:, None], s[t][None, :], k) & (own[m][:, None] != own[t][None, :]))
-                        if len(i):
-                            yield pairs(own[m][i], own[t][j])
+                for own, s in parted(*_once(a[at[g] : at[g + 1]], sig[at[g] : at[g + 1]]), k):
+                    mine, theirs = np.flatnonzero(s >= 0), np.flatnonzero(s < 0)  # own segments, probes
+                    for x in range(0, len(mine), CHUNK):
+                        for y in range(0, len(theirs), CHUNK):
+                            m, t = mine[x : x + CHUNK], theirs[y : y + CHUNK]
+                            i, j = np.nonzero(_close(s[m][:, None], s[t][None, :], k) & (own[m][:, None] != own[t][None, :]))
+                            if len(i):
+                                yield pairs(own[m][i], own[t][j])
 
     return run
 
@@ -340,16 +371,16 @@ def line_classes(docs: DataFrame, k: int = DISTANCE, min_bytes: int = MIN_BYTES,
         lines.groupBy("a", "b").agg(F.min("line").alias("node"), F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "distinct-lines"
     )
     frequent = (
-        text.mapInPandas(_frequent(k, min_bytes, min(LOCAL, hot)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= hot)
+        text.mapInPandas(giving_back(_frequent(k, min_bytes, min(LOCAL, hot))), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= hot)
     )
     keys = np.sort(frequent.orderBy(F.desc("n")).limit(MAX_HOT).select("key").toPandas()["key"].to_numpy(np.int64))
-    keyed = text.mapInPandas(_keyed(k, min_bytes, spark.sparkContext.broadcast(keys)), "key long, a long, sig long")
+    keyed = text.mapInPandas(giving_back(_keyed(k, min_bytes, spark.sparkContext.broadcast(keys))), "key long, a long, sig long")
     candidates = scratch(
         keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_meet(k), "a1 long, a2 long").distinct(), "line-candidates"
     )
     wanted = _bitmap(candidates.select(F.col("a1").alias("v")).union(candidates.select("a2")), filter_bits)
     held = spark.sparkContext.broadcast(wanted)
-    texts = text.mapInPandas(_texts_of(filter_bits, k, min_bytes, held), "a long, b long, text binary").dropDuplicates(["a", "b"])
+    texts = text.mapInPandas(giving_back(_texts_of(filter_bits, k, min_bytes, held)), "a long, b long, text binary").dropDuplicates(["a", "b"])
     texts = scratch(texts.join(distinct.select("a", "b", "node"), ["a", "b"]).select("a", "node", "text"), "candidate-lines")
     pairs = (
         candidates.join(texts.toDF("a1", "a", "text1"), "a1")
@@ -377,8 +408,6 @@ def drop_repeated_lines(docs: DataFrame, **settings) -> DataFrame:
     Lines without a word stay.  A document all of whose lines are repeats goes, as do rows that
     repeat an id and text; a document that had no line with a word stays as it is.
     """
-    from pyspark.sql import Window
-
     gone = (
         line_classes(docs, **settings)
         .groupBy("doc_id", "th", "line_no")
@@ -387,10 +416,10 @@ def drop_repeated_lines(docs: DataFrame, **settings) -> DataFrame:
         .agg(F.collect_list(F.when(~F.col("kept"), F.col("line_no"))).alias("gone"), F.max("kept").alias("some"))
         .select("th", F.col("doc_id").alias("_d"), "gone", "some")
     )
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", F.xxhash64("doc_id", "text").alias("_th"))
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("_th", "doc_id").orderBy("_th"))).where("nth = 1")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("doc_id", "text").alias("_th"))
+    rows = rows.dropDuplicates(["_th", "doc_id"])  # each task keeps one of its copies before any is sent
     joined = rows.join(gone, (F.col("_th") == F.col("th")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").where("some is null or some")
     some_gone = F.size(F.coalesce("gone", F.array().cast("array<int>"))) > 0
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
-    text = F.when(some_gone, left).otherwise(F.col("text"))
+    left = F.array_join(F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    text = F.when(some_gone, left).otherwise(F.col("row.text"))
     return joined.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

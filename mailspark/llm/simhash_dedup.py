@@ -271,8 +271,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 
 def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     """One document of each component, the one with the least doc_id; the columns of ``docs``."""
-    from pyspark.sql import Window
-
     chosen = (
         near_duplicates(docs, **settings)
         .groupBy("component")
@@ -281,6 +279,4 @@ def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     )
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("doc_id", "text").alias("th"))
     rows = rows.join(chosen, (F.col("th") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
-    # rows that agree in id and text are one
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("th", "doc_id").orderBy("th"))).where("nth = 1")
-    return rows.select("row.*")
+    return rows.dropDuplicates(["th", "doc_id"]).select("row.*")  # rows that agree in id and text are one

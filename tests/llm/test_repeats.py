@@ -3,9 +3,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import awkward_docs, components, empty_docs
-from mailspark.llm.line_dedup import SIDE, _close, drop_repeated_lines, key_plan, line_classes, lines_of, signatures, within
+from mailspark.llm.line_dedup import SIDE, _close, _meet, drop_repeated_lines, key_plan, line_classes, lines_of, parted, signatures, within
+from mailspark.llm.simhash_dedup import drop_near_duplicates
 from mailspark.llm.substring_dedup import repeated_windows, remove_repeats
 
 
@@ -148,3 +150,36 @@ def test_only_repeated_lines_go(spark):
         1: first,
         2: "a line of its own, seen once only\n\nlast",
     }
+
+
+def test_parted_groups_keep_every_close_pair():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63 - 1, 40)
+    sig = base[rng.integers(0, 40, 3000)]
+    for _ in range(2):  # up to two of 63 bits turned over in each, four between two rows
+        sig = np.where(rng.random(3000) < 0.7, sig ^ (np.int64(1) << rng.integers(0, 63, 3000)), sig)
+    sig &= ~np.int64(0xFFF)  # a stretch that is the same in all rows, as under a key that was split by it
+    sig = np.where(rng.random(3000) < 0.5, sig | SIDE, sig)
+    own = np.arange(3000)
+    met, most = set(), 0
+    for a, s in parted(own, sig, 2, most=50):
+        i, j = np.nonzero(_close(s[:, None], s[None, :], 2))
+        met |= set(zip(np.minimum(a[i], a[j]).tolist(), np.maximum(a[i], a[j]).tolist()))
+        most = max(most, len(a))
+    i, j = np.nonzero(_close(sig[:, None], sig[None, :], 2))
+    assert met == {(min(p), max(p)) for p in zip(i.tolist(), j.tolist())} and len(met) > 10_000 and most < 300
+
+
+def test_copies_of_a_line_under_one_key_are_compared_once():
+    """100,000 tasks that each write the keys of three lines: rows count once, however many there are."""
+    n = 100_000
+    a, sig = np.tile([5, 6, 7], n), np.tile(np.array([3, 1 | SIDE, (2**40 - 1) | SIDE]), n)
+    frames = iter([pd.DataFrame({"key": np.ones(3 * n, np.int64), "a": a, "sig": sig})])
+    assert pd.concat(_meet(2)(frames)).drop_duplicates().to_dict("records") == [{"a1": 5, "a2": 6}]
+
+
+def test_repeated_rows_stay_once(spark):
+    rows = [(7, "a line that many rows hold again and again", "x", i) for i in range(2000)] + [(None, None, None, i) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, th string, nth long").repartition(16)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in drop_repeated_lines(docs).collect()) == [(0, None), (7, rows[0][1])]
+    assert drop_near_duplicates(docs).count() == 2
