@@ -4,7 +4,7 @@ import datetime as dt
 import random
 
 from mailspark.operators import usage as U
-from mailspark.streaming.usage import append_usage, read_running, read_totals
+from mailspark.streaming.usage import append_usage, read_running, read_totals, start_usage_stream
 
 LOG = "event_id long, backend string, ts timestamp_ntz, success boolean, tokens long, response_time double, event_type string"
 
@@ -97,3 +97,14 @@ def test_running_stats_before_the_first_value_are_null(spark):
     rows = [(i, "OpenAI", t + dt.timedelta(seconds=i), True, None if i < 3 else 10 if i == 3 else None, None, "x") for i in range(8)]
     got = [(r["running_tokens"], r["running_requests"]) for r in U.usage_running(_log(spark, rows)).orderBy("event_id").collect()]
     assert got == [(None, 1), (None, 2), (None, 3), (10, 4), (10, 5), (10, 6), (10, 7), (10, 8)]
+
+
+def test_stream_of_logs_equals_one_run(spark, tmp_dir):
+    t = dt.datetime(2024, 1, 1)
+    rows = [(i, "OpenAI" if i % 3 else "Ollama", t + dt.timedelta(seconds=i), i % 10 > 0, i, i / 8, "x") for i in range(60)]
+    for n in range(3):
+        _log(spark, rows[20 * n : 20 * n + 20]).coalesce(1).write.mode("append").parquet(f"{tmp_dir}/log")
+    stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(f"{tmp_dir}/log")
+    start_usage_stream(stream, f"{tmp_dir}/out", f"{tmp_dir}/ck").awaitTermination(120)
+    assert _rows(read_running(spark, f"{tmp_dir}/out")) == _rows(U.usage_running(_log(spark, rows)))
+    assert _rows(U.stats_of_totals(read_totals(spark, f"{tmp_dir}/out"))) == _rows(U.usage_stats(_log(spark, rows)))
