@@ -182,10 +182,12 @@ EXPORT_TABLE_SQL = f"WITH emails AS ({Q.EMAIL_VIEW}) SELECT msg_seq, from_addr,
 
 # ---------------------------------------------------------------------- streams
 def _streamed_emails(spark: SparkSession, sf: str) -> str:
-    """ST1: the archive files as a stream, a few files in each micro-batch; the folder of the emails."""
+    """ST1: the archive files as a stream, in micro-batches of the loader's own size; the folder of the emails.
+
+    A micro-batch costs some ten jobs however little it holds, so their number must not follow that of small files."""
     emails = _folder(spark, "stream-emails")
     source = f"{write_archives(spark, sf)}/f=*"
-    start_archive_stream(spark, source, emails, _folder(spark, "stream-state"), max_files_per_trigger=50).awaitTermination()
+    start_archive_stream(spark, source, emails, _folder(spark, "stream-state")).awaitTermination()
     return emails
 
 

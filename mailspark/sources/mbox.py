@@ -251,6 +251,7 @@ class MboxLoad:
     report: DataFrame  # S11: per file argument, messages kept and lines read
     files: list[MboxFile]
     _scratch: tuple[str, ...] = ()
+    n_messages: int = 0  # of all files
 
     def close(self) -> None:
         """Delete the written messages; ``emails`` cannot be read any more."""
@@ -363,10 +364,14 @@ def read_raw_records(reader, paths) -> DataFrame:
     )
 
 
-def load_records(raw: DataFrame, files: list[MboxFile], start: int = 0, headers: dict[str, str] | None = None) -> MboxLoad:
-    """Parse, finalize and number the records of ``files`` (``raw`` straight from the scan)."""
-    spark = raw.sparkSession
-    parsed = materialize(parse_raw(raw, "rec", headers).drop("rec"), "mbox-records")
+def parsed_records(raw: DataFrame, headers: dict[str, str] | None = None) -> DataFrame:
+    """The records, parsed and written once (``raw`` straight from the scan, with its further columns)."""
+    return materialize(parse_raw(raw, "rec", headers).drop("rec"), "mbox-records")
+
+
+def load_records(parsed: DataFrame, files: list[MboxFile], start: int = 0, headers: dict[str, str] | None = None) -> MboxLoad:
+    """Finalize and number the records of ``files`` as :func:`parsed_records` wrote them, which go then."""
+    spark = parsed.sparkSession
     pos = F.struct("block", "rid")
     bounds = parsed.groupBy("file_uri").agg(F.min(pos).alias("_first"), F.max(pos).alias("_last"))
     # one row per file of the list that the driver holds (MAX_FILES at most): the join moves no record
@@ -380,7 +385,8 @@ def load_records(raw: DataFrame, files: list[MboxFile], start: int = 0, headers:
         F.min("rid").alias("_rid"), F.min("_mid").alias("_lo"), F.count(F.lit(1)).alias("_n")
     )
     lines = {r["file_uri"]: r["n"] for r in records.groupBy("file_uri").agg(F.sum("n_lines").alias("n")).collect()}
-    messages = {r["file_uri"]: r["n"] for r in segments.groupBy("file_uri").agg(F.sum("_n").alias("n")).collect()}
+    counted = segments.groupBy("file_uri").agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("n_segments")).collect()
+    messages, n_segments = ({r["file_uri"]: r[c] for r in counted} for c in ("n", "n_segments"))
     unread = {f.uri for f in files if f.size} ^ set(lines)
     if unread:
         raise OSError(f"files listed and files read differ: {sorted(unread)[:5]}")
@@ -401,12 +407,13 @@ def load_records(raw: DataFrame, files: list[MboxFile], start: int = 0, headers:
     offsets = materialize(
         of_argument.select("file_uri", "block", "_part", "file_ordinal", "file_path", shift.alias("_shift")), "mbox-offsets"
     )
-    small = F.broadcast if offsets.count() <= MAX_BROADCAST_SPLITS else (lambda df: df)
+    n_offsets = sum(n_segments.get(f.uri, 0) for f in files)
+    small = F.broadcast if n_offsets <= MAX_BROADCAST_SPLITS else (lambda df: df)
     numbered = kept.withColumn("_part", part).join(small(offsets), ["file_uri", "block", "_part"])
     emails = numbered.select(
         "file_path", "file_ordinal", (F.col("_shift") + F.col("_mid")).cast("long").alias("msg_seq"), *fields
     )
-    return MboxLoad(emails, report, files, (kept._scratch_path, offsets._scratch_path))
+    return MboxLoad(emails, report, files, (kept._scratch_path, offsets._scratch_path), sum(counts))
 
 
 def load_mbox(spark: SparkSession, paths, headers: dict[str, str] | None = None) -> MboxLoad:
@@ -422,7 +429,7 @@ def load_mbox(spark: SparkSession, paths, headers: dict[str, str] | None = None)
         none = spark.createDataFrame([], schema.EMAILS)
         return MboxLoad(none.withColumns({h: F.lit(None).cast("string") for h in headers or {}}), report, files)
     raw = read_raw_records(spark.read, _java_list(spark, sorted({escape_glob(f.reads) for f in files})))
-    return load_records(raw, files, headers=headers)
+    return load_records(parsed_records(raw, headers), files, headers=headers)
 
 
 def append_emails(session: DataFrame, loaded: DataFrame) -> DataFrame:

@@ -21,7 +21,8 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schema
 from ..operators.search import match
 from ..operators.threads import thread_key
-from ..sources.mbox import MboxFile, _canonical_uri, _canonical_uri_col, load_records
+from ..session import drop_path
+from ..sources.mbox import MboxFile, _canonical_uri, _canonical_uri_col, load_records, parsed_records
 from .state import read_state, write_state
 
 EMAILS_STREAM_SCHEMA = "file_path string, file_ordinal int, msg_seq long, from_addr string, subject string, date string, body string, batch_id long"
@@ -50,22 +51,23 @@ def _process_batch(emails_dir: str):
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         jvm = spark._jvm
-        # The files of one micro-batch: bounded by maxFilesPerTrigger.
-        listed = sorted((r[0], r[1]) for r in batch.select("file_uri", "file_size").distinct().collect())
+        # The archives are read once; the batch's files (bounded by maxFilesPerTrigger) come from the written records.
+        raw = batch.select("rec", "file_uri", "file_size", "block", F.monotonically_increasing_id().alias("rid"))
+        parsed = parsed_records(raw)
+        listed = sorted((r[0], r[1]) for r in parsed.select("file_uri", "file_size").distinct().collect())
         if not listed:
+            drop_path(spark, parsed._scratch_path)
             return
         n_prev, f_prev = _previous(spark, emails_dir, batch_id)
         files = []
         for i, (uri, size) in enumerate(listed):
             path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri)).toString()  # as batch loads name it
             files.append(MboxFile(f_prev + i + 1, path, path, _canonical_uri(uri), size))
-        raw = batch.select("rec", "file_uri", "block", F.monotonically_increasing_id().alias("rid"))
-        load = load_records(raw, files, start=n_prev)
+        load = load_records(parsed, files, start=n_prev)
         out = f"{emails_dir.rstrip('/')}/batch_id={batch_id}"
         load.emails.select(*[f.name for f in schema.EMAILS.fields]).write.mode("overwrite").parquet(out)
         load.report.coalesce(1).write.mode("overwrite").parquet(f"{manifest_dir(emails_dir)}/batch_id={batch_id}")
-        new = load.report.agg(F.sum("n_messages").alias("n")).first()["n"] or 0
-        totals = spark.createDataFrame([(n_prev + new, f_prev + len(files))], TOTALS_SCHEMA)
+        totals = spark.createDataFrame([(n_prev + load.n_messages, f_prev + len(files))], TOTALS_SCHEMA)
         write_state(totals, totals_dir(emails_dir), batch_id)
         load.close()
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from support import SF001, SF01
 from mailspark.operators import threads
+from mailspark.plans.files import _streamed_emails, stream_load
 from mailspark.operators.usage import availability_changes
 from mailspark.sources.mbox import load_mbox
 from mailspark.sources.views import email_columns, llm_log_from_events, read_table
@@ -187,3 +188,26 @@ def test_change_log_holds_changed_groups_only(spark, tmp_dir):
     assert read() == want
     compact(spark, out, stream, ["thread_key"])
     assert read() == want and len(batch_numbers(spark, out)) == 1
+
+
+def test_an_archive_batch_reads_its_files_once(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "once")
+    os.makedirs(src)
+    for i in range(3):
+        with open(os.path.join(src, f"f{i}.mbox"), "w", encoding="utf-8") as fh:
+            fh.write("".join(f"From a\nFrom: a@b\nSubject: s{k}\n\nbody {i} {k}\n" for k in range(4)))
+    out = os.path.join(tmp_dir, "once-emails")
+    q = start_archive_stream(spark, src, out, os.path.join(tmp_dir, "once-ck"), max_files_per_trigger=2)
+    q.awaitTermination(300)
+    assert sorted(p["numInputRows"] for p in q.recentProgress if p["numInputRows"]) == [4, 8]
+    assert sorted(r["msg_seq"] for r in spark.read.parquet(out).collect()) == list(range(1, 13))
+    assert [tuple(r) for r in spark.read.parquet(f"{out}/_totals/batch_id=1").collect()] == [(12, 3)]
+
+
+def test_the_number_of_stream_batches_does_not_follow_small_files(spark, tmp_dir):
+    """Sixty files of one message each: one micro-batch, and the rows of all files."""
+    rows = [(16 * i, 0, "user", f"text {i}") for i in range(1, 61)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_dir}/conversations.parquet")
+    assert batch_numbers(spark, _streamed_emails(spark, tmp_dir)) == [0]
+    got = stream_load(spark, tmp_dir)
+    assert got.agg(F.sum("n")).first()[0] == 60 and got.filter("from_addr = 'user@example.com'").count() == 60
