@@ -95,50 +95,95 @@ def signatures(lines: list[bytes]) -> np.ndarray:
     return np.bitwise_xor.reduceat(_CLASS[np.frombuffer(b"".join(lines), np.uint8)], sizes.cumsum() - sizes)
 
 
-def _halves(line: bytes) -> tuple[int, int]:
-    h = xxhash.xxh3_128_intdigest(line)
-    return (h >> 64) - 2**63, (h & (2**64 - 1)) - 2**63
+def _halves(lines: list[bytes]) -> np.ndarray:
+    """128-bit hashes of lines, as two rows of numbers."""
+    h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in lines]), ">u8").astype(np.uint64)
+    return (h ^ np.uint64(1 << 63)).view(np.int64).reshape(-1, 2).T
 
 
 def _find_lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     number = TaskContext.get().partitionId() << 40
     for f in batches(frames):
-        rows = []
-        for doc_id, th, text in zip(f["doc_id"].astype("Int64"), f["th"].tolist(), f["text"]):
-            for n, x in lines_of(text):
-                rows.append((number, doc_id, th, n, *_halves(x)))
-                number += 1
-        out = pd.DataFrame(rows, columns=["line", "doc_id", "th", "line_no", "a", "b"])
-        yield out.astype({"doc_id": "Int64"})
+        found = [list(lines_of(text)) for text in f["text"]]
+        each = [len(x) for x in found]
+        lines = [x for xs in found for _, x in xs]
+        if not lines:
+            continue
+        a, b = _halves(lines)
+        yield pd.DataFrame(
+            {
+                "line": np.arange(number, number + len(lines)),
+                "doc_id": f["doc_id"].astype("Int64").repeat(each).array,
+                "th": np.repeat(f["th"].to_numpy(np.int64), each),
+                "line_no": np.array([n for xs in found for n, _ in xs], np.int32),
+                "a": a,
+                "b": b,
+            }
+        )
+        number += len(lines)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base^0 to base^(n - 1), modulo 2^64."""
+    out = np.full(n, base % 2**64, np.uint64)
+    out[:1] = 1
+    return out.cumprod()
+
+
+#: Substrings are hashed all at once: a number for each byte times the powers of an odd base are summed up modulo 2^64, and the
+#: difference of two sums is brought down to the substring's own place.  Equal hashes make candidates only, as equal keys do.
+_BASE, _BLOCK = 0x9E3779B97F4A7C15, 1 << 16
+_BYTE = np.array([xxhash.xxh64_intdigest(bytes([b])) for b in range(256)], np.uint64)
+_UP, _DOWN = _powers(_BASE, _BLOCK), _powers(pow(_BASE, -1, 2**64), _BLOCK)
+
+
+def _line_keys(lines: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, number of the line, is a probe) of all keys of ``key_plan`` of each line."""
+    sizes = np.array([len(x) for x in lines])
+    starts = sizes.cumsum() - sizes
+    text = np.frombuffer(b"".join(lines), np.uint8)
+    blocks = -(-len(text) // _BLOCK) + 1
+    up, down = (_powers(pow(x, _BLOCK, 2**64), blocks) for x in (_BASE, pow(_BASE, -1, 2**64)))
+    sums = np.zeros(len(text) + 1, np.uint64)
+    for n, at in enumerate(range(0, len(text), _BLOCK)):
+        part = _BYTE[text[at : at + _BLOCK]]
+        sums[at + 1 : at + 1 + len(part)] = part * _UP[: len(part)] * up[n]
+    np.cumsum(sums, out=sums)
+    keys, rows, probes = [], [], []
+    for less in range(k + 1):
+        short, longer = np.divmod(sizes - less, k + 1)
+        for i in range(k + 1):
+            n, p = short + (i > k - longer), i * short + np.maximum(0, i - (k + 1 - longer))
+            for d in range(max(-i, less - (k - i)), min(i, less + (k - i)) + 1):
+                row = np.flatnonzero((n >= 0) & (p + d >= 0) & (p + d + n <= sizes))
+                at = (starts + p + d)[row]
+                h = (sums[at + n[row]] - sums[at]) * _DOWN[at % _BLOCK] * down[at // _BLOCK]
+                key = _mixed(h.view(np.int64), ((sizes[row] - less) << 3) + i)
+                for probe in (False, True) if less == d == 0 else (True,):
+                    keys.append(key)
+                    rows.append(row)
+                    probes.append(np.full(len(row), probe))
+    return np.concatenate(keys), np.concatenate(rows), np.concatenate(probes)
 
 
 def _keys(frames: Iterator[pd.DataFrame], k: int, min_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(key, line hash, signature with the side as its top bit) of the distinct lines of batches."""
-    plans: dict[int, list] = {}
-    seen: set[int] = set()
-    digest = xxhash.xxh64_intdigest
+    seen: set[bytes] = set()
+    digest = xxhash.xxh3_128_digest
     for f in batches(frames, 4 << 20):
-        lines, ids, keys, sides = [], [], [], []
+        lines = []
         for text in f["text"]:
             for _, x in lines_of(text):
-                if len(x) < min_bytes or (h := _halves(x)[0]) in seen:
+                if len(x) < min_bytes or (h := digest(x)) in seen:
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(h)
-                if (plan := plans.get(len(x))) is None:
-                    if len(plans) > 20_000:
-                        plans.clear()
-                    plan = plans[len(x)] = key_plan(len(x), k)
                 lines.append(x)
-                ids.append(h)
-                keys += [digest(x[s:e], seed) for s, e, seed, _ in plan]
-                sides.append([p for *_, p in plan])
         if lines:
-            each = [len(s) for s in sides]
-            side = np.concatenate([np.array(s, bool) for s in sides])
-            sig = np.repeat(signatures(lines), each)
-            yield np.array(keys, np.uint64).view(np.int64), np.repeat(np.array(ids, np.int64), each), np.where(side, sig | SIDE, sig)
+            key, row, probe = _line_keys(lines, k)
+            sig = signatures(lines)[row]
+            yield key, _halves(lines)[0][row], np.where(probe, sig | SIDE, sig)
 
 
 def _frequent(k: int, min_bytes: int, local: int):
@@ -322,18 +367,19 @@ def _texts_of(filter_bits: int, k: int, min_bytes: int, wanted):
         seen: set[int] = set()
         bits = wanted.value
         for f in batches(frames):
+            lines = [x for text in f["text"] for _, x in lines_of(text) if len(x) >= min_bytes]
+            if not lines:
+                continue
+            a, b = _halves(lines)
+            p = a % filter_bits
+            hit = np.flatnonzero(bits[p >> 3] >> (p & 7) & 1)
             rows = []
-            for text in f["text"]:
-                for _, x in lines_of(text):
-                    if len(x) < min_bytes:
-                        continue
-                    a, b = _halves(x)
-                    p = a % filter_bits
-                    if bits[p >> 3] >> (p & 7) & 1 and b not in seen:
-                        if len(seen) >= SEEN:
-                            seen.clear()
-                        seen.add(b)
-                        rows.append((a, b, x))
+            for i, x, y in zip(hit.tolist(), a[hit].tolist(), b[hit].tolist()):
+                if y not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(y)
+                    rows.append((x, y, lines[i]))
             yield pd.DataFrame(rows, columns=["a", "b", "text"])
 
     return run

@@ -5,8 +5,9 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 from helpers import awkward_docs, components, empty_docs
-from mailspark.llm.line_dedup import SIDE, _close, _meet, drop_repeated_lines, key_plan, line_classes, lines_of, parted, signatures, within
+from mailspark.llm.line_dedup import SIDE, _close, _halves, _line_keys, _meet, drop_repeated_lines, key_plan, line_classes, lines_of, parted, signatures, within
 from mailspark.llm.simhash_dedup import drop_near_duplicates
 from mailspark.llm.substring_dedup import repeated_windows, remove_repeats
 
@@ -109,6 +110,24 @@ def test_automaton_and_keys_agree_with_edit_distance():
             assert _close(signatures([a]), signatures([b]) | SIDE, k).all()
 
 
+def test_keys_of_a_batch_are_those_of_the_plan():
+    """Computed all at once, across blocks of the hash, two lines meet under as many keys as by the plan's substrings and seeds."""
+    rng = random.Random(4)
+    base = [bytes(rng.choice(b"ab\xff") for _ in range(size)) for size in (5, 6, 20, 33, 40_000, 33, 50, 70_000)]
+    lines = [edited(rng, s, n) for s in base for n in (0, 0, 1, 2)]
+    for k in (1, 2, 3):
+        key, row, probe = _line_keys(lines, k)
+        plan = [Counter((x[s:e], seed, p) for s, e, seed, p in key_plan(len(x), k)) for x in lines]
+        got = [Counter((h, p) for h, p in zip(key[row == n].tolist(), probe[row == n].tolist())) for n in range(len(lines))]
+        met = lambda sets, side: [
+            [sum(c for t, c in x.items() if not t[-1] and side(t) in y) for y in sets] for x in sets
+        ]
+        assert met(got, lambda t: (*t[:-1], True)) == met(plan, lambda t: (*t[:-1], True))
+        assert [sorted(x.values()) for x in got] == [sorted(x.values()) for x in plan]
+    h = xxhash.xxh3_128_intdigest(b"x")
+    assert _halves([b"x"]).ravel().tolist() == [(h >> 64) - 2**63, h % 2**64 - 2**63]
+
+
 @pytest.mark.parametrize("settings", [{}, {"hot": 3}, {"k": 1}, {"k": 3, "hot": 6}, {"filter_bits": 1 << 15}])
 def test_lines_against_brute_force(spark, settings):
     rng = random.Random(9)
